@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, line_dedup, near_dedup, quality, sharding
+from . import bpe, decontam, line_dedup, near_dedup, quality, secret_scan, sharding
 from .common import table, text_or_empty
 
 
@@ -43,6 +43,10 @@ def op8_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.find_leaks(docs, table(spark, sf_dir, "benchmark"))
 
 
+def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicate_classes(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -53,6 +57,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_bpe": op4_bpe,
     "op7_sharding": op7_sharding,
     "op8_decontam": op8_decontam,
+    "op9_secrets": op9_secrets,
     "op10_near_dedup": op10_near_dedup,
 }
 
