@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, line_dedup, near_dedup, quality, secret_scan, sharding
-from .common import table, text_or_empty
+from . import avi, bpe, decontam, html_extract, line_dedup, near_dedup, quality, secret_scan, sharding, token_counts
+from .common import scratch_path, table
 
 
 def tokenizer_path(name: str) -> str:
@@ -18,6 +18,26 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def word_and_rank_counters() -> dict:
+    """Two tokenizer versions: words between white space, and a byte-level vocabulary of merge ranks."""
+    import public_tokenizers
+
+    return {"words/1": token_counts.word_counter, "byte_bpe_50k/1": token_counts.rank_file_counter(tokenizer_path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)}
+
+
+def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Totals after three batches: all documents come in; the same batch comes again; later exact copies are retired."""
+    docs = table(spark, sf_dir, "documents")
+    ledger = token_counts.TokenLedger(spark, scratch_path(spark, "token-ledger"), word_and_rank_counters())
+    load = docs.select("doc_id", F.lit("insert").alias("op"), "source", "lang", "text")
+    ledger.commit("load", load)
+    ledger.commit("load", load)
+    first = docs.groupBy(F.sha2(F.col("text").cast("binary"), 256).alias("print")).agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1")
+    copies = docs.select("doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("print")).join(first, "print").where("doc_id <> first")
+    ledger.commit("retire-copies", copies.select("doc_id", F.lit("delete").alias("op"), *[F.lit(None).cast("string").alias(c) for c in ("source", "lang", "text")]))
+    return ledger.totals()
+
+
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "text", "removed_chunks")
 
@@ -34,6 +54,14 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(docs, tokenizer_path("word_bpe_49k.json")).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
+def op5_avi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return avi.round_trip(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+
+
+def op6_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract_main_text(table(spark, sf_dir, "pages"))
+
+
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(table(spark, sf_dir, "documents"))
 
@@ -52,9 +80,12 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_token_counts": op1_token_counts,
     "op2_line_dedup": op2_line_dedup,
     "op3_quality": op3_quality,
     "op4_bpe": op4_bpe,
+    "op5_avi": op5_avi,
+    "op6_html": op6_html,
     "op7_sharding": op7_sharding,
     "op8_decontam": op8_decontam,
     "op9_secrets": op9_secrets,
