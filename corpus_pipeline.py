@@ -1,8 +1,66 @@
-"""Corpus pipeline: filled in as its stages' operators are built."""
+"""Corpus pipeline: documents pass a quality classifier, line dedup, near-duplicate removal, decontamination, and encoding.
 
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; it is written as Parquet and read again as the next
+stage's documents. All stages but the last return the columns of documents.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from sparkpulse.llm import bpe, decontam, line_dedup, near_dedup, quality
+from sparkpulse.llm.common import scratch_path, table
+from sparkpulse.llm.queries import tokenizer_path
+
+#: The stages fit a classifier and merge by hashes of many sorts, which SQL can't express; tests use brute force.
 ORACLE_SQL = None
-STAGES = []
 
 
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose quality score reaches the cut."""
+    model = quality.fit(docs, table(spark, sf_dir, "labels"))
+    return quality.score(docs, model).where("predicted = 1").select(*docs.columns)
+
+
+def fresh_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without chunks of lines that stood in an earlier one; texts of which nothing is left go."""
+    return line_dedup.dedup_lines(docs).where("removed_chunks = 0 OR trim(text) <> ''").select(*docs.columns)
+
+
+def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document of least id of each class of copies and near copies; documents without id stay."""
+    classes = near_dedup.near_duplicate_classes(docs.select("doc_id", "text")).where("doc_id <> class_id").select("doc_id").distinct()
+    return docs.join(classes, "doc_id", "left_anti").select(*docs.columns)
+
+
+def clean_of_tests(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no item of the benchmark."""
+    return decontam.drop_leaked(docs, table(spark, sf_dir, "benchmark"))
+
+
+def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with their ids, and the digest of the text the ids decode to."""
+    path = tokenizer_path("word_bpe_49k.json")
+    with_ids = bpe.encode_texts(docs.select("doc_id", "lang", "source", "text"), path)
+    decoded = bpe.decode_ids(with_ids, path)
+    return decoded.select("doc_id", "lang", "source", "ids", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
+STAGES = [
+    ("quality classifier", good_documents),
+    ("line dedup", fresh_lines),
+    ("near dedup", one_of_each),
+    ("decontamination", clean_of_tests),
+    ("BPE encoding", encoded),
+]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage's rows for the documents in ``sf_dir``."""
+    docs = table(spark, sf_dir, "documents")
+    for k, (_, stage) in enumerate(STAGES):
+        path = scratch_path(spark, f"pipeline-{k}")
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+    return docs
