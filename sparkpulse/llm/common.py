@@ -25,9 +25,14 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a Parquet table in the shared folder: it cuts lineage and outlives lost executors."""
+def written(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
+    """``df`` as a Parquet table in the shared folder: it cuts lineage and outlives lost executors.
+
+    ``rows``, where it is known, bounds the number of rows: small tables go to few files, 50,000 rows a task.
+    """
     spark = df.sparkSession
+    if rows is not None:
+        df = df.coalesce(8 + rows // 50_000)
     path = scratch_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

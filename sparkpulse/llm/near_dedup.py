@@ -3,7 +3,8 @@
 Weighted sets: a text's five-word shingles with their counts. Every unit of weight of a shingle throws a Poisson
 number of hashed darts onto a rank axis that is cut into doubling regions; each dart hits one coordinate, and each
 coordinate keeps its earliest dart. Only as many regions are opened as the set's total weight needs. Texts whose
-darts agree in one band meet in a bucket; there they are compared with pivots, never all with all.
+darts agree in one band meet in a bucket; there they are compared with a pivot, and only those that this leaves open
+with others, by rare shingles: never all with all.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import written
@@ -181,79 +182,106 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").mapInPandas(run, "a binary, b binary")
 
 
-def smallest_reachable(edges: DataFrame) -> DataFrame:
+def smallest_reachable(edges: DataFrame, rows: int) -> DataFrame:
     """Rows (node, root): each node's smallest reachable node, by alternating large-star and small-star steps.
 
-    Every step is an aggregation and a join; tables are written between steps. Nodes without edges are left out.
+    Every step is an aggregation and a join, over tables of ``rows`` or so edges that are written between steps.
+    Nodes without edges are left out.
     """
 
-    def both_ways(e: DataFrame) -> DataFrame:
-        return e.select("a", "b").unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-
     def star(e: DataFrame, large: bool) -> DataFrame:
-        near = both_ways(e) if large else e.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-        least = written(near.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "cc-least")
+        near = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b"))) if large else e
+        least = written(near.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "cc-least", rows)
         linked = near.join(least, "a")
-        out = linked.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")) if large else linked.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
-        return written(out.where("a <> b").distinct(), "cc-edges")
+        if large:
+            out = linked.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        else:
+            out = linked.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
+        return written(out.where("a <> b").distinct(), "cc-edges", rows)
 
     def state(e: DataFrame) -> tuple:
         return tuple(e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
 
-    e = written(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "cc-edges")
+    e = written(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "cc-edges", rows)
     now = state(e)
-    while True:
+    while now[0]:
         e = star(star(e, large=True), large=False)
         before, now = now, state(e)
         if now == before:
             break
-    return e.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(e.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
+    return e.select(F.col("a").alias("node"), F.col("b").alias("root"))
+
+
+def prefixes(sets: DataFrame) -> DataFrame:
+    """Rows (fp, token, place, size): of each set the rarest units that also stand in other sets, within its prefix.
+
+    Two sets of SIMILARITY or more share a unit among the first (1 - o) * size + 1 of each, o being the share of
+    itself that a set must then have in common with the other, when units are ordered by how many sets hold them.
+    """
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for at in range(0, len(frame), TEXTS):
+                part = frame.iloc[at : at + TEXTS]
+                units_of = [np.frombuffer(x, dtype=np.uint32) for x in part.grams]
+                sizes = [len(x) for x in units_of]
+                yield pd.DataFrame({"fp": np.repeat(part.fp.to_numpy(), sizes), "size": np.repeat(sizes, sizes), "token": np.concatenate(units_of).astype(np.int64)})
+
+    rows = written(sets.select("fp", "grams").mapInPandas(run, "fp binary, size long, token long"), "near-units")
+    held_by = written(rows.groupBy("token").agg(F.count("*").alias("held_by")).where("held_by > 1"), "near-held")
+    common = rows.join(held_by, "token")
+    # units of one set alone come first, and match nothing
+    own = F.col("size") - F.count("*").over(Window.partitionBy("fp"))
+    place = own + F.row_number().over(Window.partitionBy("fp").orderBy("held_by", "token"))
+    return common.withColumn("place", place).where(F.col("place") <= F.floor((1 - SIMILARITY) * F.col("size") + 1e-9) + 1).select("fp", "token", "place", "size")
 
 
 def links(signed: DataFrame, docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Rows (node, root) that join the fingerprints of similar texts into classes.
 
-    Each bucket's members are compared with pivots from their midst. A member that has been a pivot is settled
-    against all others of its bucket. Rounds go on, with eight times the pivots each, over the buckets whose
-    unsettled members still lie in different classes, until there are none: no link between two members of a
-    bucket that would join two classes is left untried.
+    Each bucket's members are first compared with its pivot, the one that shares the most and largest buckets. If
+    the others then lie in more than one class, those outside the largest class are compared with all texts of such
+    buckets they may be similar to, which their prefixes tell without loss: a text that isn't like the pivot of a
+    crowded bucket has rare units in its prefix, so this doesn't grow with the square of the bucket.
     """
     names = [f"b{i}" for i in range(BANDS)]
-    nodes = signed.where("b0 IS NOT NULL").groupBy("fp").agg(F.min("doc_id").alias("rep"), *[F.first(n).alias(n) for n in names])
-    nodes = written(nodes, "near-nodes")
+    nodes = written(signed.where("b0 IS NOT NULL").groupBy("fp").agg(F.min("doc_id").alias("rep"), *[F.first(n).alias(n) for n in names]), "near-nodes")
     rows = nodes.select("fp", F.explode(F.array(*names)).alias("bucket"))
-    shared = written(rows.groupBy("bucket").agg(F.count("*").alias("n"), F.min("fp").alias("pivot")).where("n > 1").drop("n"), "near-shared")
-    members = written(rows.join(shared, "bucket").select("bucket", "fp", "pivot"), "near-members")
-    wanted = members.select("fp").distinct().join(nodes.select("fp", "rep"), "fp")
-    wanted = written(wanted, "near-wanted")
-    texts = docs.select(F.col(key).alias("rep"), F.coalesce(F.col(text), F.lit("")).alias("text")).join(wanted, "rep").select("fp", "text")
-    sets = written(unit_sets(texts).groupBy("fp").agg(F.min("grams").alias("grams")), "near-sets")
+    shared = written(rows.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"), "near-shared")
+    members = written(rows.join(shared, "bucket"), "near-members")
+    n_members = members.count()
+    wanted = members.groupBy("fp").agg(F.sum(F.floor(F.log2("n"))).alias("rank"))
+    wanted = written(wanted.join(nodes.select("fp", "rep"), "fp"), "near-wanted", n_members)
+    # the same plan at every size: texts are dealt out by id
+    texts = docs.select(F.col(key).alias("rep"), F.coalesce(F.col(text), F.lit("")).alias("text")).join(wanted.hint("merge"), "rep").select("fp", "text")
+    sets = written(unit_sets(texts).groupBy("fp").agg(F.min("grams").alias("grams")), "near-sets", n_members)
 
     def ordered(x: DataFrame) -> DataFrame:
         return x.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct()
 
-    tried = written(ordered(members.where("fp <> pivot").select(F.col("fp").alias("p"), F.col("pivot").alias("q"))), "near-pairs")
-    found = written(verified(tried, sets), "near-links")
-    used = members.select("bucket", F.col("pivot").alias("fp")).distinct()
-    pivots = 8
-    while True:
-        roots = written(smallest_reachable(found), "near-roots")
-        here = members.select("bucket", "fp").join(used, ["bucket", "fp"], "left_anti").join(roots, F.col("fp") == F.col("node"), "left").select(
-            "bucket", "fp", F.coalesce("root", "fp").alias("root"))
-        here = written(here, "near-unsettled")
-        split = here.groupBy("bucket").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("bucket")
-        split = written(split, "near-split")
-        if split.isEmpty():
-            return roots
-        here = written(here.join(split, "bucket", "left_semi"), "near-open")
-        chosen = here.groupBy("bucket", F.pmod(F.xxhash64("fp"), F.lit(pivots)).alias("slot")).agg(F.min(F.struct("fp", "root")).alias("x"))
-        chosen = written(chosen.select("bucket", F.col("x.fp").alias("q"), F.col("x.root").alias("q_root")), "near-pivots")
-        pairs = here.withColumnRenamed("fp", "p").join(chosen, "bucket").where("p <> q AND root <> q_root").select("p", "q")
-        pairs = written(ordered(pairs).join(tried, ["a", "b"], "left_anti"), "near-pairs")
-        found = found.unionByName(written(verified(pairs, sets), "near-links"))
-        tried = tried.unionByName(pairs)
-        used = used.unionByName(chosen.select("bucket", F.col("q").alias("fp")))
-        pivots *= 8
+    pivots = members.join(wanted.select("fp", "rank"), "fp").groupBy("bucket").agg(F.max(F.struct("rank", "fp")).alias("x")).select("bucket", F.col("x.fp").alias("q"))
+    led = written(members.select("bucket", F.col("fp").alias("p")).join(written(pivots, "near-pivots", n_members), "bucket").where("p <> q"), "near-led", n_members)
+    edges = written(verified(written(ordered(led), "near-pairs", n_members), sets), "near-links", n_members)
+    roots = smallest_reachable(edges, edges.count())
+
+    here = led.select("bucket", F.col("p").alias("fp")).join(roots, F.col("fp") == F.col("node"), "left").select("bucket", "fp", F.coalesce("root", "fp").alias("root"))
+    here = written(here, "near-here", n_members)
+    parts = written(here.groupBy("bucket", "root").agg(F.count("*").alias("n")), "near-parts", n_members)
+    split = parts.groupBy("bucket").agg(F.count("*").alias("classes"), F.max(F.struct("n", "root")).alias("x")).where("classes > 1").select("bucket", F.col("x.root").alias("largest"))
+    crowd = written(here.join(written(split, "near-split", n_members), "bucket"), "near-crowd", n_members)
+    if crowd.isEmpty():
+        return roots
+    n_crowd = crowd.count()
+    everyone = written(crowd.groupBy("fp").agg(F.max(F.col("root") != F.col("largest")).alias("outside"), F.first("root").alias("root")), "near-everyone", n_crowd)
+    found = written(prefixes(sets.join(everyone.select("fp"), "fp")).join(everyone, "fp"), "near-prefixes")
+    asked = found.where("outside").select("token", F.col("fp").alias("p"), F.col("root").alias("p_root"), F.col("place").alias("p_place"), F.col("size").alias("p_size"))
+    # units before the first shared one are lost to the overlap: too many of them rule a pair out
+    overlap = SIMILARITY / (1 + SIMILARITY) * (F.col("size") + F.col("p_size")) - 1e-9
+    pairs = asked.join(found.select("token", F.col("fp").alias("q"), "root", "place", "size"), "token").where("p <> q AND root <> p_root").where(
+        F.least(F.col("size") - F.col("place"), F.col("p_size") - F.col("p_place")) + 1 >= overlap).select("p", "q")
+    more = written(verified(written(ordered(pairs), "near-pairs"), sets), "near-links")
+    stars = roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more)
+    return smallest_reachable(stars, stars.count())
 
 
 def near_duplicate_classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
