@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -70,3 +70,8 @@ def correlation(a: str, b: str, window: Window | None = None) -> Column:
     over = (lambda c: c.over(window)) if window is not None else (lambda c: c)
     spread = over(F.stddev_pop(a)) * over(F.stddev_pop(b))
     return F.coalesce(F.when(spread > 0, over(F.covar_pop(a, b)) / spread), F.lit(0.0))
+
+
+def once(df: DataFrame, name: str, expression: Column) -> DataFrame:
+    """Add a column that is computed once a row: unlike a projected one, what a generator yields is never inlined."""
+    return df.select("*", F.explode(F.array(expression)).alias(name))

@@ -66,7 +66,8 @@ def intersectional_gaps(groups: DataFrame) -> DataFrame:
 
 def rate_pivot(df: DataFrame, a: str, b: str, prediction: str, values: Sequence[str], least: int = SMALL_GROUP) -> DataFrame:
     """Rates by a down and b across; small groups stay blank."""
-    return df.groupBy(a).pivot(b, list(values)).agg(F.when(F.count("*") >= least, F.round(F.avg(F.col(prediction).cast("double")), 4)))
+    rates = df.groupBy(a, b).agg(F.round(F.avg(F.col(prediction).cast("double")), 4).alias("rate"), F.count("*").alias("n"))
+    return rates.groupBy(a).pivot(b, list(values)).agg(F.max(F.when(F.col("n") >= least, F.col("rate"))))
 
 
 def group_distribution(df: DataFrame, feature: str, attribute: str) -> DataFrame:

@@ -55,25 +55,28 @@ def degree_centrality(edges: DataFrame) -> DataFrame:
     return by.select("node", F.when(F.col("n") > 1, F.col("d") / (F.col("n") - 1)).otherwise(0.0).alias("degree_centrality"))
 
 
-def eigenvector_centrality(edges: DataFrame, rounds: int = 100, tolerance: float = 1e-6, checkpoint_every: int = 5) -> DataFrame:
-    """Power iteration from an even start, each round a join and a sum; a zero vector gives even values."""
-    spark = edges.sparkSession
-    edges, nodes = edges.cache(), nodes_of(edges).cache()
-    n = nodes.count()
-    scores = nodes.withColumn("x", F.lit(1.0 / max(n, 1)))
-    for k in range(1, rounds + 1):
+def eigenvector_centrality(edges: DataFrame, rounds: int = 100, tolerance: float = 1e-6) -> DataFrame:
+    """Power iteration from an even start, each round a join and a sum; a zero vector gives even values.
+
+    Scores are checkpointed every round where the session has a checkpoint folder, which cuts the lineage.
+    """
+    durable = edges.sparkSession.sparkContext.getCheckpointDir() is not None
+    keep = (lambda df: df.checkpoint()) if durable else (lambda df: df.cache())
+    edges = keep(edges.select("src", "dst", "weight"))
+    nodes = keep(nodes_of(edges))
+    n = max(nodes.count(), 1)
+    even = nodes.withColumn("x", F.lit(n**-0.5))
+    scores = even
+    for _ in range(rounds):
         raw = edges.join(scores, F.col("dst") == F.col("node")).groupBy("src").agg(F.sum(F.col("weight") * F.col("x")).alias("y"))
-        norm = raw.agg(F.sqrt(F.sum(F.col("y") * F.col("y")))).first()[0] or 0.0
-        if norm == 0:
-            return nodes.withColumn("eigenvector", F.lit(1.0 / max(n, 1)))
-        after = scores.join(raw, F.col("node") == F.col("src"), "left").select("node", F.col("x").alias("old"), (F.coalesce("y", F.lit(0.0)) / norm).alias("x"))
-        if k % checkpoint_every == 0 and spark.sparkContext.getCheckpointDir():
-            after = after.checkpoint()
-        else:
-            after = after.cache()
-        moved = after.agg(F.sqrt(F.sum(F.pow(F.col("x") - F.col("old"), 2)))).first()[0]
-        scores = after.drop("old")
-        if moved < tolerance:
+        after = keep(scores.join(raw, F.col("node") == F.col("src"), "left").select("node", "x", F.coalesce("y", F.lit(0.0)).alias("y")))
+        # both vectors have length 1, so their distance follows from one product
+        yy, xy = after.agg(F.sum(F.col("y") * F.col("y")), F.sum(F.col("x") * F.col("y"))).first()
+        if not yy:
+            return even.select("node", F.lit(1.0 / n).alias("eigenvector"))
+        norm = yy**0.5
+        scores = after.select("node", (F.col("y") / norm).alias("x"))
+        if max(0.0, 2 - 2 * xy / norm) ** 0.5 < tolerance:
             break
     return scores.withColumnRenamed("x", "eigenvector")
 

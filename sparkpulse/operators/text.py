@@ -12,7 +12,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import map_lookup, rate, words
+from ..functions.columns import map_lookup, once, rate, words
 
 #: Fixed values of the scoring rule: damping of a negated word, reach of a negation, marks' weight and bound, norm, label limit.
 NEGATED, REACH, MARK, MARKS, NORM, LABEL = -0.75, 3, 0.1, 0.3, 15.0, 0.2
@@ -25,7 +25,7 @@ def lexicon_sentiment(df: DataFrame, text: str, lexicon: Mapping[str, float], ne
     Exclamation marks strengthen the sum in its direction. A blank text is neutral, with confidence 0.
     """
     w = F.col("_words")
-    lookup = df.select("*", words(F.coalesce(F.col(text), F.lit(""))).alias("_words"))
+    lookup = once(df, "_words", words(F.coalesce(F.col(text), F.lit(""))))
 
     def scored(word: Column, i: Column) -> Column:
         before = F.slice(w, F.greatest(i - REACH + 1, F.lit(1)), F.least(i, F.lit(REACH)))
@@ -33,16 +33,16 @@ def lexicon_sentiment(df: DataFrame, text: str, lexicon: Mapping[str, float], ne
         score = map_lookup(lexicon, word) * F.when(negated, NEGATED).otherwise(1.0)
         return score * map_lookup(modifiers, F.get(w, i - 1), 1.0) if modifiers else score
 
-    scores = lookup.withColumn("_s", F.filter(F.transform(w, scored), lambda x: x.isNotNull()))
+    scores = once(lookup, "_s", F.transform(w, scored))
     total = F.aggregate("_s", F.lit(0.0), lambda a, x: a + x)
     marks = F.least(MARK * F.regexp_count(text, F.lit("!")), F.lit(MARKS))
-    lifted = F.when(total > 0, total + marks).otherwise(total - marks)
-    out = scores.withColumn("_total", F.when((F.size("_s") == 0) | (F.trim(text) == ""), 0.0).otherwise(lifted))
+    lifted = F.when(F.col("_sum") > 0, F.col("_sum") + marks).otherwise(F.col("_sum") - marks)
+    out = once(once(scores, "_sum", total), "_total", F.when((F.size("_s") == 0) | (F.trim(text) == ""), 0.0).otherwise(lifted))
     part = lambda keep: F.when(F.size("_s") == 0, 0.0).otherwise(F.size(F.filter("_s", keep)) / F.size("_s"))
-    out = out.withColumns({"compound": F.bround(F.col("_total") / F.sqrt(F.col("_total") * F.col("_total") + NORM), 4),
-                           "positive": F.bround(part(lambda x: x > 0), 4), "negative": F.bround(part(lambda x: x < 0), 4), "neutral": F.bround(part(lambda x: x == 0), 4)})
+    out = once(out, "compound", F.bround(F.col("_total") / F.sqrt(F.col("_total") * F.col("_total") + NORM), 4))
+    out = out.withColumns({"positive": F.bround(part(lambda x: x > 0), 4), "negative": F.bround(part(lambda x: x < 0), 4), "neutral": F.bround(part(lambda x: x == 0), 4)})
     label = F.when(F.col("compound") >= LABEL, "positive").when(F.col("compound") <= -LABEL, "negative").otherwise("neutral")
-    return out.withColumns({"label": label, "confidence": F.abs("compound")}).drop("_words", "_s", "_total")
+    return out.withColumns({"label": label, "confidence": F.abs("compound")}).drop("_words", "_s", "_sum", "_total")
 
 
 def sentiment_by(scored: DataFrame, group: str) -> DataFrame:

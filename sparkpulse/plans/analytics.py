@@ -7,8 +7,7 @@ from itertools import combinations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import fairness, forecast, graph, ml, rolling, text
-from ..streaming import jobs
+from ..operators import forecast, ml, rolling, text
 from .registry import query
 from .tables import as_text, rounded
 
@@ -25,7 +24,7 @@ def _features_sql() -> str:
     for n in rolling.WINDOWS:
         f = f"OVER ({w} ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW)"
         for c in COLUMNS:
-            out += [f"round(avg({c}) {f}, 4) AS {c}_mean_{n}", f"round(coalesce(stddev_samp({c}) {f}, 0), 4) AS {c}_std_{n}",
+            out += [f"round(avg({c}) {f} + 1e-9, 4) AS {c}_mean_{n}", f"round(coalesce(stddev_samp({c}) {f}, 0), 4) AS {c}_std_{n}",
                     f"round(coalesce(CASE WHEN count({c}) {f} >= 3 AND stddev_samp({c}) {f} > 0 THEN skewness({c}) {f} END, 0), 3) AS {c}_skew_{n}"]
     for c in COLUMNS:
         d = f"coalesce({c} - lag({c}) OVER ({w}), 0)"
@@ -41,7 +40,7 @@ def _features_sql() -> str:
 def rolling_features(t):
     out = rolling.features(series(t), "user_id", ORDER, COLUMNS)
     names = [c for c in out.columns if c not in ("user_id", "ts", "event_id", *COLUMNS)]
-    return out.select("event_id", *[F.round(c, 3 if "_skew_" in c else 4).alias(c) for c in names])
+    return out.select("event_id", *[F.round(F.col(c) + 1e-9 if "_mean_" in c else F.col(c), 3 if "_skew_" in c else 4).alias(c) for c in names])  # ties go up in both engines
 
 
 @query()
@@ -49,9 +48,9 @@ def fft_peaks(t):
     return rolling.fft_peak(series(t), "user_id", ORDER, "value").select("event_id", "value_fft_peak")
 
 
-TRENDS = """WITH by AS (SELECT event_type, strftime(ts, '%Y-%m-%d') AS period, avg(value) AS mean, stddev_samp(value) AS std, count(value) AS n FROM events GROUP BY ALL HAVING count(value) >= 20),
-  idx AS (SELECT period, row_number() OVER (ORDER BY period) AS i FROM (SELECT DISTINCT period FROM by)),
-  tr AS (SELECT b.*, b.mean - p.mean AS change FROM (SELECT * FROM by JOIN idx USING (period)) b LEFT JOIN (SELECT * FROM by JOIN idx USING (period)) p ON p.event_type = b.event_type AND p.i = b.i - 1),
+TRENDS = """WITH means AS (SELECT event_type, strftime(ts, '%Y-%m-%d') AS period, avg(value) AS mean, stddev_samp(value) AS std, count(value) AS n FROM events GROUP BY ALL HAVING count(value) >= 20),
+  idx AS (SELECT period, row_number() OVER (ORDER BY period) AS i FROM (SELECT DISTINCT period FROM means)),
+  tr AS (SELECT b.*, b.mean - p.mean AS change FROM (SELECT * FROM means JOIN idx USING (period)) b LEFT JOIN (SELECT * FROM means JOIN idx USING (period)) p ON p.event_type = b.event_type AND p.i = b.i - 1),
   sh AS (SELECT * FROM (SELECT *, lag(period) OVER (PARTITION BY event_type ORDER BY period) AS period_from FROM tr) WHERE abs(change) >= 15)"""
 
 
@@ -225,9 +224,9 @@ HOLT = MONTHS.replace("WITH m", "WITH RECURSIVE m") + """, h AS (SELECT s.seg, s
     .3 * s.y + .7 * (h.level + h.trend) + .1 * (.3 * s.y + .7 * (h.level + h.trend) - h.level) + .9 * h.trend FROM h JOIN s ON s.seg = h.seg AND s.i = h.i + 1)"""
 
 
-@query(HOLT + " SELECT seg, month, round(fitted, 4) AS fitted FROM h")
+@query(HOLT + " SELECT seg, month, round(fitted, 4) + 0.0 AS fitted FROM h")
 def holt_fit(t):
-    return rounded(forecast.holt(monthly(t), "seg", "month", "y")[0].select("seg", "month", "fitted"), "fitted")
+    return rounded(forecast.holt(monthly(t), "seg", "month", "y")[0].select("seg", "month", "fitted"), "fitted").withColumn("fitted", F.col("fitted") + 0.0)  # no -0
 
 
 @query(HOLT + """, e AS (SELECT * FROM h QUALIFY row_number() OVER (PARTITION BY seg ORDER BY i DESC) = 1), sg AS (SELECT seg, stddev_pop(y - fitted) AS sigma FROM h GROUP BY ALL)
