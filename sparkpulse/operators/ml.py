@@ -315,3 +315,31 @@ def last_alerts(alerts: DataFrame, ts: str, n: int, ties: Sequence[str], severit
 
 def prediction_log_summary(log: DataFrame, by: Sequence[str], anomaly: Column, score: str) -> DataFrame:
     return log.groupBy(*by).agg(F.count("*").alias("samples"), F.count_if(anomaly).alias("anomalies"), F.round(F.avg(score), 6).alias("avg_score"))
+
+
+# Which features a model can do without
+
+
+def cross_validated_accuracy(df: DataFrame, key: str, features: Sequence[str], label: str, k: int = 5) -> float:
+    """Mean accuracy over folds by hash of the key, of logistic regression on numeric features."""
+    fold, total = F.pmod(F.xxhash64(F.col(key), F.lit(11)), F.lit(k)), 0.0
+    pipeline = logistic_pipeline(list(features), [], label, 100)
+    for i in range(k):
+        scored = pipeline.fit(df.where(fold != i)).transform(df.where(fold == i))
+        total += scored.agg(F.avg((F.col("prediction") == F.col(label)).cast("double"))).first()[0] or 0.0
+    return total / k
+
+
+def feature_necessity(df: DataFrame, key: str, features: Sequence[str], label: str, k: int = 5, least_drop: float = 0.01) -> DataFrame:
+    """Rows (feature, accuracy_without, drop, necessary): a feature is necessary if leaving it out costs more than ``least_drop``.
+
+    The table is read once into the cluster's cache; models go one after the other, each fitted on all its rows.
+    """
+    held = df.select(key, label, *features).dropna().cache()
+    whole = cross_validated_accuracy(held, key, features, label, k)
+    rows = []
+    for f in features:
+        without = cross_validated_accuracy(held, key, [x for x in features if x != f], label, k) if len(features) > 1 else 0.0
+        rows.append((f, float(without), float(whole - without), bool(whole - without > least_drop)))
+    held.unpersist()
+    return df.sparkSession.createDataFrame(rows, "feature string, accuracy_without double, drop double, necessary boolean")

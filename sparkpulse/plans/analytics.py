@@ -33,6 +33,7 @@ def _features_sql() -> str:
     f = f"OVER ({w} ROWS BETWEEN 59 PRECEDING AND CURRENT ROW)"
     for a, b in combinations(COLUMNS, 2):
         out.append(f"round(coalesce(CASE WHEN count(*) {f} >= 30 THEN corr({a}, {b}) {f} END, 0), 4) AS corr_{a}_{b}")
+    out = [x.replace(" AS ", " + 0.0 AS ") if x.startswith("round(") else x for x in out]  # no -0
     return f"SELECT event_id, {', '.join(out)} FROM (SELECT user_id, ts, event_id, value, (event_id % 97)::DOUBLE AS second FROM events)"
 
 
@@ -40,7 +41,7 @@ def _features_sql() -> str:
 def rolling_features(t):
     out = rolling.features(series(t), "user_id", ORDER, COLUMNS)
     names = [c for c in out.columns if c not in ("user_id", "ts", "event_id", *COLUMNS)]
-    return out.select("event_id", *[F.round(F.col(c) + 1e-9 if "_mean_" in c else F.col(c), 3 if "_skew_" in c else 4).alias(c) for c in names])  # ties go up in both engines
+    return out.select("event_id", *[(F.round(F.col(c) + 1e-9 if "_mean_" in c else F.col(c), 3 if "_skew_" in c else 4) + 0.0).alias(c) for c in names])  # ties go up in both engines
 
 
 @query()

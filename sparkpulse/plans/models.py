@@ -161,8 +161,8 @@ def node_metrics(t):
     return rounded(graph.node_metrics(network(t)), "internal_ratio", digits=6)
 
 
-@query(TRADE + """, n AS (SELECT count(DISTINCT src) AS nodes FROM w) SELECT nodes, count(*) AS edges, round(avg(weight), 6) AS mean_weight, (SELECT round(avg((src <> dst)::INT), 6) FROM e) AS cross_share,
-  round(count(*) / (nodes * (nodes - 1)), 6) AS density, round(count(*) / nodes, 6) AS mean_degree FROM w, n WHERE src <> dst GROUP BY nodes""")
+@query(TRADE + """, n AS (SELECT count(DISTINCT src) AS nodes FROM w) SELECT (SELECT nodes FROM n) AS nodes, count(*) AS edges, round(avg(weight), 6) AS mean_weight, (SELECT round(avg((src <> dst)::INT), 6) FROM e) AS cross_share,
+  coalesce(round(count(*) / nullif(any_value(nodes) * (any_value(nodes) - 1), 0), 6), 0) AS density, coalesce(round(count(*) / nullif(any_value(nodes), 0), 6), 0) AS mean_degree FROM w, n WHERE src <> dst""")
 def network_metrics(t):
     return rounded(graph.network_metrics(network(t), trade(t), "crosses"), "mean_weight", "cross_share", "density", "mean_degree", digits=6)
 
@@ -233,6 +233,11 @@ def churn_cross_validation(t):
     return rounded(ml.cross_validate_auc(rows, "c_custkey", ml.logistic_pipeline(["c_acctbal", "n", "mean_total"], ["c_mktsegment"], "left", rows.count()), "left", 3), "auc", digits=6)
 
 
+@query()
+def feature_necessity(t):
+    return rounded(ml.feature_necessity(churn(t), "c_custkey", ["c_acctbal", "n", "mean_total"], "left", k=3), "accuracy_without", "drop", digits=6)
+
+
 def vectors(t, n: int = 6) -> tuple[DataFrame, list[str]]:
     names = [f"x{i}" for i in range(n)]
     return t.embeddings.select("vec_id", "label", *[F.get("embedding", F.lit(i)).cast("double").alias(x) for i, x in enumerate(names)]), names
@@ -276,7 +281,7 @@ def drift_summary(t):
 
 
 @query("""WITH c AS (SELECT user_id % 5 AS site, count(*) FILTER (value > 250 AND event_type = 'error') AS tp, count(*) FILTER (value > 250 AND event_type <> 'error') AS fp, count(*) FILTER (value <= 250 AND event_type = 'error') AS fn, count(*) FILTER (value <= 250 AND event_type <> 'error') AS tn FROM events GROUP BY ALL)
-  SELECT *, round(tp / (tp + fp), 4) AS precision, round(tp / (tp + fn), 4) AS recall, round((tp + tn) / (tp + fp + fn + tn), 4) AS accuracy, round(2 * tp / (2 * tp + fp + fn), 4) AS f1 FROM c""")
+  SELECT *, round(coalesce(tp / nullif(tp + fp, 0), 0), 4) AS precision, round(coalesce(tp / nullif(tp + fn, 0), 0), 4) AS recall, round((tp + tn) / (tp + fp + fn + tn), 4) AS accuracy, round(coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0), 4) AS f1 FROM c""")
 def binary_metrics(t):
     rows = t.events.select((F.col("user_id") % 5).alias("site"), (F.col("value") > 250).cast("int").alias("p"), (F.col("event_type") == "error").cast("int").alias("a"))
     return ml.binary_metrics(rows, F.col("p"), F.col("a"), ["site"])

@@ -312,7 +312,7 @@ def suppress_rare(t):
     return fairness.suppress_rare(t.customer.select("c_custkey", *QI), QI, 12).select("c_custkey", *QI)
 
 
-@query(f"SELECT (SELECT count(*) FROM customer) AS rows_before, (SELECT sum(n)::BIGINT FROM {GROUPS} WHERE n >= 12) AS rows_after, (SELECT min(n) FROM {GROUPS}) AS k_before, (SELECT min(n) FROM {GROUPS} WHERE n >= 12) AS k_after, (SELECT min(n) FROM {GROUPS} WHERE n >= 12) IS NOT NULL AS meets")
+@query(f"SELECT (SELECT count(*) FROM customer) AS rows_before, (SELECT coalesce(sum(n), 0)::BIGINT FROM {GROUPS} WHERE n >= 12) AS rows_after, (SELECT min(n) FROM {GROUPS}) AS k_before, (SELECT min(n) FROM {GROUPS} WHERE n >= 12) AS k_after, (SELECT min(n) FROM {GROUPS} WHERE n >= 12) IS NOT NULL AS meets")
 def anonymize_report(t):
     return fairness.anonymize(t.customer, QI, 12)[1]
 
