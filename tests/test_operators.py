@@ -188,3 +188,10 @@ def test_files_round_trip(spark, tmp_path):
 def test_upsert_replaces_by_key(spark):
     a, b = spark.createDataFrame([(1, "x"), (2, "y")], "k long, v string"), spark.createDataFrame([(2, "z"), (3, "w")], "k long, v string")
     assert rows(io.upsert(a, b, "k")) == [(1, "x"), (2, "z"), (3, "w")]
+
+
+def test_jdbc_reads_recent_rows_in_parts(spark):
+    url, driver = "jdbc:derby:memory:orders;create=true", "org.apache.derby.iapi.jdbc.AutoloadedDriver"
+    spark.sql("SELECT id, CASE WHEN id % 2 = 0 THEN current_timestamp() ELSE TIMESTAMP '2000-01-01 00:00:00' END AS updated FROM range(20)").write.format("jdbc").options(url=url, dbtable="orders", driver=driver).mode("overwrite").save()
+    got = io.read_jdbc_incremental(spark, url, "orders", '"updated"', "TIMESTAMP('2020-01-01 00:00:00')", "id", 0, 20, 8, driver=driver)
+    assert got.rdd.getNumPartitions() == 8 and sorted(r.id for r in got.collect()) == list(range(0, 20, 2))
