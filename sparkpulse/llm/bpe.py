@@ -26,7 +26,9 @@ WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 SPECIAL = regex.compile(r"(<\|startoftext\|>|<\|endoftext\|>)")
 WORD_END = "</w>"
 #: Words kept with their ids between batches of a task; beyond it the table starts anew. It bounds memory only.
-CACHED_WORDS = 400_000
+CACHED_WORDS = 200_000
+#: Characters of texts that are split and merged at a time.
+TOGETHER = 1_000_000
 
 
 def byte_letters() -> list[str]:
@@ -186,7 +188,18 @@ class Encoder:
         self.known: dict[str, int] = {}
         self.ids, self.sizes = np.zeros(0, dtype=np.uint32), np.zeros(0, dtype=np.int64)
 
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
+    def encode(self, texts: list[str]) -> Iterator[np.ndarray]:
+        """The ids of each text in turn; a slice of about TOGETHER characters is held as words at a time."""
+        part, size = [], 0
+        for text in texts:
+            part.append(text)
+            size += len(text)
+            if size >= TOGETHER:
+                yield from self._slice(part)
+                part, size = [], 0
+        yield from self._slice(part)
+
+    def _slice(self, texts: list[str]) -> list[np.ndarray]:
         if len(self.known) > CACHED_WORDS:
             self._clear()
         per_text = [split_words(t) for t in texts]
