@@ -29,8 +29,10 @@ COORDINATES = BANDS * ROWS
 DARTS = COORDINATES * np.log(COORDINATES) + 2 * COORDINATES
 #: The first region ends at rank 2^LOWEST; each later one at twice the rank.
 LOWEST = -12
-#: Texts in one pass of numpy, which bounds its arrays.
-TEXTS = 256
+#: Texts, and about how many of their characters or bytes, in one pass of numpy, which bounds its arrays.
+TEXTS, TOGETHER = 256, 500_000
+#: Words whose hashes a task remembers; beyond it the table starts anew.
+REMEMBERED = 100_000
 WORD = re.compile(r"\w+")
 
 
@@ -45,12 +47,24 @@ class WordHashes(dict):
     """Word -> hash, computed once a task; emptied when large."""
 
     def __missing__(self, word: str) -> int:
-        if len(self) > 500_000:
+        if len(self) > REMEMBERED:
             self.clear()
         h = self[word] = xxhash.xxh64_intdigest(word)
         return h
 
 
+def slices(frame: pd.DataFrame, column: str) -> Iterator[pd.DataFrame]:
+    """Consecutive rows in pieces of TEXTS rows at most, and of about TOGETHER characters or bytes of a column."""
+    start = size = 0
+    for i, x in enumerate(frame[column]):
+        size += len(x) if x is not None else 0
+        if size >= TOGETHER or i + 1 - start >= TEXTS:
+            yield frame.iloc[start : i + 1]
+            start, size = i + 1, 0
+    if start < len(frame):
+        yield frame.iloc[start:]
+
+
 def units(texts: list[str], hashes: WordHashes) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
     """All texts' units of weight as hashes, the text each belongs to, and each text's fingerprint.
 
@@ -133,8 +147,7 @@ def signatures(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hashes = WordHashes()
         for frame in frames:
-            for at in range(0, len(frame), TEXTS):
-                part = frame.iloc[at : at + TEXTS]
+            for part in slices(frame, "text"):
                 unit, text_of, prints = units([t or "" for t in part.text], hashes)
                 keys = pd.DataFrame(bands(unit, text_of, len(part)), columns=names, dtype="Int64")
                 keys[np.bincount(text_of, minlength=len(part)) == 0] = pd.NA
@@ -152,8 +165,7 @@ def unit_sets(texts: DataFrame) -> DataFrame:
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hashes = WordHashes()
         for frame in frames:
-            for at in range(0, len(frame), TEXTS):
-                part = frame.iloc[at : at + TEXTS]
+            for part in slices(frame, "text"):
                 unit, text_of, prints = units(list(part.text), hashes)
                 ends = np.searchsorted(text_of, np.arange(len(part) + 1))
                 packed = [np.unique((unit[a:b] >> np.uint64(32)).astype(np.uint32)).tobytes() for a, b in zip(ends[:-1], ends[1:], strict=True)]
@@ -221,8 +233,7 @@ def prefixes(sets: DataFrame) -> DataFrame:
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            for at in range(0, len(frame), TEXTS):
-                part = frame.iloc[at : at + TEXTS]
+            for part in slices(frame, "grams"):
                 units_of = [np.frombuffer(x, dtype=np.uint32) for x in part.grams]
                 sizes = [len(x) for x in units_of]
                 yield pd.DataFrame({"fp": np.repeat(part.fp.to_numpy(), sizes), "size": np.repeat(sizes, sizes), "token": np.concatenate(units_of).astype(np.int64)})
