@@ -63,6 +63,17 @@ def test_lines_agree_with_a_walk_over_chunks(spark):
     assert all(r.lines == "kept" for r in got.values()) and line_dedup.dedup_lines(df.where("1 = 0")).count() == 0
 
 
+def test_repeated_passages_of_50_words_go_wherever_they_stand(spark):
+    rng = np.random.default_rng(6)
+    prose = lambda n: " ".join(f"w{x}" for x in rng.integers(0, 3000, n))
+    passages = [prose(50) for _ in range(40)]
+    firsts = {i: f"{prose(60)} {p} {prose(60)}" for i, p in enumerate(passages)}
+    frames = {100 + i: (prose(30), prose(30)) for i in range(40)}
+    df = spark.createDataFrame([*firsts.items(), *((d, f"{a} {passages[d - 100]}\n{b}") for d, (a, b) in frames.items())], "doc_id long, text string")
+    got = {r.doc_id: r.text for r in line_dedup.dedup_lines(df).collect()}
+    assert all(got[d] == t for d, t in firsts.items()) and all(got[d] == f"{a} {b}" for d, (a, b) in frames.items())
+
+
 # 3
 
 
