@@ -238,7 +238,9 @@ def feature_necessity(t):
     return rounded(ml.feature_necessity(churn(t), "c_custkey", ["c_acctbal", "n", "mean_total"], "left", k=3), "accuracy_without", "drop", digits=6)
 
 
-def vectors(t, n: int = 6) -> tuple[DataFrame, list[str]]:
+def vectors(t) -> tuple[DataFrame, list[str]]:
+    """All components of the embeddings as columns; as many as the longest has."""
+    n = t.embeddings.agg(F.max(F.size("embedding"))).first()[0] or 0
     names = [f"x{i}" for i in range(n)]
     return t.embeddings.select("vec_id", "label", *[F.get("embedding", F.lit(i)).cast("double").alias(x) for i, x in enumerate(names)]), names
 
