@@ -66,13 +66,13 @@ def topic_words(df: DataFrame, text: str, stop_words: Sequence[str]) -> DataFram
 
 
 def fit_topics(docs: DataFrame, column: str = "clean", k: int = 6, seed: int = 42, least_docs: int = 3, most_share: float = 0.8, terms: int = 500, rounds: int = 20) -> PipelineModel:
-    """Online LDA over word counts; an error for fewer than 2k texts that aren't empty."""
+    """Online LDA over word counts, each round over all texts; an error for fewer than 2k texts that aren't empty."""
     filled = docs.where(F.length(column) > 0)
     if filled.limit(2 * k).count() < 2 * k:
         raise ValueError(f"topics need at least {2 * k} texts that aren't empty")
     return Pipeline(stages=[
         RegexTokenizer(inputCol=column, outputCol="_tokens", pattern=" "), CountVectorizer(inputCol="_tokens", outputCol="_counts", minDF=least_docs, maxDF=most_share, vocabSize=terms),
-        LDA(k=k, optimizer="online", maxIter=rounds, seed=seed, featuresCol="_counts", topicDistributionCol="_topics")]).fit(filled)
+        LDA(k=k, optimizer="online", maxIter=rounds, subsamplingRate=1.0, seed=seed, featuresCol="_counts", topicDistributionCol="_topics")]).fit(filled)
 
 
 def topic_table(model: PipelineModel, n: int = 10) -> DataFrame:

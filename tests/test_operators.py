@@ -73,6 +73,12 @@ def test_topics_refuse_few_texts(spark):
         text.fit_topics(spark.createDataFrame([("one text",)], "clean string"))
 
 
+def test_topics_are_fitted_on_all_texts_in_each_round(spark):
+    docs = spark.createDataFrame([("alpha beta gamma",), ("delta epsilon zeta",)] * 20, "clean string")
+    fitted = text.fit_topics(docs, k=2, rounds=3).stages[2]
+    assert fitted.getSubsamplingRate() == 1.0 and fitted.getMaxIter() == 3
+
+
 def test_holt_agrees_with_a_plain_loop(spark):
     y = [5.0, 7.0, 6.0, 9.0, 12.0, 10.0, 13.0]
     df = spark.createDataFrame([("k", i, v) for i, v in enumerate(y)], "k string, t int, y double")
