@@ -178,6 +178,17 @@ def test_html_of_odd_pages(spark):
     assert html_extract.extract_main_text(df.where("1 = 0")).count() == 0
 
 
+def test_html_counts_all_pages_layouts_and_each_main_text_once(spark):
+    story = lambda d, i: f"Story {i} of {d}"
+    rows = [(i, f"http://two.example/en/{i}", f"<div class=top>Our slogan</div><p>{story('en', i)}</p>") for i in range(30)]
+    rows += [(100 + i, f"http://two.example/de/{i}", f"<div class=top>Unser Motto</div><p>{story('de', i)}</p>") for i in range(30)]
+    rows += [(200 + i, f"http://copy.example/x/{i}", f"<nav>menu {i}</nav><p>The same article</p>") for i in range(20)]
+    rows += [(300 + i, f"http://copy.example/x/y{i}", f"<p>{story('copy', i)}</p>") for i in range(4)]
+    got = {r.page_id: r.text for r in html_extract.extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    want = {i: story("en", i) for i in range(30)} | {100 + i: story("de", i) for i in range(30)} | {200 + i: "The same article" for i in range(20)} | {300 + i: story("copy", i) for i in range(4)}
+    assert got == want
+
+
 # 7
 
 
