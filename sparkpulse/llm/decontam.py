@@ -69,10 +69,14 @@ def tiles(doc: list[int], item: list[int], least: int = LEAST) -> list[tuple[int
         if longest > 2 * length:
             length = longest
             continue
+        marked = len(found)
         for n, d, p in sorted(matches, key=lambda m: (-m[0], m[1], m[2])):
             if all(free_doc[d : d + n]) and all(free_item[p : p + n]):
                 free_doc[d : d + n] = free_item[p : p + n] = [False] * n
                 found.append((d, p, n))
+        # a longer tile may have taken the end of a match whose rest is free, so a pass that marked some is repeated
+        if len(found) > marked:
+            continue
         if length == least:
             return found
         length = max(least, length // 2)

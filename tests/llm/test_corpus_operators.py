@@ -226,6 +226,12 @@ def test_tiles_are_the_longest_first():
     assert decontam.tiles(doc, item, 3) == [(7, 2, 6)] and decontam.tiles([1, 2, 3], [4, 5, 6], 3) == [] and decontam.tiles([7] * 12, [7] * 6, 3)[0][2] == 6
 
 
+def test_the_free_rest_of_a_match_becomes_a_tile():
+    item = list(range(1, 21))
+    doc = [*item[7:16], 99, *item[:8]]  # the longer part takes the word in common, and seven stay free
+    assert sorted(decontam.tiles(doc, item)) == [(0, 7, 9), (10, 0, 7)]
+
+
 # 9
 
 
