@@ -47,6 +47,24 @@ def dropped(spark: SparkSession, df: DataFrame) -> None:
         path.getFileSystem(conf).delete(path, True)
 
 
+class Scratch:
+    """Written tables that go when the block ends; what outlives it is written apart, or read before."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.tables = spark, []
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def written(self, df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
+        self.tables.append(written(df, name, rows))
+        return self.tables[-1]
+
+    def __exit__(self, *_) -> None:
+        for df in self.tables:
+            dropped(self.spark, df)
+
+
 def barrier(df: DataFrame, name: str, expr) -> DataFrame:
     """Add a column that is computed once a row, even if lambdas use it many times.
 
