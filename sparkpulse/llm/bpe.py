@@ -17,9 +17,13 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
+
+from .common import arrow_slices
 
 #: Fixed values of the vocabulary file's format: its split pattern, its two special tokens, its end-of-word mark.
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -219,6 +223,34 @@ class Encoder:
         return out
 
 
+def encode_rows(df: DataFrame, vocabulary_path: str, keep: list[str], text: str = "text", with_ids: bool = True) -> DataFrame:
+    """Columns ``keep``, ids (array of int, if asked for), n_tokens, ids_sha256 and decoded_sha256 of each row, in one pass.
+
+    Texts come and results go in pieces of about TOGETHER bytes, and a decoded text is forgotten once its digest is
+    made. A null text counts as empty: no ids, and the digests of nothing. Rows are taken as they come: repeated
+    rows give repeated results, and an empty table gives none. Columns of ``keep`` that clash with a result are left out.
+    """
+    made = [*["ids"] * with_ids, "n_tokens", "ids_sha256", "decoded_sha256"]
+    kept = [c for c in keep if c not in made]
+    source = df.select(*[F.col(c).alias(f"in_{c}") for c in kept], F.col(text).alias("text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = Encoder(vocabulary_path)
+        for part in arrow_slices(batches, "text", TOGETHER, 10_000):
+            found = list(encoder.encode([t or "" for t in part.column("text").to_pylist()]))
+            sizes = np.array([len(x) for x in found], dtype=np.int64)
+            digest = [hashlib.sha256(x.astype("<u4").tobytes()).hexdigest() for x in found]
+            decoded = [hashlib.sha256(encoder.v.decode(x.astype(np.int64)) if len(x) else b"").hexdigest() for x in found]
+            out = [part.column(f"in_{c}") for c in kept]
+            if with_ids:
+                out.append(pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)], pa.int32()), pa.array(np.concatenate(found).astype(np.int32))))
+            yield pa.RecordBatch.from_arrays([*out, pa.array(sizes), pa.array(digest), pa.array(decoded)], names=[*kept, *made])
+
+    kinds = {"ids": ArrayType(IntegerType()), "n_tokens": LongType(), "ids_sha256": StringType(), "decoded_sha256": StringType()}
+    schema = StructType([StructField(c, df.schema[c].dataType) for c in kept] + [StructField(c, kinds[c]) for c in made])
+    return source.mapInArrow(run, schema)
+
+
 def encode_texts(df: DataFrame, vocabulary_path: str, text: str = "text", ids: str = "ids") -> DataFrame:
     """Add the ids of each text as an array of int. A null text counts as empty and gives an empty array.
 
@@ -244,17 +276,5 @@ def decode_ids(df: DataFrame, vocabulary_path: str, ids: str = "ids", decoded: s
 
 
 def digests(df: DataFrame, vocabulary_path: str, text: str = "text") -> DataFrame:
-    """Add n_tokens, ids_sha256 and decoded_sha256 of each text's ids and of their decoding, without keeping either.
-
-    Rows are taken as they come: repeated rows give repeated results, and an empty table gives none.
-    """
-
-    def run(series: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        encoder = Encoder(vocabulary_path)
-        for s in series:
-            rows = [(len(ids), hashlib.sha256(ids.astype("<u4").tobytes()).hexdigest(), hashlib.sha256(encoder.v.decode(ids.astype(np.int64)) if len(ids) else b"").hexdigest())
-                    for ids in encoder.encode([t or "" for t in s])]
-            yield pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
-
-    made = F.pandas_udf(run, "n_tokens long, ids_sha256 string, decoded_sha256 string")(F.col(text))
-    return df.withColumn("_made", made).select(*[c for c in df.columns if c not in ("n_tokens", "ids_sha256", "decoded_sha256")], "_made.*")
+    """``df`` with n_tokens, ids_sha256 and decoded_sha256 of each text's ids and of their decoding, in place of its text."""
+    return encode_rows(df, vocabulary_path, [c for c in df.columns if c != text], text, with_ids=False)

@@ -4,8 +4,12 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,8 +20,10 @@ def own_root() -> str:
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; where that is unset (tests on one machine), a new local folder."""
+    """The folder in spark.checkpoint.dir; where that is unset and all tasks run in this process, a new local folder."""
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not root and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return (root or own_root()).rstrip("/")
 
 
@@ -80,3 +86,16 @@ def text_or_empty(column: str = "text"):
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def arrow_slices(batches: Iterable[pa.RecordBatch], column: str, together: int, rows: int) -> Iterator[pa.RecordBatch]:
+    """Consecutive rows in pieces of ``rows`` at most, and of about ``together`` bytes of a text or binary column."""
+    for batch in batches:
+        sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+        ends = np.cumsum(sizes, dtype=np.int64)
+        start = 0
+        while start < len(sizes):
+            full = int(np.searchsorted(ends, (ends[start - 1] if start else 0) + together)) + 1
+            end = min(full, start + rows, len(sizes))
+            yield batch.slice(start, end - start)
+            start = end

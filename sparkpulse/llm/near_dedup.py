@@ -15,11 +15,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import Scratch, arrow_slices, written
 
 WORDS = 5
 SIMILARITY = 0.8
@@ -29,10 +30,12 @@ COORDINATES = BANDS * ROWS
 DARTS = COORDINATES * np.log(COORDINATES) + 2 * COORDINATES
 #: The first region ends at rank 2^LOWEST; each later one at twice the rank.
 LOWEST = -12
-#: Texts, and about how many of their characters or bytes, in one pass of numpy, which bounds its arrays.
+#: Texts, and about how many of their bytes, in one pass of numpy, which bounds its arrays.
 TEXTS, TOGETHER = 256, 500_000
 #: Words whose hashes a task remembers; beyond it the table starts anew.
 REMEMBERED = 100_000
+#: Steps of set sizes by which prefix probes are joined.
+GRAIN = 1.05
 WORD = re.compile(r"\w+")
 
 
@@ -53,18 +56,6 @@ class WordHashes(dict):
         return h
 
 
-def slices(frame: pd.DataFrame, column: str) -> Iterator[pd.DataFrame]:
-    """Consecutive rows in pieces of TEXTS rows at most, and of about TOGETHER characters or bytes of a column."""
-    start = size = 0
-    for i, x in enumerate(frame[column]):
-        size += len(x) if x is not None else 0
-        if size >= TOGETHER or i + 1 - start >= TEXTS:
-            yield frame.iloc[start : i + 1]
-            start, size = i + 1, 0
-    if start < len(frame):
-        yield frame.iloc[start:]
-
-
 def units(texts: list[str], hashes: WordHashes) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
     """All texts' units of weight as hashes, the text each belongs to, and each text's fingerprint.
 
@@ -139,40 +130,42 @@ def bands(unit: np.ndarray, text_of: np.ndarray, n_texts: int) -> np.ndarray:
     return key.view(np.int64)
 
 
+def with_rows(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Add row_a and row_b, 96 bits of hash of a row's key and text: rows that share them are repeated rows."""
+    return docs.withColumns({"row_a": F.xxhash64(key, F.coalesce(text, F.lit(""))), "row_b": F.hash(F.coalesce(text, F.lit("")), key)})
+
+
 def signatures(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Rows (doc_id, fp, b0 ..): fingerprint and bucket keys of every row; keys are null for texts without words."""
+    """Rows (doc_id, row_a, row_b, fp, b0 ..): fingerprint and bucket keys of every row; keys are null for texts without words."""
     names = [f"b{i}" for i in range(BANDS)]
-    kind = docs.schema[key].dataType.simpleString()
+    source = with_rows(docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text")))
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
-        for frame in frames:
-            for part in slices(frame, "text"):
-                unit, text_of, prints = units([t or "" for t in part.text], hashes)
-                keys = pd.DataFrame(bands(unit, text_of, len(part)), columns=names, dtype="Int64")
-                keys[np.bincount(text_of, minlength=len(part)) == 0] = pd.NA
-                keys.insert(0, "fp", prints)
-                keys.insert(0, "doc_id", part.doc_id.array)
-                yield keys
+        for part in arrow_slices(batches, "text", TOGETHER, TEXTS):
+            unit, text_of, prints = units([t or "" for t in part.column("text").to_pylist()], hashes)
+            keys = bands(unit, text_of, part.num_rows)
+            absent = np.bincount(text_of, minlength=part.num_rows) == 0
+            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("doc_id", "row_a", "row_b")), pa.array(prints, pa.binary()), *(pa.array(keys[:, j].copy(), mask=absent) for j in range(BANDS))], names=["doc_id", "row_a", "row_b", "fp", *names])
 
-    return docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text")).mapInPandas(
-        run, f"doc_id {kind}, fp binary, " + ", ".join(f"{n} long" for n in names))
+    schema = source.drop("text").schema.add("fp", "binary")
+    for n in names:
+        schema = schema.add(n, "long")
+    return source.mapInArrow(run, schema)
 
 
 def unit_sets(texts: DataFrame) -> DataFrame:
-    """Rows (fp, n, grams) for rows (fp, text): the text's units, cut to 32 bits, sorted and packed."""
+    """Rows (fp, grams) for rows (fp, text): the text's units, cut to 32 bits, sorted and packed."""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
-        for frame in frames:
-            for part in slices(frame, "text"):
-                unit, text_of, prints = units(list(part.text), hashes)
-                ends = np.searchsorted(text_of, np.arange(len(part) + 1))
-                packed = [np.unique((unit[a:b] >> np.uint64(32)).astype(np.uint32)).tobytes() for a, b in zip(ends[:-1], ends[1:], strict=True)]
-                out = pd.DataFrame({"fp": prints, "grams": packed})
-                yield out[[bytes(x) == y for x, y in zip(part.fp, prints, strict=True)]]
+        for part in arrow_slices(batches, "text", TOGETHER, TEXTS):
+            unit, text_of, prints = units(part.column("text").to_pylist(), hashes)
+            ends = np.searchsorted(text_of, np.arange(part.num_rows + 1))
+            packed = [np.unique((unit[a:b] >> np.uint64(32)).astype(np.uint32)).tobytes() for a, b in zip(ends[:-1], ends[1:], strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(prints, pa.binary()), pa.array(packed, pa.binary())], names=["fp", "grams"])
 
-    return texts.mapInPandas(run, "fp binary, grams binary")
+    return texts.select("fp", "text").mapInArrow(run, "fp binary, grams binary")
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -194,7 +187,7 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").mapInPandas(run, "a binary, b binary")
 
 
-def smallest_reachable(edges: DataFrame, rows: int) -> DataFrame:
+def smallest_reachable(edges: DataFrame, rows: int, scratch: Scratch) -> DataFrame:
     """Rows (node, root): each node's smallest reachable node, by alternating large-star and small-star steps.
 
     Every step is an aggregation and a join, over tables of ``rows`` or so edges that are written between steps.
@@ -203,18 +196,18 @@ def smallest_reachable(edges: DataFrame, rows: int) -> DataFrame:
 
     def star(e: DataFrame, large: bool) -> DataFrame:
         near = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b"))) if large else e
-        least = written(near.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "cc-least", rows)
+        least = scratch.written(near.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "cc-least", rows)
         linked = near.join(least, "a")
         if large:
             out = linked.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         else:
             out = linked.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
-        return written(out.where("a <> b").distinct(), "cc-edges", rows)
+        return scratch.written(out.where("a <> b").distinct(), "cc-edges", rows)
 
     def state(e: DataFrame) -> tuple:
         return tuple(e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
 
-    e = written(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "cc-edges", rows)
+    e = scratch.written(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "cc-edges", rows)
     now = state(e)
     while now[0]:
         e = star(star(e, large=True), large=False)
@@ -224,22 +217,22 @@ def smallest_reachable(edges: DataFrame, rows: int) -> DataFrame:
     return e.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
-def prefixes(sets: DataFrame) -> DataFrame:
+def prefixes(sets: DataFrame, scratch: Scratch) -> DataFrame:
     """Rows (fp, token, place, size): of each set the rarest units that also stand in other sets, within its prefix.
 
     Two sets of SIMILARITY or more share a unit among the first (1 - o) * size + 1 of each, o being the share of
     itself that a set must then have in common with the other, when units are ordered by how many sets hold them.
     """
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for part in slices(frame, "grams"):
-                units_of = [np.frombuffer(x, dtype=np.uint32) for x in part.grams]
-                sizes = [len(x) for x in units_of]
-                yield pd.DataFrame({"fp": np.repeat(part.fp.to_numpy(), sizes), "size": np.repeat(sizes, sizes), "token": np.concatenate(units_of).astype(np.int64)})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in arrow_slices(batches, "grams", TOGETHER, TEXTS):
+            units_of = [np.frombuffer(x, dtype=np.uint32) for x in part.column("grams").to_pylist()]
+            sizes = np.array([len(x) for x in units_of], dtype=np.int64)
+            fps = part.column("fp").take(pa.array(np.repeat(np.arange(len(sizes)), sizes)))
+            yield pa.RecordBatch.from_arrays([fps, pa.array(np.repeat(sizes, sizes)), pa.array(np.concatenate(units_of).astype(np.int64))], names=["fp", "size", "token"])
 
-    rows = written(sets.select("fp", "grams").mapInPandas(run, "fp binary, size long, token long"), "near-units")
-    held_by = written(rows.groupBy("token").agg(F.count("*").alias("held_by")).where("held_by > 1"), "near-held")
+    rows = scratch.written(sets.select("fp", "grams").mapInArrow(run, "fp binary, size long, token long"), "near-units")
+    held_by = scratch.written(rows.groupBy("token").agg(F.count("*").alias("held_by")).where("held_by > 1"), "near-held")
     common = rows.join(held_by, "token")
     # units of one set alone come first, and match nothing
     own = F.col("size") - F.count("*").over(Window.partitionBy("fp"))
@@ -247,52 +240,78 @@ def prefixes(sets: DataFrame) -> DataFrame:
     return common.withColumn("place", place).where(F.col("place") <= F.floor((1 - SIMILARITY) * F.col("size") + 1e-9) + 1).select("fp", "token", "place", "size")
 
 
-def links(signed: DataFrame, docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def probes(found: DataFrame) -> DataFrame:
+    """Pairs (p, q) of sets that may be similar, for rows (fp, token, place, size, root, outside): an outside one with one of another root.
+
+    Units before a shared one are lost to the overlap, so a set of s units that shares its p-th can only be similar
+    to sets of SIMILARITY * s up to (s - p + 1) * (1 + SIMILARITY) / SIMILARITY - s units. These ranges are part of
+    the join, in steps of GRAIN: sets of a family that is less alike, whose first places are all their own, don't
+    meet at all. Families whose members are within a step of SIMILARITY do meet, each pair some times.
+    """
+    step = lambda x: F.floor(F.log(F.greatest(x, F.lit(1.0)).cast("double")) / float(np.log(GRAIN)))
+    least = F.ceil(SIMILARITY * F.col("size") - 1e-9)
+    most = F.floor((F.col("size") - F.col("place") + 1) * (1 + SIMILARITY) / SIMILARITY - F.col("size") + 1e-9)
+    ranged = found.withColumns({"least": least, "most": most}).where("most >= least").withColumn("own", step(F.col("size")))
+    ranged = ranged.withColumn("other", F.explode(F.sequence(step(F.col("least")), step(F.col("most"))))).drop("least", "most")
+    asked = ranged.where("outside").select("token", F.col("fp").alias("p"), F.col("root").alias("p_root"), F.col("place").alias("p_place"), F.col("size").alias("p_size"), F.col("own").alias("mine"), F.col("other").alias("yours"))
+    asked_of = ranged.select("token", F.col("fp").alias("q"), "root", "place", "size", F.col("own").alias("yours"), F.col("other").alias("mine"))
+    overlap = SIMILARITY / (1 + SIMILARITY) * (F.col("size") + F.col("p_size")) - 1e-9
+    return asked.join(asked_of, ["token", "mine", "yours"]).where("p <> q AND root <> p_root").where(
+        F.least(F.col("size") - F.col("place"), F.col("p_size") - F.col("p_place")) + 1 >= overlap).select("p", "q")
+
+
+def links(signed: DataFrame, docs: DataFrame, scratch: Scratch, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Rows (node, root) that join the fingerprints of similar texts into classes.
 
     Each bucket's members are first compared with its pivot, the one that shares the most and largest buckets. If
     the others then lie in more than one class, those outside the largest class are compared with all texts of such
-    buckets they may be similar to, which their prefixes tell without loss: a text that isn't like the pivot of a
-    crowded bucket has rare units in its prefix, so this doesn't grow with the square of the bucket.
+    buckets they may be similar to, which their prefixes tell without loss.
     """
     names = [f"b{i}" for i in range(BANDS)]
-    nodes = written(signed.where("b0 IS NOT NULL").groupBy("fp").agg(F.min("doc_id").alias("rep"), *[F.first(n).alias(n) for n in names]), "near-nodes")
+    nodes = scratch.written(signed.where("b0 IS NOT NULL").groupBy("fp").agg(F.min(F.struct("row_a", "row_b")).alias("rep"), *[F.first(n).alias(n) for n in names]), "near-nodes")
     rows = nodes.select("fp", F.explode(F.array(*names)).alias("bucket"))
-    shared = written(rows.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"), "near-shared")
-    members = written(rows.join(shared, "bucket"), "near-members")
+    shared = scratch.written(rows.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"), "near-shared")
+    members = scratch.written(rows.join(shared, "bucket"), "near-members")
     n_members = members.count()
     wanted = members.groupBy("fp").agg(F.sum(F.floor(F.log2("n"))).alias("rank"))
-    wanted = written(wanted.join(nodes.select("fp", "rep"), "fp"), "near-wanted", n_members)
-    # the same plan at every size: texts are dealt out by id
-    texts = docs.select(F.col(key).alias("rep"), F.coalesce(F.col(text), F.lit("")).alias("text")).join(wanted.hint("merge"), "rep").select("fp", "text")
-    sets = written(unit_sets(texts).groupBy("fp").agg(F.min("grams").alias("grams")), "near-sets", n_members)
+    wanted = scratch.written(wanted.join(nodes.select("fp", "rep.*"), "fp"), "near-wanted", n_members)
+    # the same plan at every size: texts are dealt out by their rows' hashes
+    texts = with_rows(docs.select(F.col(key).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))).join(wanted.hint("merge"), ["row_a", "row_b"]).select("fp", "text")
+    sets = scratch.written(unit_sets(texts).groupBy("fp").agg(F.min("grams").alias("grams")), "near-sets", n_members)
 
     def ordered(x: DataFrame) -> DataFrame:
         return x.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct()
 
     pivots = members.join(wanted.select("fp", "rank"), "fp").groupBy("bucket").agg(F.max(F.struct("rank", "fp")).alias("x")).select("bucket", F.col("x.fp").alias("q"))
-    led = written(members.select("bucket", F.col("fp").alias("p")).join(written(pivots, "near-pivots", n_members), "bucket").where("p <> q"), "near-led", n_members)
-    edges = written(verified(written(ordered(led), "near-pairs", n_members), sets), "near-links", n_members)
-    roots = smallest_reachable(edges, edges.count())
+    led = scratch.written(members.select("bucket", F.col("fp").alias("p")).join(scratch.written(pivots, "near-pivots", n_members), "bucket").where("p <> q"), "near-led", n_members)
+    edges = scratch.written(verified(scratch.written(ordered(led), "near-pairs", n_members), sets), "near-links", n_members)
+    roots = smallest_reachable(edges, edges.count(), scratch)
 
     here = led.select("bucket", F.col("p").alias("fp")).join(roots, F.col("fp") == F.col("node"), "left").select("bucket", "fp", F.coalesce("root", "fp").alias("root"))
-    here = written(here, "near-here", n_members)
-    parts = written(here.groupBy("bucket", "root").agg(F.count("*").alias("n")), "near-parts", n_members)
+    here = scratch.written(here, "near-here", n_members)
+    parts = scratch.written(here.groupBy("bucket", "root").agg(F.count("*").alias("n")), "near-parts", n_members)
     split = parts.groupBy("bucket").agg(F.count("*").alias("classes"), F.max(F.struct("n", "root")).alias("x")).where("classes > 1").select("bucket", F.col("x.root").alias("largest"))
-    crowd = written(here.join(written(split, "near-split", n_members), "bucket"), "near-crowd", n_members)
+    crowd = scratch.written(here.join(scratch.written(split, "near-split", n_members), "bucket"), "near-crowd", n_members)
     if crowd.isEmpty():
         return roots
     n_crowd = crowd.count()
-    everyone = written(crowd.groupBy("fp").agg(F.max(F.col("root") != F.col("largest")).alias("outside"), F.first("root").alias("root")), "near-everyone", n_crowd)
-    found = written(prefixes(sets.join(everyone.select("fp"), "fp")).join(everyone, "fp"), "near-prefixes")
-    asked = found.where("outside").select("token", F.col("fp").alias("p"), F.col("root").alias("p_root"), F.col("place").alias("p_place"), F.col("size").alias("p_size"))
-    # units before the first shared one are lost to the overlap: too many of them rule a pair out
-    overlap = SIMILARITY / (1 + SIMILARITY) * (F.col("size") + F.col("p_size")) - 1e-9
-    pairs = asked.join(found.select("token", F.col("fp").alias("q"), "root", "place", "size"), "token").where("p <> q AND root <> p_root").where(
-        F.least(F.col("size") - F.col("place"), F.col("p_size") - F.col("p_place")) + 1 >= overlap).select("p", "q")
-    more = written(verified(written(ordered(pairs), "near-pairs"), sets), "near-links")
+    everyone = scratch.written(crowd.groupBy("fp").agg(F.max(F.col("root") != F.col("largest")).alias("outside"), F.first("root").alias("root")), "near-everyone", n_crowd)
+    found = scratch.written(prefixes(sets.join(everyone.select("fp"), "fp"), scratch).join(everyone, "fp"), "near-prefixes")
+    more = scratch.written(verified(scratch.written(ordered(probes(found)), "near-pairs"), sets), "near-links")
     stars = roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more)
-    return smallest_reachable(stars, stars.count())
+    return smallest_reachable(stars, stars.count(), scratch)
+
+
+def classified(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Rows (doc_id, row_a, row_b, root, class_id), one for each row of ``docs``: as below, with the hashes of the row and of its class."""
+    signed = written(signatures(docs, key, text), "near-signatures")
+    with Scratch(docs.sparkSession) as scratch:
+        roots = links(signed, docs, scratch, key, text)
+        least = signed.groupBy("fp").agg(F.min("doc_id").alias("least"))
+        own = scratch.written(least.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root")), "near-own")
+        named = scratch.written(own.groupBy("root").agg(F.min("least").alias("class_id")), "near-named")
+        classes = written(own.join(named, "root").select("fp", "root", "class_id"), "near-classes")
+    return signed.select("doc_id", "row_a", "row_b", "fp").join(classes, "fp").select("doc_id", "row_a", "row_b", "root", "class_id")
 
 
 def near_duplicate_classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -303,10 +322,15 @@ def near_duplicate_classes(docs: DataFrame, key: str = "doc_id", text: str = "te
     for their class but name it only if all its ids are null. Repeated rows give repeated results; an empty table
     gives none. Further columns are left out.
     """
-    signed = written(signatures(docs, key, text), "near-signatures")
-    roots = links(signed, docs, key, text)
-    least = signed.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    own = written(least.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root")), "near-own")
-    named = written(own.groupBy("root").agg(F.min("least").alias("class_id")), "near-named")
-    classes = written(own.join(named, "root").select("fp", "class_id"), "near-classes")
-    return signed.select("doc_id", "fp").join(classes, "fp").select("doc_id", "class_id")
+    return classified(docs, key, text).select("doc_id", "class_id")
+
+
+def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row of each class, as it stands in ``docs``: that of least id, ids before null, once if it is repeated.
+
+    Null texts are copies of empty ones. An empty table gives no rows; all columns stay, whatever their names, save row_a and row_b.
+    """
+    chosen = classified(docs, key, text).groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row_a", "row_b")).alias("x"))
+    chosen = written(chosen.select("x.row_a", "x.row_b"), "near-chosen")
+    # repeated rows lie side by side after the join, so they go without another shuffle
+    return with_rows(docs, key, text).join(chosen.hint("merge"), ["row_a", "row_b"]).dropDuplicates(["row_a", "row_b"]).select(*docs.columns)
