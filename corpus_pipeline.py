@@ -29,9 +29,8 @@ def fresh_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of least id of each class of copies and near copies; documents without id stay."""
-    classes = near_dedup.near_duplicate_classes(docs.select("doc_id", "text")).where("doc_id <> class_id").select("doc_id").distinct()
-    return docs.join(classes, "doc_id", "left_anti").select(*docs.columns)
+    """The document of least id of each class of copies and near copies; of repeated rows one."""
+    return near_dedup.one_of_each(docs).select(*docs.columns)
 
 
 def clean_of_tests(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,11 +39,8 @@ def clean_of_tests(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with their ids, and the digest of the text the ids decode to."""
-    path = tokenizer_path("word_bpe_49k.json")
-    with_ids = bpe.encode_texts(docs.select("doc_id", "lang", "source", "text"), path)
-    decoded = bpe.decode_ids(with_ids, path)
-    return decoded.select("doc_id", "lang", "source", "ids", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+    """Documents with their ids, and the digests of the ids and of the text they decode to."""
+    return bpe.encode_rows(docs, tokenizer_path("word_bpe_49k.json"), ["doc_id", "lang", "source"])
 
 
 STAGES = [
