@@ -23,6 +23,7 @@ COVERAGE = 0.8
 BLOCK_BYTES = 8 * 1024 * 1024
 WORD = re.compile(r"\w+")
 MULTIPLIER = 0x9E3779B97F4A7C15
+INVERSE = pow(MULTIPLIER, -1, 1 << 64)
 
 
 def window_hashes(ids: np.ndarray, n: int) -> np.ndarray:
@@ -33,53 +34,71 @@ def window_hashes(ids: np.ndarray, n: int) -> np.ndarray:
     return h
 
 
-def rolling(ids: list[int], free: list[bool], n: int):
-    """(hash, start) of all windows of n unmarked numbers, by Karp-Rabin's rolling sum."""
-    top, mask, h, run = pow(MULTIPLIER, n - 1, 1 << 64), (1 << 64) - 1, 0, 0
-    for i, x in enumerate(ids):
-        if not free[i]:
-            h = run = 0
-            continue
-        if run == n:
-            h = (h - (ids[i - n] + 2) * top) & mask
-            run -= 1
-        h = (h * MULTIPLIER + x + 2) & mask
-        run += 1
-        if run == n:
-            yield h, i - n + 1
-
-
-def tiles(doc: list[int], item: list[int], least: int = LEAST) -> list[tuple[int, int, int]]:
-    """Tiles (start in the document, start in the item, length), the longest first; ties go to the earliest."""
-    free_doc, free_item, found = [x >= 0 for x in doc], [True] * len(item), []
-    length = max(least, min(len(item), 32))
-    while True:
+class Rolling:
+    """Karp-Rabin hashes of a sequence's windows of any length, from running sums; and which of its words are free."""
+
+    def __init__(self, ids: np.ndarray):
+        powers = np.cumprod(np.r_[np.uint64(1), np.full(len(ids), MULTIPLIER, dtype=np.uint64)], dtype=np.uint64)
+        back = np.cumprod(np.r_[np.uint64(1), np.full(len(ids), INVERSE, dtype=np.uint64)], dtype=np.uint64)
+        self.ids, self.powers = ids, powers
+        self.sums = np.r_[np.uint64(0), np.cumsum((ids + 2).astype(np.uint64) * back[:-1], dtype=np.uint64)]
+        self.taken = np.r_[0, np.cumsum(ids < 0)]
+        self.marked = ids < 0
+
+    def mark(self, start: int, n: int) -> None:
+        self.marked[start : start + n] = True
+
+    def settle(self) -> None:
+        self.taken = np.r_[0, np.cumsum(self.marked)]
+
+    def windows(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """(starts, hashes) of the windows of n free words."""
+        starts = np.flatnonzero(self.taken[n:] == self.taken[: len(self.taken) - n])
+        return starts, (self.sums[starts + n] - self.sums[starts]) * self.powers[starts]
+
+
+def tiles(doc: np.ndarray, item: np.ndarray, least: int = LEAST) -> list[tuple[int, int, int]]:
+    """Tiles (start in the document, start in the item, length), the longest first; ties go to the earliest.
+
+    The length of the longest match of free words comes from a binary search: where n words match, n - 1 do. All
+    matches of that length that don't overlap are marked in one go over the document's windows; each step is a
+    sort of the windows' hashes, whatever repeats in them.
+    """
+    a, b = Rolling(np.asarray(doc, dtype=np.int64)), Rolling(np.asarray(item, dtype=np.int64))
+    found: list[tuple[int, int, int]] = []
+
+    def common(n: int) -> bool:
+        return bool(np.isin(a.windows(n)[1], b.windows(n)[1]).any())
+
+    most = min(len(a.ids), len(b.ids))
+    while most >= least and common(least):
+        low, high = least, most
+        while low < high:
+            middle = (low + high + 1) // 2
+            low, high = (middle, high) if common(middle) else (low, middle - 1)
         where = defaultdict(list)
-        for h, p in rolling(item, free_item, length):
+        for p, h in zip(*(x.tolist() for x in b.windows(low)), strict=True):
             where[h].append(p)
-        matches, longest = [], 0
-        for h, d in rolling(doc, free_doc, length) if where else ():
-            for p in where.get(h, ()):
-                n = 0
-                while d + n < len(doc) and p + n < len(item) and doc[d + n] == item[p + n] and free_doc[d + n] and free_item[p + n]:
-                    n += 1
-                if n >= length:
-                    matches.append((n, d, p))
-                    longest = max(longest, n)
-        if longest > 2 * length:
-            length = longest
-            continue
-        marked = len(found)
-        for n, d, p in sorted(matches, key=lambda m: (-m[0], m[1], m[2])):
-            if all(free_doc[d : d + n]) and all(free_item[p : p + n]):
-                free_doc[d : d + n] = free_item[p : p + n] = [False] * n
-                found.append((d, p, n))
-        # a longer tile may have taken the end of a match whose rest is free, so a pass that marked some is repeated
-        if len(found) > marked:
-            continue
-        if length == least:
-            return found
-        length = max(least, length // 2)
+        starts, hashes = a.windows(low)
+        hit = np.isin(hashes, np.fromiter(where, dtype=np.uint64, count=len(where)))
+        end = 0
+        for d, h in zip(starts[hit].tolist(), hashes[hit].tolist(), strict=True):
+            if d < end:
+                continue
+            places = where[h]
+            while places and b.marked[places[0] : places[0] + low].any():
+                places.pop(0)
+            # equal hashes of unlike words are passed over
+            p = next((p for p in places if not b.marked[p : p + low].any() and np.array_equal(a.ids[d : d + low], b.ids[p : p + low])), None)
+            if p is not None:
+                a.mark(d, low)
+                b.mark(p, low)
+                found.append((d, p, low))
+                end = d + low
+        a.settle()
+        b.settle()
+        most = low - 1
+    return found
 
 
 class Items(dict):
@@ -87,47 +106,55 @@ class Items(dict):
 
     def __init__(self, rows: list[tuple]):
         super().__init__()
-        self.ids, self.words = [], []
+        self.ids, self.words, self.short = [], [], defaultdict(list)
         for item_id, text in rows:
             words = WORD.findall((text or "").lower())
             if len(words) >= LEAST:
                 self.ids.append(item_id)
                 self.words.append(np.array([self.setdefault(w, len(self)) for w in words], dtype=np.int64))
-        hashes = [window_hashes(w, LEAST) for w in self.words]
-        flat = np.concatenate(hashes) if hashes else np.zeros(0, dtype=np.uint64)
-        owner = np.repeat(np.arange(len(hashes)), [len(h) for h in hashes]) if hashes else np.zeros(0, dtype=np.int64)
-        order = np.lexsort((owner, flat))
+            elif words:
+                self.short[tuple(words)].append(item_id)
+        self.seeds_of = [np.unique(window_hashes(w, LEAST)) for w in self.words]
+        flat = np.concatenate(self.seeds_of) if self.seeds_of else np.zeros(0, dtype=np.uint64)
+        owner = np.repeat(np.arange(len(self.seeds_of)), [len(h) for h in self.seeds_of]) if self.seeds_of else np.zeros(0, dtype=np.int64)
+        order = np.argsort(flat, kind="stable")
         self.seeds, self.owners = flat[order], owner[order]
+        self.sizes = np.array([len(w) for w in self.words], dtype=np.int64)
 
     def __missing__(self, word: str) -> int:
         return -1
 
     def leaks(self, text: str, least_coverage: float) -> list[tuple]:
         words = WORD.findall(text.lower())
+        if len(words) < LEAST:
+            return [(i, 1.0, 1) for i in self.short.get(tuple(words), ())]
         ids = np.fromiter(map(self.__getitem__, words), dtype=np.int64, count=len(words))
         known = np.r_[0, np.cumsum(ids >= 0)]
-        at = np.flatnonzero(known[LEAST:] - known[:-LEAST] == LEAST) if len(ids) >= LEAST else np.zeros(0, dtype=np.int64)
+        at = np.flatnonzero(known[LEAST:] - known[:-LEAST] == LEAST)
         if not len(at) or not len(self.seeds):
             return []
         h = np.zeros(len(at), dtype=np.uint64)
         for j in range(LEAST):
             h = h * np.uint64(MULTIPLIER) + ids[at + j].astype(np.uint64) + np.uint64(1)
-        low, high = np.searchsorted(self.seeds, h, "left"), np.searchsorted(self.seeds, h, "right")
-        met = defaultdict(list)
-        for k in np.flatnonzero(high > low):
-            for owner in np.unique(self.owners[low[k] : high[k]]):
-                met[int(owner)].append(int(at[k]))
+        seeds, times = np.unique(h, return_counts=True)
+        low, high = np.searchsorted(self.seeds, seeds, "left"), np.searchsorted(self.seeds, seeds, "right")
+        n = high - low
+        ends = np.cumsum(n)
+        spots = np.arange(ends[-1]) - np.repeat(ends - n, n) + np.repeat(low, n)
+        # a seed covers LEAST words at most each time it stands, which rules out nearly all items that share one
+        hits = np.bincount(self.owners[spots], weights=np.repeat(times, n), minlength=len(self.ids))
         out = []
-        for owner in sorted(met):
+        for owner in np.flatnonzero((hits > 0) & (hits * LEAST >= least_coverage * self.sizes)):
             # only stretches of seeds can hold tiles; others keep apart as unmatched words
             part = np.full(len(ids), -1)
-            for start in met[owner]:
-                part[start : start + LEAST] = ids[start : start + LEAST]
+            for j in range(LEAST):
+                spot = at[np.isin(h, self.seeds_of[owner])] + j
+                part[spot] = ids[spot]
             keep = (part >= 0) | np.r_[False, part[:-1] >= 0]
             item = self.words[owner]
             if np.count_nonzero(part >= 0) < least_coverage * len(item):
                 continue
-            found = tiles(part[keep].tolist(), item.tolist())
+            found = tiles(part[keep], item)
             coverage = sum(n for *_, n in found) / len(item)
             if coverage >= least_coverage:
                 out.append((self.ids[owner], coverage, len(found)))
@@ -156,7 +183,8 @@ def _leaks(block: list[tuple], kind: str, least_coverage: float):
 def find_leaks(docs: DataFrame, benchmark: DataFrame, least_coverage: float = COVERAGE, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Rows (doc_id, item_id, coverage, n_tiles) of documents that hold a test item.
 
-    Null texts hold none; items of fewer than five words and null items are never found. Rows that repeat a
+    Null texts hold none, and null items and items without words are never found. An item of one to four words is
+    held only by documents that have no other words: within longer texts it would stand by chance. Rows that repeat a
     document or an item with equal text give equal results, a repeated item once. An empty table gives no rows.
     """
     kind = benchmark.schema["item_id"].dataType.simpleString()

@@ -3,6 +3,7 @@
 import hashlib
 import os
 import re
+import time
 import zlib
 from collections import Counter
 from itertools import combinations
@@ -232,6 +233,45 @@ def test_the_free_rest_of_a_match_becomes_a_tile():
     assert sorted(decontam.tiles(doc, item)) == [(0, 7, 9), (10, 0, 7)]
 
 
+def tiles_by_trying_all(doc, item, least):
+    free_doc, free_item, found = [x >= 0 for x in doc], [True] * len(item), []
+    while True:
+        best = (0, 0, 0)
+        for d in range(len(doc)):
+            for p in range(len(item)):
+                n = 0
+                while d + n < len(doc) and p + n < len(item) and doc[d + n] == item[p + n] and free_doc[d + n] and free_item[p + n]:
+                    n += 1
+                if n > best[2]:
+                    best = (d, p, n)
+        if best[2] < least:
+            return found
+        d, p, n = best
+        free_doc[d : d + n] = free_item[p : p + n] = [False] * n
+        found.append(best)
+
+
+@pytest.mark.parametrize("letters", [1, 2, 3, 6])
+def test_tiles_agree_with_trying_all(letters):
+    rng = np.random.default_rng(letters)
+    for _ in range(40):
+        doc, item = rng.integers(-1 if letters > 1 else 0, letters, rng.integers(0, 40)).tolist(), rng.integers(0, letters, rng.integers(1, 25)).tolist()
+        assert decontam.tiles(doc, item, 3) == tiles_by_trying_all(doc, item, 3)
+
+
+def test_tiling_of_repeated_words_is_fast():
+    began = time.time()
+    items = decontam.Items([(1, "word " * 400), (2, "one two three four five six " * 60)])
+    assert [x[0] for x in items.leaks("word " * 20_000, 0.8)] == [1] and [x[0] for x in items.leaks("one two three four five six " * 4000, 0.8)] == [2]
+    assert time.time() - began < 2
+
+
+def test_short_items_and_repeated_documents(spark):
+    docs = spark.createDataFrame([(1, "Yes, sir!"), (1, "Yes, sir!"), (2, "yes sir and more words than that"), (3, "yes"), (4, "?")], "doc_id long, text string")
+    benchmark = spark.createDataFrame([(1, "yes sir"), (2, "Yes"), (3, "!"), (4, "")], "item_id long, text string")
+    assert sorted((r.doc_id, r.item_id, r.coverage) for r in decontam.find_leaks(docs, benchmark).collect()) == [(1, 1, 1.0), (1, 1, 1.0), (3, 2, 1.0)]
+
+
 # 9
 
 
