@@ -17,7 +17,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Scratch, arrow_slices, written
@@ -218,26 +218,64 @@ def smallest_reachable(edges: DataFrame, rows: int, scratch: Scratch) -> DataFra
 
 
 def prefixes(sets: DataFrame, scratch: Scratch) -> DataFrame:
-    """Rows (fp, token, place, size): of each set the rarest units that also stand in other sets, within its prefix.
+    """Rows (fp, token, place, size) for rows (fp, grams, family): of each set the rarest units that also stand in other sets, within its prefix.
 
     Two sets of SIMILARITY or more share a unit among the first (1 - o) * size + 1 of each, o being the share of
     itself that a set must then have in common with the other, when units are ordered by how many sets hold them.
+    Sets are packed in slices, families side by side, so that a unit is counted once a slice before any shuffle;
+    each slice then gets the counts of its own units, no more than it has bytes.
     """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in arrow_slices(batches, "grams", TOGETHER, TEXTS):
-            units_of = [np.frombuffer(x, dtype=np.uint32) for x in part.column("grams").to_pylist()]
-            sizes = np.array([len(x) for x in units_of], dtype=np.int64)
-            fps = part.column("fp").take(pa.array(np.repeat(np.arange(len(sizes)), sizes)))
-            yield pa.RecordBatch.from_arrays([fps, pa.array(np.repeat(sizes, sizes)), pa.array(np.concatenate(units_of).astype(np.int64))], names=["fp", "size", "token"])
-
-    rows = scratch.written(sets.select("fp", "grams").mapInArrow(run, "fp binary, size long, token long"), "near-units")
-    held_by = scratch.written(rows.groupBy("token").agg(F.count("*").alias("held_by")).where("held_by > 1"), "near-held")
-    common = rows.join(held_by, "token")
-    # units of one set alone come first, and match nothing
-    own = F.col("size") - F.count("*").over(Window.partitionBy("fp"))
-    place = own + F.row_number().over(Window.partitionBy("fp").orderBy("held_by", "token"))
-    return common.withColumn("place", place).where(F.col("place") <= F.floor((1 - SIMILARITY) * F.col("size") + 1e-9) + 1).select("fp", "token", "place", "size")
+            tokens, counts = np.unique(np.concatenate([np.frombuffer(x, dtype=np.uint32) for x in part.column("grams").to_pylist()]), return_counts=True)
+            one = [[part.column("fp")[0].as_py()], [part.column("fp").to_pylist()], [part.column("grams").to_pylist()], [tokens.astype(np.int64)], [counts]]
+            kinds = pa.binary(), pa.list_(pa.binary()), pa.list_(pa.binary()), pa.list_(pa.int64()), pa.list_(pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(one, kinds, strict=True)], names=["slice", "fps", "grams", "tokens", "counts"])
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in (batch.slice(i, 1).to_pylist()[0] for i in range(batch.num_rows)):
+                held = np.array([(h["token"], h["held_by"]) for h in r["held"]], dtype=np.int64).reshape(-1, 2)
+                held = held[np.argsort(held[:, 0])]
+                for fp, packed in zip(r["fps"], r["grams"], strict=True):
+                    units_of = np.frombuffer(packed, dtype=np.uint32).astype(np.int64)
+                    at = np.minimum(np.searchsorted(held[:, 0], units_of), len(held) - 1)
+                    common = at[held[at, 0] == units_of]
+                    common = common[np.lexsort((held[common, 0], held[common, 1]))]
+                    # units of one set alone come first, and match nothing
+                    own, size = len(units_of) - len(common), len(units_of)
+                    n = max(0, int((1 - SIMILARITY) * size + 1e-9) + 1 - own)
+                    tokens = held[common[:n], 0]
+                    yield pa.RecordBatch.from_arrays([pa.array([fp] * len(tokens), pa.binary()), pa.array(tokens), pa.array(own + 1 + np.arange(len(tokens))), pa.array(np.full(len(tokens), size))], names=["fp", "token", "place", "size"])
+
+    packed = scratch.written(sets.repartitionByRange("family", "fp").sortWithinPartitions("family", "fp").select("fp", "grams").mapInArrow(
+        pack, "slice binary, fps array<binary>, grams array<binary>, tokens array<long>, counts array<long>"), "near-slices")
+    counted = packed.select("slice", F.inline(F.arrays_zip("tokens", "counts")).alias("token", "n"))
+    held_by = scratch.written(counted.groupBy("token").agg(F.sum("n").alias("held_by")).where("held_by > 1"), "near-held")
+    known = counted.join(held_by, "token").groupBy("slice").agg(F.collect_list(F.struct("token", "held_by")).alias("held"))
+    return packed.select("slice", "fps", "grams").join(scratch.written(known, "near-known"), "slice").mapInArrow(place, "fp binary, token long, place long, size long")
+
+
+def step(size) -> Column:
+    """The step of GRAIN that a set's size falls into."""
+    return F.floor(F.log(F.greatest(size, F.lit(1.0)).cast("double")) / float(np.log(GRAIN)))
+
+
+def comparable(crowd: DataFrame) -> DataFrame:
+    """Rows (fp, root, outside, family) of the texts that still need a comparison, for rows (bucket, fp, root, largest, size).
+
+    Those are texts outside their bucket's largest class that meet a text of another class whose size permits
+    SIMILARITY, and the texts that they meet.
+    """
+    reach = F.explode(F.sequence(step(F.ceil(SIMILARITY * F.col("size") - 1e-9)), step(F.floor(F.col("size") / SIMILARITY + 1e-9))))
+    outside = F.col("root") != F.col("largest")
+    met = crowd.groupBy("bucket", step(F.col("size")).alias("step")).agg(F.min("root").alias("low"), F.max("root").alias("high"))
+    asked = crowd.where(outside).select("bucket", "fp", "root", "largest", reach.alias("step")).join(met, ["bucket", "step"]).where("low <> root OR high <> root")
+    asking = crowd.where(outside).select("bucket", "root", reach.alias("step")).groupBy("bucket", "step").agg(F.min("root").alias("low"), F.max("root").alias("high"))
+    meeting = crowd.withColumn("step", step(F.col("size"))).join(asking, ["bucket", "step"]).where("low <> root OR high <> root")
+    both = asked.select("fp", "root", "largest", F.lit(True).alias("outside")).unionByName(meeting.select("fp", "root", "largest", F.lit(False).alias("outside")))
+    return both.groupBy("fp").agg(F.max("outside").alias("outside"), F.first("root").alias("root"), F.min("largest").alias("family"))
 
 
 def probes(found: DataFrame) -> DataFrame:
@@ -248,7 +286,6 @@ def probes(found: DataFrame) -> DataFrame:
     the join, in steps of GRAIN: sets of a family that is less alike, whose first places are all their own, don't
     meet at all. Families whose members are within a step of SIMILARITY do meet, each pair some times.
     """
-    step = lambda x: F.floor(F.log(F.greatest(x, F.lit(1.0)).cast("double")) / float(np.log(GRAIN)))
     least = F.ceil(SIMILARITY * F.col("size") - 1e-9)
     most = F.floor((F.col("size") - F.col("place") + 1) * (1 + SIMILARITY) / SIMILARITY - F.col("size") + 1e-9)
     ranged = found.withColumns({"least": least, "most": most}).where("most >= least").withColumn("own", step(F.col("size")))
@@ -295,8 +332,8 @@ def links(signed: DataFrame, docs: DataFrame, scratch: Scratch, key: str = "doc_
     if crowd.isEmpty():
         return roots
     n_crowd = crowd.count()
-    everyone = scratch.written(crowd.groupBy("fp").agg(F.max(F.col("root") != F.col("largest")).alias("outside"), F.first("root").alias("root")), "near-everyone", n_crowd)
-    found = scratch.written(prefixes(sets.join(everyone.select("fp"), "fp"), scratch).join(everyone, "fp"), "near-prefixes")
+    everyone = scratch.written(comparable(crowd.join(sets.select("fp", (F.length("grams") / 4).alias("size")), "fp")), "near-everyone", n_crowd)
+    found = scratch.written(prefixes(sets.join(everyone.select("fp", "family"), "fp"), scratch).join(everyone.drop("family"), "fp"), "near-prefixes")
     more = scratch.written(verified(scratch.written(ordered(probes(found)), "near-pairs"), sets), "near-links")
     stars = roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more)
     return smallest_reachable(stars, stars.count(), scratch)
