@@ -290,9 +290,84 @@ def test_secrets_agree_with_python_patterns(spark, small):
     assert got[-5].spans == "random:4:34" and got[-6].n_random == 0 and secret_scan.scan(df.where("1 = 0")).count() == 0
 
 
+def test_reports_are_random_tokens_not_names(spark):
+    rng = np.random.default_rng(8)
+    words = "account service handler order table index user session config manager request response value field name list data client error message".split()
+    names = []
+    while len(names) < 1000:
+        w = [words[i] for i in rng.integers(0, len(words), 4)]
+        k = int(rng.integers(1, 99))
+        name = [f"{''.join(x.title() for x in w)}{k}", f"{'-'.join(w)}-v{k}", f"{'_'.join(w)}_{k}", "/".join(w), "".join(w)][len(names) % 5]
+        if len(name) >= 20:
+            names.append(name)
+    letters = np.array(list("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"))
+    keys = ["".join(letters[rng.integers(0, k, int(rng.integers(20, 50)))]) for k in (62, 64, 52) for _ in range(100)]
+    df = spark.createDataFrame([*((i, f"see {x} .") for i, x in enumerate(names)), *((5000 + i, f"see {x} .") for i, x in enumerate(keys))], "doc_id long, text string")
+    found = {r.doc_id for r in secret_scan.scan(df).collect() if r.n_random}
+    assert len([d for d in found if d < 5000]) <= 0.01 * len(found) and len([d for d in found if d >= 5000]) >= 0.9 * len(keys)
+
+
+def test_battery_agrees_with_numpy(spark):
+    from math import erfc, log, sqrt
+
+    rng = np.random.default_rng(9)
+    alphabet = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
+    tokens = ["Aa1" + "".join(np.array(list(alphabet))[rng.integers(0, k, n)]) for k, n in ((62, 30), (5, 40), (62, 200), (30, 17))]
+    rows = {r.token: r for r in secret_scan.battery(spark.createDataFrame([(t,) for t in tokens], "token string")).collect()}
+    for t in tokens:
+        v = np.array([alphabet.index(c) for c in t], dtype=float)
+        n, k = len(v), 62
+        chi = k * sum(float((v == x).sum()) ** 2 for x in set(v)) / n - n
+        z = ((max(chi, 0) / (k - 1)) ** (1 / 3) - (1 - 2 / (9 * (k - 1)))) / sqrt(2 / (9 * (k - 1)))
+        high = v > (k - 1) / 2
+        a, b = int(high.sum()), int((~high).sum())
+        mean = 2 * a * b / n + 1
+        runs = 1 + int((high[1:] != high[:-1]).sum())
+        m = v.mean()
+        serial = ((v[1:] - m) * (v[:-1] - m)).sum() / ((v - m) ** 2).sum() * sqrt(n)
+        tail = lambda x: erfc(abs(x) / sqrt(2))
+        want = (tail(z) / 2 if z > 0 else 1.0, tail((runs - mean) / sqrt((mean - 1) * (mean - 2) / (n - 1))), tail(serial))
+        assert rows[t].encoding == "alnum62" and np.allclose((rows[t].p_chi, rows[t].p_runs, rows[t].p_serial), want, atol=1e-6)
+        kinds, logs = secret_scan.text_model()
+        text = sum(logs[ord(c)] for c in t) + log(secret_scan.FIRST[kinds[ord(t[0])]]) + sum(log(secret_scan.FOLLOWS[kinds[ord(p)]][kinds[ord(c)]]) for p, c in zip(t[:-1], t[1:], strict=True))
+        assert np.isclose(rows[t].p_text, np.exp(-min(max(-n * log(k) - text, 0), 100)))
+
+
+def test_secrets_of_odd_rows(spark, odd, empty):
+    rows = secret_scan.scan(odd).collect()
+    assert len(rows) == len(ODD) and all(r.n_random == 0 for r in rows) and secret_scan.scan(empty).count() == 0
+    many = "token=abcdefgh1 " * 2000
+    key = "x9K2mQ7vL4pR8tN3wZ6yB1cF5hJ0dG"
+    df = spark.createDataFrame([(1, many), (2, f"{key}token=abcdefghij"), (2, f"{key}token=abcdefghij")], "doc_id long, text string")
+    got = secret_scan.scan(df).collect()
+    assert sorted(r.n_assign for r in got) == [1, 1, 2000]
+    want = ",".join(f"assign:{m.start()}:{m.end()}" for m in re.finditer("token=abcdefgh1", many))
+    assert [r.spans for r in got if r.doc_id == 1] == [want]
+
+
 # 10
 
 
+def test_families_less_alike_meet_in_no_probe(spark):
+    for n in (60, 120):
+        rows = [(d, " ".join([f"c{i}" for i in range(330)] + [f"o{d}_{i}" for i in range(70)])) for d in range(n)]
+        found = []
+        real = near_dedup.probes
+        near_dedup.probes = lambda x: found.append(real(x).count()) or real(x)
+        try:
+            assert near_dedup.near_duplicate_classes(spark.createDataFrame(rows, "doc_id long, text string")).select("class_id").distinct().count() == n
+        finally:
+            near_dedup.probes = real
+        assert not any(found)
+
+
+def test_one_of_each_keeps_one_row_of_a_class(spark):
+    text = "one two three four five six seven eight nine ten"
+    rows = [(1, text, "a"), (1, text, "a"), (2, text, "b"), (None, text, "c"), (None, "quite another text of some words", "d"), (None, "quite another text of some words", "d"), (3, None, "e"), (4, "", "f"), (1, "not the same text as the others", "g")]
+    got = sorted((r.doc_id is None, r.doc_id, r.fp) for r in near_dedup.one_of_each(spark.createDataFrame(rows, "doc_id long, text string, fp string")).collect())
+    assert got == [(False, 1, "a"), (False, 1, "g"), (False, 3, "e"), (True, None, "d")]
+
+
 def shingles(text):
     words = re.findall(r"\w+", text.lower())
     return Counter(tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))) if words else Counter([("raw", text)])
