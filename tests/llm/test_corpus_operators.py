@@ -165,10 +165,40 @@ def test_avi_of_odd_rows(odd, empty):
 def test_html_drops_templates_and_furniture():
     page = """<html><head><title>t</title></head><body><header>Site</header><nav>menu</nav><div class="cookie-notice">Accept</div><main><article><header><h1>T &lt;x&gt;</h1></header>
     <p>A <b>b</b>c<br>d<p>e&nbsp; f<div class="ad">buy</div><aside>s</aside><section id="comments"><p>nice!</p></section><ul><li>1<li>2</ul><form>q</form></article></main><footer>f</footer>"""
-    assert html_extract.extract(page, None) == "T <x> A bc d e f 1 2"
-    pages = [f"<div class=top>Our slogan</div><div class=x><p>Story {i} of {i * 7}</p><p>always here</p></div><div>Contact</div>" for i in range(8)]
-    assert html_extract.extract(pages[3], html_extract.induce(pages)) == "Story 3 of 21"
-    assert html_extract.induce(pages[:2]) is None and html_extract.induce(pages[:1] * 9) is None
+    assert html_extract.extract(page) == "T <x> A bc d e f 1 2"
+
+
+def test_tree_matching_agrees_with_trying_all():
+    def best(a, b):
+        if a[0] != b[0]:
+            return 0
+
+        def forest(x, y):
+            if not x or not y:
+                return 0
+            return max(forest(x[1:], y), forest(x, y[1:]), best(x[0], y[0]) + forest(x[1:], y[1:]))
+
+        return 1 + forest(a[1], b[1])
+
+    rng = np.random.default_rng(3)
+    tree = lambda depth: [str(rng.integers(0, 2)), [tree(depth - 1) for _ in range(rng.integers(0, 4))] if depth else []]
+    for _ in range(200):
+        a, b = ["r", tree(2)[1]], ["r", tree(2)[1]]
+        score, pairs = html_extract.simple_tree_matching(a, b)
+        assert score == best(a, b) == len(pairs) and all(p[0] == q[0] for p, q in pairs)
+
+
+def test_html_templates_decide_without_articles(spark):
+    rng = np.random.default_rng(2)
+    prose = lambda n: " ".join(f"w{x}" for x in rng.integers(0, 5000, n))
+    stories = [prose(60) for _ in range(12)]
+    rows = [(i, f"http://plain.example/{i}", f"<div class=a><p><a href=x>{prose(3)}</a> <a href=y>{prose(2)}</a></p></div>" + "<div class=z>Weather soon</div>" * (i % 3 == 0)
+             + f"<div class=b><div><p>{s[:100]}</p><p>{s[100:]}</p></div></div><div class=c>All rights kept</div>") for i, s in enumerate(stories)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    want = {i: f"{' '.join(s[:100].split())} {' '.join(s[100:].split())}" for i, s in enumerate(stories)}
+    assert {r.page_id: r.text for r in html_extract.extract_main_text(df).collect()} == want
+    withheld = {r.page_id: r.text for r in html_extract.extract_main_text(df, with_template=False).collect()}
+    assert all(len(withheld[i]) > len(want[i]) and "All rights kept" in withheld[i] for i in want)
 
 
 def test_html_of_odd_pages(spark):
