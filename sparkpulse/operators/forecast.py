@@ -89,13 +89,18 @@ def baseline_rates(df: DataFrame, key: str, ts: str, headcount: str, hires: str,
                      F.round(F.when(F.col("m") > 0, F.col("h") / F.col("m")).otherwise(0.0), 4).alias("hire_rate"), F.round(F.when(F.col("m") > 0, F.col("d") / F.col("m")).otherwise(0.0), 4).alias("departure_rate"))
 
 
+#: Scenarios, of some 100 bytes each, that are sent to all executors.
+BROADCAST_SCENARIOS = 10_000
+
+
 def simulate(rates: DataFrame, scenarios: DataFrame, key: str, months: int = 12) -> DataFrame:
     """Rows (key, scenario, month, headcount, hires, departures) of each scenario, by a fold over months.
 
     Scenarios have hire_multiplier, departure_multiplier, reduction (a share cut at the start), growth (hires spread
-    evenly), freeze_months and freeze_multiplier. The table of scenarios is a handful of rows, each tried on each key.
+    evenly), freeze_months and freeze_multiplier. All are tried on each key; a table of scenarios is sent to all
+    executors only up to BROADCAST_SCENARIOS rows.
     """
-    joined = rates.crossJoin(F.broadcast(scenarios.limit(1000))).withColumn("start", F.col("current") - (F.col("current") * F.col("reduction")).cast("long"))
+    joined = rates.crossJoin(F.broadcast(scenarios) if scenarios.count() <= BROADCAST_SCENARIOS else scenarios).withColumn("start", F.col("current") - (F.col("current") * F.col("reduction")).cast("long"))
     extra = F.col("growth") / months
 
     def step(acc: Column, m: Column) -> Column:

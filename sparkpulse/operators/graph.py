@@ -125,11 +125,18 @@ def betweenness(edges: DataFrame) -> DataFrame:
 
 
 def influence_profile(degree: DataFrame, between: DataFrame, eigen: DataFrame) -> DataFrame:
-    """Weighted influence (.3, .4, .3) and a role by medians and upper quartiles."""
+    """Weighted influence (.3, .4, .3) and a role.
+
+    Above the median of betweenness a node below the median degree is a bottleneck and one above it a connector;
+    of the others those above the upper quartile of degree are hubs, and all else is peripheral.
+    """
     joined = degree.join(between, "node").join(eigen, "node")
-    cuts = joined.agg(F.percentile("betweenness", F.lit(0.75)).alias("b75"), F.percentile("degree_centrality", F.lit(0.75)).alias("d75"), F.median("degree_centrality").alias("d50"), F.median("betweenness").alias("b50"))
-    role = (F.when((F.col("betweenness") >= F.col("b75")) & (F.col("degree_centrality") < F.col("d50")), "bottleneck").when(F.col("betweenness") >= F.col("b75"), "connector")
-            .when(F.col("degree_centrality") >= F.col("d75"), "hub").when((F.col("degree_centrality") < F.col("d50")) & (F.col("betweenness") < F.col("b50")), "peripheral").otherwise("contributor"))
+    cuts = joined.agg(F.percentile("degree_centrality", F.lit(0.75)).alias("d75"), F.median("degree_centrality").alias("d50"), F.median("betweenness").alias("b50"))
+    between_many = F.col("betweenness") > F.col("b50")
+    role = (
+        F.when(between_many & (F.col("degree_centrality") < F.col("d50")), "bottleneck")
+        .when(between_many & (F.col("degree_centrality") > F.col("d50")), "connector")
+        .when(F.col("degree_centrality") > F.col("d75"), "hub").otherwise("peripheral"))
     score = 0.3 * F.col("degree_centrality") + 0.4 * F.col("betweenness") + 0.3 * F.col("eigenvector")
     return joined.crossJoin(F.broadcast(cuts)).select(*joined.columns, score.alias("influence"), role.alias("role"))  # one row of cuts
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
 import numpy as np
 import pandas as pd
@@ -15,7 +15,10 @@ from pyspark.ml.regression import LinearRegression
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import share
+from ..functions.columns import score_band, share
+from ..sources.io import stored
+from . import rolling
+from .quality import validate_and_clean
 
 
 def hash_split(df: DataFrame, key: str, test_share: float, seed: int = 42) -> tuple[DataFrame, DataFrame]:
@@ -68,6 +71,26 @@ def binary_metrics(df: DataFrame, prediction: Column, label: Column, by: Sequenc
     return out.withColumn("f1", F.round(f1, 4))
 
 
+def detection_summary(df: DataFrame, prediction: Column, label: Column, error: str, by: Sequence[str] = ()) -> DataFrame:
+    """How many rows are predicted and are in fact anomalies, and the mean error of each class; null for a class without rows."""
+    return df.groupBy(*by).agg(
+        F.count_if(prediction == 1).alias("predicted"), F.count_if(label == 1).alias("actual"),
+        F.avg(F.when(label == 1, F.col(error))).alias("mean_error_anomaly"), F.avg(F.when(label != 1, F.col(error))).alias("mean_error_normal"))
+
+
+def attrition_risk(df: DataFrame, numeric: Sequence[str], categorical: Sequence[str], left: str) -> tuple[DataFrame, DataFrame]:
+    """Rows with ``risk`` (4 digits) and its band, and the rows (feature, coefficient) by size of a logistic model fitted on them all."""
+    model = logistic_pipeline(numeric, categorical, left, df.count()).fit(df)
+    scored = probability(model.transform(df)).withColumn("risk", F.bround("p", 4)).withColumn("band", score_band(F.col("risk")))
+    return scored.select(*df.columns, "risk", "band"), coefficient_table(model, [*numeric, *[f"{c}_code" for c in categorical]]).orderBy(F.desc(F.abs("coefficient")), "feature")
+
+
+def department_risk(scored: DataFrame, department: str, risk: str, active: Column, high: float = 0.7) -> DataFrame:
+    """Each department's mean risk, people of high risk, and share of people who left."""
+    return scored.groupBy(department).agg(
+        F.bround(F.avg(risk), 4).alias("mean_risk"), F.count_if(F.col(risk) >= high).alias("high_risk"), F.bround(F.avg((~active).cast("double")), 4).alias("attrition_rate"))
+
+
 def roc_points(scored: DataFrame, p: str, label: str, steps: int = 100) -> DataFrame:
     """Rows (threshold, tpr, fpr) over a grid of thresholds, from counts by bin."""
     bins = scored.groupBy(F.floor(F.col(p) * steps).cast("int").alias("bin")).agg(F.count_if(F.col(label) == 1).alias("pos"), F.count_if(F.col(label) != 1).alias("neg"))
@@ -228,6 +251,12 @@ def reconstruction_errors(df: DataFrame, model: dict, name: str = "error") -> Da
     return df.withColumn(name, F.pandas_udf(run, "double")(F.struct(*[F.col(f).cast("double") for f in model["features"]])))
 
 
+def flag_errors(scored: DataFrame, quantile: float = 0.95, name: str = "error") -> DataFrame:
+    """Add ``threshold``, the quantile of the errors, and ``is_anomaly``, 1 above it."""
+    cut = scored.agg(F.percentile_approx(name, quantile, F.lit(10_000)).alias("threshold"))
+    return scored.crossJoin(F.broadcast(cut)).withColumn("is_anomaly", (F.col(name) > F.col("threshold")).cast("int"))  # one row
+
+
 # Drift
 
 
@@ -300,6 +329,21 @@ def alerts_with_cooldown(scored: DataFrame, machine: str, ts: str, score: str, m
     return folded.select(machine, F.inline("out")).select(machine, F.col("t").alias(ts), F.col("x").alias(score), F.col("s").alias("severity"))
 
 
+def anomaly_pipeline(readings: DataFrame, machine: str, ts: str, key: str, columns: Sequence[str], bounds: Mapping[str, tuple[float, float]], label: Column | None = None, trees: int = 200, minutes: int = 15) -> dict[str, DataFrame]:
+    """From readings to alerts: checked rows get rolling features, a forest scores them, anomalies become alerts.
+
+    Gives ``scored`` (key, machine, ts, score, risk, is_anomaly, actual), ``metrics`` where there is a label, and
+    ``alerts`` of all anomalies, after each machine's cooldown.
+    """
+    rows = validate_and_clean(readings.withColumn("_label", (label if label is not None else F.lit(0)).cast("int")), [machine, ts, key], [machine, ts, *columns], bounds)
+    wide = stored(rolling.features(rows, machine, [ts, key], columns), "anomaly-features")
+    names = [c for c in wide.columns if c not in (*readings.columns, "_label")]
+    scored = flag_anomalies(anomaly_scores(wide, isolation_forest(wide, key, [*columns, *names], trees)))
+    scored = stored(scored.select(key, machine, ts, "score", "risk", "is_anomaly", F.col("_label").alias("actual")), "anomaly-scores")
+    out = {"scored": scored, "alerts": alerts_with_cooldown(scored.where("is_anomaly = 1"), machine, ts, "risk", minutes)}
+    return out | ({"metrics": binary_metrics(scored, F.col("is_anomaly"), F.col("actual"))} if label is not None else {})
+
+
 def alert_summary(alerts: DataFrame, machine: str) -> DataFrame:
     """Alerts and machines by severity; each severity has a row, if of zeros."""
     kinds = F.array(*[F.lit(n) for _, n in ALERTS])

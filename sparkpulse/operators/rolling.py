@@ -59,7 +59,7 @@ def correlations(entity: str, order: Sequence[str], columns: Sequence[str], size
     w, least = _frame(entity, order, size), max(size // 2, 2)
     out = {}
     for a, b in combinations(columns, 2):
-        out[f"corr_{a}_{b}"] = F.when(F.count("*").over(w) >= least, correlation(a, b, w)).otherwise(0.0)
+        out[f"corr_{a}_{b}"] = F.when(F.count(F.when(F.col(a).isNotNull() & F.col(b).isNotNull(), 1)).over(w) >= least, correlation(a, b, w)).otherwise(0.0)
     return out
 
 

@@ -238,6 +238,45 @@ def feature_necessity(t):
     return rounded(ml.feature_necessity(churn(t), "c_custkey", ["c_acctbal", "n", "mean_total"], "left", k=3), "accuracy_without", "drop", digits=6)
 
 
+@query()
+def attrition_risk(t):
+    return ml.attrition_risk(churn(t), ["c_acctbal", "n", "mean_total"], ["c_mktsegment"], "left")[0].select("c_custkey", "risk", "band")
+
+
+@query()
+def attrition_importance(t):
+    return rounded(ml.attrition_risk(churn(t), ["c_acctbal", "n", "mean_total"], ["c_mktsegment"], "left")[1], "coefficient", digits=6)
+
+
+@query("""SELECT c_mktsegment, round_even(avg(((c_acctbal + 1000) / 11000)::DOUBLE), 4) AS mean_risk, count(*) FILTER ((c_acctbal + 1000) / 11000 >= .7) AS high_risk,
+  round_even(avg(CASE WHEN c_acctbal < 0 THEN 1.0 ELSE 0.0 END), 4) AS attrition_rate FROM customer GROUP BY ALL""")
+def department_risk(t):
+    scored = t.customer.withColumn("risk", (F.col("c_acctbal") + 1000) / 11000)
+    return ml.department_risk(scored, "c_mktsegment", "risk", F.col("c_acctbal") >= 0)
+
+
+@query("""SELECT user_id % 5 AS site, count(*) FILTER (value > 250) AS predicted, count(*) FILTER (event_type = 'error') AS actual,
+  round(avg(value) FILTER (event_type = 'error'), 6) AS mean_error_anomaly, round(avg(value) FILTER (event_type <> 'error'), 6) AS mean_error_normal FROM events GROUP BY ALL""")
+def detection_summary(t):
+    rows = t.events.withColumns({"site": F.col("user_id") % 5, "p": (F.col("value") > 250).cast("int"), "a": (F.col("event_type") == "error").cast("int")})
+    return rounded(ml.detection_summary(rows, F.col("p"), F.col("a"), "value", ["site"]), "mean_error_anomaly", "mean_error_normal", digits=6)
+
+
+@query()
+def network_connectors(t):
+    e = network(t)
+    profile = graph.influence_profile(graph.degree_centrality(e), graph.betweenness(e), graph.eigenvector_centrality(e))
+    return graph.connectors(profile, 5).select("node", "role").withColumn("is_bottleneck", F.col("role") == "bottleneck")
+
+
+@query()
+def anomaly_pipeline(t):
+    """Two readings of each event, as five-minute features of a user's line; ends in alerts."""
+    readings = t.events.select("event_id", "user_id", "ts", "value", (F.col("event_id") % 97).cast("double").alias("second"), "event_type")
+    out = ml.anomaly_pipeline(readings, "user_id", "ts", "event_id", ["value", "second"], {"value": (0.0, 1e6), "second": (0.0, 96.0)}, F.col("event_type") == "error", trees=50)
+    return rounded(out["alerts"], "risk", digits=6)
+
+
 def vectors(t) -> tuple[DataFrame, list[str]]:
     """All components of the embeddings as columns; as many as the longest has."""
     n = t.embeddings.agg(F.max(F.size("embedding"))).first()[0] or 0
@@ -255,7 +294,7 @@ def isolation_forest(t):
 @query()
 def autoencoder_errors(t):
     rows, names = vectors(t)
-    return rounded(ml.reconstruction_errors(rows, ml.autoencoder(rows, names, hidden=4, epochs=8)).select("vec_id", "error"), "error", digits=5)
+    return rounded(ml.reconstruction_errors(rows, ml.autoencoder(rows, names, hidden=4, epochs=8)).select("vec_id", "error").transform(ml.flag_errors), "error", "threshold", digits=5)
 
 
 def halves(t) -> tuple[DataFrame, DataFrame]:

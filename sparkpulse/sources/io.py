@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -83,11 +85,28 @@ def truncate_insert(df: DataFrame, target: str, keys: Sequence[str]) -> None:
     full.select(*columns).write.insertInto(target, overwrite=True)
 
 
-def upsert(target: DataFrame, source: DataFrame, key: str) -> DataFrame:
-    """Rows of ``target`` with those of ``source`` in place of rows of the same key, and besides."""
+def upsert(target: DataFrame, source: DataFrame, key: str, order: str | None = None) -> DataFrame:
+    """Rows of ``target`` with those of ``source`` in place of rows of the same key, and besides.
+
+    Of source rows that share a key the one that is last by ``order`` counts; ties, and all rows without an order, go
+    by their other columns.
+    """
+    latest = Window.partitionBy(key).orderBy(*[F.desc(c) for c in [*[order] * bool(order), *[c for c in source.columns if c not in (key, order)]]], key)
+    source = source.withColumn("_nth", F.row_number().over(latest)).where("_nth = 1").drop("_nth")
     return target.join(source.select(key).distinct(), key, "left_anti").select(*target.columns).unionByName(source.select(*target.columns))
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a Parquet table in the folder of spark.checkpoint.dir, which cuts its lineage; a local session without one takes its own folder."""
+    spark = df.sparkSession
+    root = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not root and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    path = f"{(root or 'file://' + tempfile.mkdtemp()).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def store_features(df: DataFrame, root: str, name: str, version: int) -> None:
     df.write.mode("overwrite").parquet(f"{root}/name={name}/version={version}")
 

@@ -191,6 +191,12 @@ def start(df: DataFrame, path: str, checkpoint: str, mode: str = "append", kind:
     return df.writeStream.format(kind).option("checkpointLocation", checkpoint).option("path", path).outputMode(mode).trigger(availableNow=True).start()
 
 
+def to_console(df: DataFrame, mode: str = "update", kind: str = "console", name: str | None = None):
+    """Start a query that prints each batch's changed rows; ``kind`` memory keeps them in a table called ``name`` instead."""
+    writer = df.writeStream.format(kind).outputMode(mode).trigger(availableNow=True)
+    return (writer.queryName(name) if name else writer).start()
+
+
 def exactly_once(events: DataFrame, key: str, path: str, checkpoint: str, ts: str = "ts", late: str = "1 day"):
     return start(event_time(events, ts).withWatermark(ts, late).dropDuplicatesWithinWatermark([key]), path, checkpoint)
 

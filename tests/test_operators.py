@@ -212,3 +212,41 @@ def test_jdbc_reads_recent_rows_in_parts(spark):
     spark.sql("SELECT id, CASE WHEN id % 2 = 0 THEN current_timestamp() ELSE TIMESTAMP '2000-01-01 00:00:00' END AS updated FROM range(20)").write.format("jdbc").options(url=url, dbtable="orders", driver=driver).mode("overwrite").save()
     got = io.read_jdbc_incremental(spark, url, "orders", '"updated"', "TIMESTAMP('2020-01-01 00:00:00')", "id", 0, 20, 8, driver=driver)
     assert got.rdd.getNumPartitions() == 8 and sorted(r.id for r in got.collect()) == list(range(0, 20, 2))
+
+
+def test_roles_by_medians_and_quartile(spark):
+    rows = [(f"n{i}", d, b, 0.0) for i, (d, b) in enumerate([(0.1, 0.9), (0.9, 0.8), (1.0, 0.1), (0.5, 0.5), (0.4, 0.2)])]
+    df = spark.createDataFrame(rows, "node string, degree_centrality double, betweenness double, eigenvector double")
+    got = {r.node: r.role for r in graph.influence_profile(df.select("node", "degree_centrality"), df.select("node", "betweenness"), df.select("node", "eigenvector")).collect()}
+    assert got == {"n0": "bottleneck", "n1": "connector", "n2": "hub", "n3": "peripheral", "n4": "peripheral"}
+
+
+def test_upsert_takes_the_last_row_of_a_key(spark):
+    target = spark.createDataFrame([(1, "old", 0), (2, "stays", 0)], "k int, v string, seq int")
+    source = spark.createDataFrame([(1, "late", 2), (1, "early", 1), (3, "new", 1), (3, "new", 1)], "k int, v string, seq int")
+    assert sorted(map(tuple, io.upsert(target, source, "k", "seq").collect())) == [(1, "late", 2), (2, "stays", 0), (3, "new", 1)]
+
+
+def test_a_suite_without_rules_succeeds(spark):
+    found = quality.validate(spark.range(3), [])
+    assert found.count() == 0 and quality.overall(found).first().success
+
+
+def test_all_scenarios_are_tried(spark):
+    rates = spark.createDataFrame([("a", 10, 0.1, 0.1)], "dept string, current long, hire_rate double, departure_rate double")
+    scenarios = spark.range(1200).select(F.col("id").cast("string").alias("scenario"), *[F.lit(1.0).alias(c) for c in ("hire_multiplier", "departure_multiplier")], F.lit(0.0).alias("reduction"), F.lit(0.0).alias("growth"), F.lit(0).alias("freeze_months"), F.lit(1.0).alias("freeze_multiplier"))
+    assert forecast.simulate(rates, scenarios, "dept", 2).count() == 2400
+
+
+def test_flagged_errors_lie_above_the_quantile(spark):
+    got = ml.flag_errors(spark.range(100).select(F.col("id").cast("double").alias("error"))).where("is_anomaly = 1").collect()
+    assert len(got) == 5 and min(r.error for r in got) > got[0].threshold
+
+
+def test_anomaly_pipeline_goes_from_readings_to_alerts(spark):
+    df = spark.range(600).select("id", (F.col("id") % 2).alias("m"), (F.lit("2024-01-01").cast("timestamp") + F.make_interval(mins=F.col("id").cast("int"))).alias("ts"), F.when(F.col("id") == 400, 900.0).otherwise(F.sin("id") + 5).alias("x"), F.cos("id").alias("y"), (F.col("id") == 400).alias("bad"))
+    df = df.unionByName(df.where("id = 3")).unionByName(df.where("id = 4").withColumn("x", F.lit(-1e9)))
+    out = ml.anomaly_pipeline(df, "m", "ts", "id", ["x", "y"], {"x": (-1000.0, 1000.0)}, F.col("bad"), trees=30)
+    scored = {r.id: r for r in out["scored"].collect()}
+    assert len(scored) == 600 and scored[400].is_anomaly == 1 and out["metrics"].first().recall == 1.0
+    assert 0 < out["alerts"].count() <= sum(r.is_anomaly for r in scored.values())

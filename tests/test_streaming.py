@@ -70,3 +70,10 @@ def test_cdc_bonus_latches_once(spark):
     df = spark.createDataFrame([(1, at(0), None, 5.0), (1, at(1), 10, None), (1, at(2), 16, None), (1, at(3), 17, None)], "d long, ts timestamp, trips_in int, rating_in double")
     out = jobs.cdc_state(df, "d", "ts", F.col("trips_in"), F.col("rating_in")).orderBy("ts").collect()
     assert [r.earns_bonus for r in out] == [False, False, True, False]
+
+
+def test_changed_windows_reach_the_console_sink(spark, tmp_path):
+    spark.createDataFrame([("2024-01-01 00:00:01", "a"), ("2024-01-01 00:00:02", "a")], "ts string, event_type string").write.json(str(tmp_path / "in"))
+    events = spark.readStream.schema("ts string, event_type string").json(str(tmp_path / "in")).withColumn("ts", F.col("ts").cast("timestamp"))
+    jobs.to_console(jobs.tumbling_counts(events), kind="memory", name="printed").awaitTermination()
+    assert [r["n"] for r in spark.table("printed").collect()] == [2]
