@@ -11,6 +11,12 @@ from . import avi, bpe, decontam, html_extract, line_dedup, near_dedup, quality,
 from .common import scratch_path, table
 
 
+#: Tasks that the copies of one text are dealt out over.
+SALTS = 32
+#: Limit of one shard in the query: small enough that the smallest given tables are split too.
+QUERY_SHARD_BYTES = 128 * 1024
+
+
 def tokenizer_path(name: str) -> str:
     """Where a public vocabulary file lies on the machine that asks."""
     import public_tokenizers
@@ -33,7 +39,9 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     ledger.commit("load", load)
     ledger.commit("load", load)
     first = docs.groupBy(F.sha2(F.col("text").cast("binary"), 256).alias("print")).agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1")
-    copies = docs.select("doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("print")).join(first, "print").where("doc_id <> first")
+    # a group of copies is dealt out over SALTS tasks
+    salted = first.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    copies = docs.select("doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("print"), F.pmod(F.hash("doc_id"), F.lit(SALTS)).alias("salt")).join(salted, ["print", "salt"]).where("doc_id <> first")
     ledger.commit("retire-copies", copies.select("doc_id", F.lit("delete").alias("op"), *[F.lit(None).cast("string").alias(c) for c in ("source", "lang", "text")]))
     return ledger.totals()
 
@@ -63,7 +71,7 @@ def op6_html(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sharding.assign_shards(table(spark, sf_dir, "documents"))
+    return sharding.assign_shards(table(spark, sf_dir, "documents"), QUERY_SHARD_BYTES)
 
 
 def op8_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -93,18 +101,18 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLES: dict[str, str] = {
-    # the leaf of a row is the shortest prefix of its hash whose rows fit the limit; depths up to 16 do for the oracle's data
+    # the leaf of a row is the shortest prefix of its hash whose rows fit the limit, or the whole hash
     "op7_sharding": f"""
         WITH sized AS (
           SELECT doc_id, coalesce(octet_length(encode(text)), 0)::BIGINT AS n_bytes,
                  ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 15))::BIGINT AS h
           FROM documents),
         levels AS (SELECT s.doc_id, s.n_bytes, d.depth::INT AS depth, (h >> (60 - d.depth::INT)) AS prefix
-                   FROM sized s, range(0, 17) d(depth)),
+                   FROM sized s, range(0, 61) d(depth)),
         sums AS (SELECT depth, prefix, sum(n_bytes)::BIGINT AS shard_bytes FROM levels GROUP BY ALL),
         placed AS (SELECT l.doc_id, l.n_bytes, l.depth, l.prefix, s.shard_bytes,
                           row_number() OVER (PARTITION BY l.doc_id ORDER BY l.depth) AS k
-                   FROM levels l JOIN sums s USING (depth, prefix) WHERE s.shard_bytes <= {sharding.SHARD_BYTES})
+                   FROM levels l JOIN sums s USING (depth, prefix) WHERE s.shard_bytes <= {QUERY_SHARD_BYTES} OR depth = 60)
         SELECT doc_id, n_bytes, CASE WHEN depth = 0 THEN '' ELSE lpad(bin(prefix), depth, '0') END AS shard, depth, shard_bytes
         FROM placed WHERE k = 1""",
 }

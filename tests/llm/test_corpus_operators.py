@@ -238,6 +238,21 @@ def test_shards_split_only_where_too_large(spark, small, limit):
     assert sharding.assign_shards(docs.where("1 = 0"), limit).count() == 0
 
 
+def test_the_query_splits_and_agrees_with_its_sql(spark, small):
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{small}/documents.parquet'")
+    want = con.execute(entry.oracle_sql()["op7_sharding"]).df().sort_values("doc_id").reset_index(drop=True)
+    got = entry.queries()["op7_sharding"](spark, small).toPandas().sort_values("doc_id").reset_index(drop=True)
+    assert got["shard"].nunique() > 1 and (got[sorted(got)].astype(str) == want[sorted(want)].astype(str)).all(axis=None)
+
+
+def test_shards_of_clashing_columns(spark):
+    df = spark.createDataFrame([(1, "a", "x", 5), (2, "bb", "y", 6)], "doc_id long, text string, prefix string, depth int")
+    assert sorted(tuple(r)[:3] for r in sharding.assign_shards(df).collect()) == [(1, 1, ""), (2, 2, "")]
+
+
 # 8
 
 
