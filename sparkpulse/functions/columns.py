@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -51,25 +51,15 @@ def map_lookup(table: Mapping[str, float], key: Column, default: float = 0.0) ->
     return F.coalesce(F.try_element_at(F.create_map(*pairs), key), F.lit(default)) if pairs else F.lit(default)
 
 
-def unbiased_skewness(column: str, window: Window | None = None) -> Column:
-    """Bias-corrected skewness, 0 for fewer than three values or no spread."""
-    over = (lambda c: c.over(window)) if window is not None else (lambda c: c)
-    n = over(F.count(column)).cast("double")
-    g = over(F.skewness(column))
-    out = F.when(n >= 3, g * F.sqrt(n * (n - 1)) / (n - 2))
-    return F.coalesce(F.when(F.isnan(out), 0.0).otherwise(out), F.lit(0.0))
-
-
 def words(text: Column) -> Column:
     """Words with inner apostrophes, in lower case, by Unicode's letters."""
     return F.regexp_extract_all(F.lower(text), F.lit(r"(?U)(\b[\w']+\b)"), F.lit(1))
 
 
-def correlation(a: str, b: str, window: Window | None = None) -> Column:
+def correlation(a: str, b: str) -> Column:
     """Pearson correlation; 0 where a column has no spread or there is one row (``corr`` itself fails there)."""
-    over = (lambda c: c.over(window)) if window is not None else (lambda c: c)
-    spread = over(F.stddev_pop(a)) * over(F.stddev_pop(b))
-    return F.coalesce(F.when(spread > 0, over(F.covar_pop(a, b)) / spread), F.lit(0.0))
+    spread = F.stddev_pop(a) * F.stddev_pop(b)
+    return F.coalesce(F.when(spread > 0, F.covar_pop(a, b) / spread), F.lit(0.0))
 
 
 def once(df: DataFrame, name: str, expression: Column) -> DataFrame:

@@ -6,14 +6,15 @@ Frames count rows, not time. All features of one frame share a window, so a seri
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from functools import reduce
 from itertools import combinations
+from math import isqrt
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import correlation, unbiased_skewness
 from .joins import previous_period
 
 WINDOWS = (15, 60, 360)
@@ -28,16 +29,82 @@ def _frame(entity: str, order: Sequence[str], size: int):
     return series(entity, order).rowsBetween(-(size - 1), 0)
 
 
-def rolling_stats(entity: str, order: Sequence[str], columns: Sequence[str], sizes: Sequence[int] = WINDOWS) -> dict[str, Column]:
-    """Mean, standard deviation and skewness over the last rows; 0 where too few rows define them."""
+def _shorter(size: int, sizes: Sequence[int] = ()) -> int:
+    """A frame's part: the largest given size that divides it, else its largest divisor up to its root; itself if that is tiny."""
+    given = [n for n in sizes if n < size and size % n == 0]
+    part = max(given, default=0) or max(d for d in range(1, isqrt(size) + 1) if size % d == 0)
+    return part if part >= 4 else size
+
+
+def _parts(df: DataFrame, w, columns: Sequence[str], size: int, part: int) -> tuple[DataFrame, list[list[Column]]]:
+    """The moments of the frames of ``part`` rows that make up a frame of ``size`` rows; those before the series are null."""
+    steps = range(1, size // part)
+    df = df.withColumns({f"{c}_{k}": F.lag(c, k * part).over(w) for c in columns for k in steps})
+    return df, [[F.col(c), *[F.col(f"{c}_{k}") for k in steps]] for c in columns]
+
+
+def _total(terms: Sequence[Column]) -> Column:
+    return reduce(Column.__add__, [F.coalesce(t, F.lit(0.0)) for t in terms])
+
+
+def _mean(parts: Sequence[Column], field: str, n: Column) -> Column:
+    return _total([F.when(p.n > 0, p.n * p[field]) for p in parts]) / n
+
+
+def _flat(parts: Sequence[Column], low: str, high: str) -> Column:
+    """Whether all values of the parts are equal, which rounded sums of squares can't tell."""
+    return F.least(F.lit(None).cast("double"), *[p[low] for p in parts]) == F.greatest(F.lit(None).cast("double"), *[p[high] for p in parts])
+
+
+def _moments(df: DataFrame, entity: str, order: Sequence[str], columns: Sequence[str], size: int, part: int) -> DataFrame:
+    """Add ``_column_size`` for each column: count, mean, second and third central sums, least and largest value of the frame."""
+    if part == size:
+        f, out = _frame(entity, order, size), {}
+        for c in columns:
+            x = F.col(c).cast("double")
+            n, low, high = F.count(x).over(f).cast("double"), F.min(x).over(f), F.max(x).over(f)
+            m2 = F.when(low == high, 0.0).otherwise(F.var_pop(x).over(f) * n)
+            m3 = F.when(low == high, 0.0).otherwise(F.skewness(x).over(f) * F.pow(m2, F.lit(1.5)) / F.sqrt(n))
+            out[f"_{c}_{size}"] = F.struct(n.alias("n"), F.avg(x).over(f).alias("mean"), m2.alias("m2"), m3.alias("m3"), low.alias("low"), high.alias("high"))
+        return df.withColumns(out)
+    kept = df.columns
+    df, frames = _parts(df, series(entity, order), [f"_{c}_{part}" for c in columns], size, part)
+    df = df.withColumns({f"_{c}_n": _total([p.n for p in parts]) for c, parts in zip(columns, frames, strict=True)})
+    df = df.withColumns({f"_{c}_mean": _mean(parts, "mean", F.col(f"_{c}_n")) for c, parts in zip(columns, frames, strict=True)})
+    out = []
+    for c, parts in zip(columns, frames, strict=True):
+        away = [(p, p.mean - F.col(f"_{c}_mean")) for p in parts]
+        flat = F.coalesce(_flat(parts, "low", "high"), F.lit(False))
+        out.append(F.struct(
+            F.col(f"_{c}_n").alias("n"), F.col(f"_{c}_mean").alias("mean"),
+            F.when(flat, 0.0).otherwise(_total([p.m2 + p.n * d * d for p, d in away])).alias("m2"),
+            F.when(flat, 0.0).otherwise(_total([p.m3 + d * (3 * p.m2 + p.n * d * d) for p, d in away])).alias("m3"),
+            F.least(*[p.low for p in parts]).alias("low"), F.greatest(*[p.high for p in parts]).alias("high")).alias(f"_{c}_{size}"))
+    return df.select(*kept, *out)
+
+
+def rolling_stats(df: DataFrame, entity: str, order: Sequence[str], columns: Sequence[str], sizes: Sequence[int] = WINDOWS) -> DataFrame:
+    """Add mean, standard deviation and skewness over the last rows; 0 where too few rows define the latter two.
+
+    A frame of 60 rows is made of the moments of four frames of 15, one of 360 of six frames of 60: 25 steps a row in
+    place of 435, and, unlike differences of running sums, as exact for long or steeply rising series. Nulls aren't
+    counted; a value that isn't finite spoils only the frames that hold it.
+    """
+    kept = df.columns
+    for size in sorted(sizes):
+        part = _shorter(size, sizes)
+        if part != size and part not in sizes:
+            df = _moments(df, entity, order, columns, part, part)
+        df = _moments(df, entity, order, columns, size, part)
     out: dict[str, Column] = {}
     for size in sizes:
-        w = _frame(entity, order, size)
         for c in columns:
-            out[f"{c}_mean_{size}"] = F.avg(c).over(w)
-            out[f"{c}_std_{size}"] = F.coalesce(F.stddev_samp(c).over(w), F.lit(0.0))
-            out[f"{c}_skew_{size}"] = unbiased_skewness(c, w)
-    return out
+            m = F.col(f"_{c}_{size}")
+            g = F.when((m.n >= 3) & (m.m2 > 0), F.sqrt(m.n * (m.n - 1)) / (m.n - 2) * F.sqrt(m.n) * m.m3 / F.pow(m.m2, F.lit(1.5)))
+            out[f"{c}_mean_{size}"] = F.when(m.n > 0, m["mean"])
+            out[f"{c}_std_{size}"] = F.coalesce(F.when(m.n > 1, F.sqrt(m.m2 / (m.n - 1))), F.lit(0.0))
+            out[f"{c}_skew_{size}"] = F.coalesce(F.when(~F.isnan(g), g), F.lit(0.0))
+    return df.select(*kept, *[v.alias(k) for k, v in out.items()])
 
 
 def rates_of_change(entity: str, order: Sequence[str], columns: Sequence[str]) -> dict[str, Column]:
@@ -54,18 +121,35 @@ def lags(entity: str, order: Sequence[str], columns: Sequence[str], steps: Seque
     return {f"{c}_lag_{n}": F.coalesce(F.lag(c, n).over(w), F.first(c).over(first)) for c in columns for n in steps}
 
 
-def correlations(entity: str, order: Sequence[str], columns: Sequence[str], size: int = 60) -> dict[str, Column]:
-    """Rolling correlation of all pairs; 0 before half a frame is there, and where a column has no spread."""
-    w, least = _frame(entity, order, size), max(size // 2, 2)
-    out = {}
-    for a, b in combinations(columns, 2):
-        out[f"corr_{a}_{b}"] = F.when(F.count(F.when(F.col(a).isNotNull() & F.col(b).isNotNull(), 1)).over(w) >= least, correlation(a, b, w)).otherwise(0.0)
-    return out
+def correlations(df: DataFrame, entity: str, order: Sequence[str], columns: Sequence[str], size: int = 60) -> DataFrame:
+    """Add the rolling correlation of all pairs; 0 before half a frame is there, and where a column has no spread.
+
+    As in ``rolling_stats``, shorter frames make up the whole one. Only rows that have both values count.
+    """
+    kept, w, part, least, out = df.columns, series(entity, order), _shorter(size), max(size // 2, 2), {}
+    f, pairs, base = _frame(entity, order, part), list(combinations(columns, 2)), {}
+    for a, b in pairs:
+        x, y = F.when(F.col(b).isNotNull(), F.col(a).cast("double")), F.when(F.col(a).isNotNull(), F.col(b).cast("double"))
+        n = F.count(x).over(f).cast("double")
+        base[f"_{a}_{b}"] = F.struct(
+            n.alias("n"), F.avg(x).over(f).alias("a"), F.avg(y).over(f).alias("b"), (F.var_pop(x).over(f) * n).alias("aa"), (F.var_pop(y).over(f) * n).alias("bb"),
+            (F.covar_pop(x, y).over(f) * n).alias("ab"), *[g(v).over(f).alias(k) for k, g, v in (("low_a", F.min, x), ("high_a", F.max, x), ("low_b", F.min, y), ("high_b", F.max, y))])
+    df, frames = _parts(df.withColumns(base), w, list(base), size, part)
+    df = df.withColumns({f"{name}_n": _total([p.n for p in parts]) for name, parts in zip(base, frames, strict=True)})
+    df = df.withColumns({f"{name}_{k}": _mean(parts, k, F.col(f"{name}_n")) for name, parts in zip(base, frames, strict=True) for k in "ab"})
+    for (a, b), name, parts in zip(pairs, base, frames, strict=True):
+        away = [(p, p.a - F.col(f"{name}_a"), p.b - F.col(f"{name}_b")) for p in parts]
+        aa, bb, ab = (_total([p[k] + p.n * d(u, v) for p, u, v in away]) for k, d in (("aa", lambda u, v: u * u), ("bb", lambda u, v: v * v), ("ab", lambda u, v: u * v)))
+        flat = _flat(parts, "low_a", "high_a") | _flat(parts, "low_b", "high_b")
+        spread = F.sqrt(aa) * F.sqrt(bb)
+        out[f"corr_{a}_{b}"] = F.coalesce(F.when((F.col(f"{name}_n") >= least) & ~flat & (spread > 0), ab / spread), F.lit(0.0))
+    return df.select(*kept, *[v.alias(k) for k, v in out.items()])
 
 
 def features(df: DataFrame, entity: str, order: Sequence[str], columns: Sequence[str], peaks: bool = False) -> DataFrame:
     """All rolling features beside the given columns."""
-    out = df.withColumns(rolling_stats(entity, order, columns) | rates_of_change(entity, order, columns) | lags(entity, order, columns) | correlations(entity, order, columns))
+    out = rolling_stats(df, entity, order, columns).withColumns(rates_of_change(entity, order, columns) | lags(entity, order, columns))
+    out = correlations(out, entity, order, columns)
     if peaks:
         for c in columns:
             out = fft_peak(out, entity, order, c)

@@ -61,6 +61,33 @@ def test_rolling_agrees_with_pandas(spark):
     assert got.v_fft_peak.iloc[-1] == np.round(np.fft.rfftfreq(60)[1:][np.abs(np.fft.rfft(x - x.mean()))[1:].argmax()], 4)
 
 
+def test_rolling_of_hard_series(spark):
+    """Gaps, constant stretches, a steep rise with small noise, and a spike before a quiet end, against direct frames."""
+    rng = np.random.default_rng(2)
+    n = 900
+    gaps = pd.Series(rng.normal(size=n)).mask(rng.random(n) < 0.3)
+    flat = pd.Series(np.where(np.arange(n) < 450, 0.1, 0.7))
+    steep = pd.Series(1e6 * np.arange(n) + rng.normal(size=n))
+    spike = pd.Series(np.where(np.arange(n) == 3, 1e9, rng.normal(size=n)))
+    frame = pd.DataFrame({"e": "m", "t": range(n), "gaps": gaps, "flat": flat, "steep": steep, "spike": spike})
+    df = spark.createDataFrame(frame).withColumn("gaps", F.nanvl("gaps", F.lit(None)))
+    names = ["gaps", "flat", "steep", "spike"]
+    got = rolling.correlations(rolling.rolling_stats(df, "e", ["t"], names), "e", ["t"], names).toPandas().sort_values("t").reset_index(drop=True)
+    for c in names:
+        for size in (15, 60, 360):
+            frames = [frame[c][max(0, i - size + 1):i + 1].dropna() for i in range(n)]
+            want = pd.DataFrame([(x.mean(), x.std() if len(x) > 1 else 0.0, x.skew() if len(x) > 2 and x.nunique() > 1 else 0.0) for x in frames])
+            for k, v in enumerate(("mean", "std", "skew")):
+                assert np.allclose(got[f"{c}_{v}_{size}"], want[k], rtol=1e-6, atol=1e-6, equal_nan=True), (c, v, size)
+    assert (got.flat_std_15[:450] == 0).all() and (got.flat_skew_60[:450] == 0).all() and (got.corr_gaps_flat[:450] == 0).all()
+    for a, b in (("gaps", "steep"), ("gaps", "flat")):
+        for i in range(0, n, 7):
+            both = frame.loc[max(0, i - 59):i, [a, b]].dropna()
+            want = both[a].corr(both[b]) if len(both) >= 30 and both[a].nunique() > 1 and both[b].nunique() > 1 else 0.0
+            assert abs(got[f"corr_{a}_{b}"][i] - want) < 1e-6
+    assert not [x for x in got.columns if x.startswith("_")]
+
+
 def test_sentiment_negates_and_strengthens(spark):
     df = spark.createDataFrame([(1, "good"), (2, "not good"), (3, "very good!"), (4, ""), (5, None)], "id long, t string")
     got = {r.id: r for r in text.lexicon_sentiment(df, "t", {"good": 2.0}, ("not",), {"very": 1.5}).collect()}
