@@ -3,7 +3,8 @@
 A ledger keeps, for each committed batch, signed entries of the documents it changed and the sums of those entries
 by source, language and tokenizer version. Totals are the sums over all batches: an insertion adds, a deletion
 takes away what was counted, a revision does both. A batch is known by its name and counts once, however often it
-is committed.
+is committed, and costs what it changes: texts are counted where they are read, and earlier entries are looked up
+by bucket.
 """
 
 from __future__ import annotations
@@ -16,7 +17,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import Scratch
+
 GROUP = ("source", "lang", "tokenizer")
+#: Folders of a new ledger's entries; one should hold some 100 MB at its fullest.
+BUCKETS = 32
+#: Columns of an entry; ids are kept as text.
+ENTRY = "doc_id string, source string, lang string, tokenizer string, n_docs long, n_tokens long"
 
 
 @lru_cache(maxsize=4)
@@ -51,62 +58,108 @@ class TokenLedger:
     are rows (doc_id, op, source, lang, text); op is insert, revise or delete. An insertion of a document that is
     there counts as a revision, a revision of one that isn't as an insertion, and a deletion of one that isn't as
     nothing. Several changes of one document in a batch: the deletion wins, else the largest by source, language
-    and text. Null texts have 0 tokens, null sources and languages are groups of their own; rows without id or
-    with another op are left out. An empty batch commits and changes nothing.
+    and SHA-256 of the text, a null text last. Null texts have 0 tokens, null sources and languages are groups of
+    their own; rows without id or with another op are left out, other columns ignored. An empty batch commits and
+    changes nothing.
+
+    Entries lie in ``buckets`` folders by a hash of the id, sorted by id: a batch reads the buckets it touches, and
+    of their entries only those of its own documents are shuffled. A new ledger takes the given number, which should
+    leave a bucket of some 100 MB; one that exists keeps its own until ``compact`` deals it out anew. One program at
+    a time may commit or compact.
     """
 
-    def __init__(self, spark: SparkSession, root: str, tokenizers: dict):
-        self.spark, self.root, self.tokenizers = spark, root.rstrip("/"), tokenizers
-
-    def _path(self, table: str, batch: str) -> str:
-        return f"{self.root}/{table}/batch={batch}"
+    def __init__(self, spark: SparkSession, root: str, tokenizers: dict, buckets: int = BUCKETS):
+        self.spark, self.root, self.tokenizers, self.buckets = spark, root.rstrip("/"), tokenizers, buckets
 
-    def _files(self):
-        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.root)
-        return path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+    def _found(self, pattern: str) -> list[str]:
+        """Paths below the root that match, without the root."""
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+        files = path(self.root).getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        depth = pattern.count("/") + 1
+        found = files.globStatus(path(f"{self.root}/{pattern}")) or []
+        return ["/".join(x.getPath().toString().split("/")[-depth:]) for x in found]
 
     def committed(self) -> list[str]:
         """Names of the batches whose sums have been written to the end, which is what commits them."""
-        make = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-        found = self._files().globStatus(make(f"{self.root}/sums/batch=*/_SUCCESS")) or []
-        return sorted(x.getPath().getParent().getName().removeprefix("batch=") for x in found)
-
-    def _read(self, table: str) -> DataFrame | None:
-        paths = [self._path(table, b) for b in self.committed()]
-        return self.spark.read.parquet(*paths) if paths else None
+        return sorted(x.split("/")[1].removeprefix("batch=") for x in self._found("sums/batch=*/_SUCCESS"))
+
+    def _generation(self) -> tuple[str, int]:
+        """Folder and number of buckets of the entries in use; a compaction makes the next one."""
+        made = {int(x.split("/")[1].split("=")[1]): int(x.split("/")[2].split("=")[1]) for x in self._found("entries/gen=*/buckets=*/*/_SUCCESS")}
+        done = [0, *(int(x.split("/")[1].split("=")[1]) for x in self._found("entries/gen=*/buckets=*/base/_SUCCESS"))]
+        gen = max(done)
+        buckets = made.get(gen, self.buckets)
+        return f"entries/gen={gen}/buckets={buckets}", buckets
+
+    def _entries(self, folder: str, touched: list[int] | None = None) -> DataFrame | None:
+        """Entries of the committed batches and of the base they build on, in the given buckets only."""
+        names = {"base", *(f"batch={b}" for b in self.committed())}
+        parts = [x.split("/")[-2] for x in self._found(f"{folder}/*/_SUCCESS")]
+        every = None
+        for part in sorted(names.intersection(parts)):
+            one = self.spark.read.schema(f"{ENTRY}, bucket int").parquet(f"{self.root}/{folder}/{part}")
+            one = one if touched is None else one.where(F.col("bucket").isin(touched))
+            every = one if every is None else every.unionByName(one)
+        return every
+
+    def _write(self, entries: DataFrame, path: str) -> None:
+        entries.repartition("bucket").sortWithinPartitions("bucket", "doc_id").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.root}/{path}")
 
     def commit(self, batch: str, changes: DataFrame) -> bool:
         """Count a batch; False if it has been committed already. A half-written batch is written anew."""
         if batch in self.committed():
             return False
-        version = F.struct((F.col("op") == "delete").alias("gone"), "source", "lang", "text")
-        last = changes.where("doc_id IS NOT NULL AND op IN ('insert', 'revise', 'delete')")
-        plus = last.where("op <> 'delete'")
-        if not _unique(changes):
-            last = last.groupBy("doc_id").agg(F.max(version).alias("v")).select("doc_id", "v.*")
-            plus = last.where("NOT gone")
-        counts = F.array(*[F.struct(F.lit(name).alias("tokenizer"), count(F.col("text")).alias("n_tokens")) for name, count in self.tokenizers.items()])
-        counted = plus.select("doc_id", "source", "lang", F.explode(counts).alias("c")).select(
-            "doc_id", "source", "lang", "c.tokenizer", F.lit(1).cast("long").alias("n_docs"), F.coalesce("c.n_tokens", F.lit(0)).cast("long").alias("n_tokens"))
-        before = self._read("entries")
-        if before is not None:
-            state = before.groupBy("doc_id", *GROUP).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens")).where("n_docs <> 0")
-            minus = state.join(last.select("doc_id").distinct(), "doc_id", "left_semi")
-            counted = counted.unionByName(minus.withColumns({"n_docs": -F.col("n_docs"), "n_tokens": -F.col("n_tokens")}).select(*counted.columns))
-        counted.write.mode("overwrite").parquet(self._path("entries", batch))
-        entries = self.spark.read.schema(counted.schema).parquet(self._path("entries", batch))
-        sums = entries.groupBy(*GROUP).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
-        sums.write.mode("overwrite").parquet(self._path("sums", batch))
+        folder, buckets = self._generation()
+        gone = F.col("op") == "delete"
+        text = F.when(~gone, F.col("text"))
+        counts = F.array(*[F.coalesce(count(text), F.lit(0)).cast("long") for count in self.tokenizers.values()])
+        # texts become counts and digests before anything is dealt out
+        version = F.struct(gone.alias("gone"), "source", "lang", F.sha2(text.cast("binary"), 256).alias("digest"), counts.alias("counts"))
+        rows = changes.where("doc_id IS NOT NULL AND op IN ('insert', 'revise', 'delete')").select(
+            F.col("doc_id").cast("string").alias("doc_id"), version.alias("v"))
+        with Scratch(self.spark) as scratch:
+            last = scratch.written(rows.groupBy("doc_id").agg(F.max("v").alias("v")).select(bucket_of("doc_id", buckets).alias("bucket"), "doc_id", "v.*"), "ledger-batch")
+            each = F.array(*[F.struct(F.lit(name).alias("tokenizer"), F.col("counts")[i].alias("n_tokens")) for i, name in enumerate(self.tokenizers)])
+            entries = last.where("NOT gone").select("bucket", "doc_id", "source", "lang", F.explode(each).alias("c")).select(
+                "bucket", "doc_id", "source", "lang", "c.tokenizer", F.lit(1).cast("long").alias("n_docs"), "c.n_tokens")
+            # at most one value a bucket comes to the driver
+            touched = [r.bucket for r in last.select("bucket").distinct().collect()]
+            before = self._entries(folder, touched) if touched else None
+            if before is not None:
+                mine = before.join(last.select("bucket", "doc_id"), ["bucket", "doc_id"], "left_semi")
+                entries = entries.unionByName(_net(mine).withColumns({"n_docs": -F.col("n_docs"), "n_tokens": -F.col("n_tokens")}))
+            self._write(entries, f"{folder}/batch={batch}")
+        written = self.spark.read.schema(f"{ENTRY}, bucket int").parquet(f"{self.root}/{folder}/batch={batch}")
+        sums = written.groupBy(*GROUP).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
+        sums.write.mode("overwrite").parquet(f"{self.root}/sums/batch={batch}")
         return True
 
+    def compact(self, buckets: int | None = None) -> None:
+        """Write the entries of all committed batches as one base, in another number of buckets if given.
+
+        Sums and names of batches stay, so totals don't change and a batch still counts once. The older entries
+        aren't read any more; they are left to be deleted by whoever owns the folder.
+        """
+        folder, old = self._generation()
+        entries = self._entries(folder)
+        if entries is not None:
+            gen = int(folder.split("/")[1].split("=")[1]) + 1
+            buckets = buckets or old
+            self._write(_net(entries.withColumn("bucket", bucket_of("doc_id", buckets))), f"entries/gen={gen}/buckets={buckets}/base")
+
     def totals(self) -> DataFrame:
         """Rows (source, lang, tokenizer, n_docs, n_tokens) over all committed batches; groups without documents are left out."""
-        sums = self._read("sums")
-        if sums is None:
+        paths = [f"{self.root}/sums/batch={b}" for b in self.committed()]
+        if not paths:
             return self.spark.createDataFrame([], "source string, lang string, tokenizer string, n_docs long, n_tokens long")
+        sums = self.spark.read.parquet(*paths)
         return sums.groupBy(*GROUP).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens")).where("n_docs <> 0")
 
 
-def _unique(changes: DataFrame) -> bool:
-    """Whether each document occurs once, by ids alone, so that texts needn't be shuffled."""
-    return changes.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").isEmpty()
+def bucket_of(doc_id: str, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(doc_id), F.lit(buckets)).cast("int")
+
+
+def _net(entries: DataFrame) -> DataFrame:
+    """What stands of signed entries, for each document, group and tokenizer."""
+    return entries.groupBy("bucket", "doc_id", *GROUP).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens")).where("n_docs <> 0")

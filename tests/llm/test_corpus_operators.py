@@ -51,6 +51,46 @@ def test_ledger_counts_revises_deletes_and_commits_once(spark, tmp_path):
     assert ledger.committed() == ["b1", "b2", "b3"] and got() == {("b", "en"): (1, 3), (None, None): (1, 0)}
 
 
+def test_ledger_agrees_with_a_dictionary_over_random_batches(spark, tmp_path):
+    rng = np.random.default_rng(4)
+    ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    tokenizers = {"w": token_counts.word_counter, "r": token_counts.rank_file_counter(ranks, public_tokenizers.PATTERN)}
+    encoding = token_counts._encoding(ranks, public_tokenizers.PATTERN)
+    ledger = token_counts.TokenLedger(spark, "file://" + str(tmp_path), tokenizers, buckets=8)
+    texts = ["", None, "one", "two words", "w " * 40_000, "naïve 日本語 😀", "a  b\tc"]
+    held: dict = {}
+    for k in range(5):
+        rows = [(int(rng.integers(0, 30)), str(rng.choice(["insert", "revise", "delete"], p=[0.4, 0.4, 0.2])), [None, "a", "b"][rng.integers(0, 3)],
+                 [None, "en"][rng.integers(0, 2)], texts[rng.integers(0, len(texts))]) for _ in range(25)]
+        changes: dict = {}
+        for doc, op, source, lang, text in rows + rows[:3]:  # repeated rows too
+            digest = None if text is None else hashlib.sha256(text.encode()).hexdigest()
+            rank = (op == "delete", *((x is not None, x or "") for x in (source, lang, None if op == "delete" else digest)))
+            changes[doc] = max(changes.get(doc, (rank, text, source, lang)), (rank, text, source, lang), key=lambda x: x[0])
+        for doc, (rank, text, source, lang) in changes.items():
+            held.pop(doc, None) if rank[0] else held.update({doc: (source, lang, text)})
+        df = spark.createDataFrame(rows + rows[:3], "doc_id long, op string, source string, lang string, text string").withColumns({"bucket": F.lit("taken"), "n_tokens": F.lit("taken"), "counts": F.lit("taken")})
+        assert ledger.commit(f"b{k}", df) and not ledger.commit(f"b{k}", df)
+        want: dict = {}
+        for source, lang, text in held.values():
+            for name, n in (("w", len((text or "").split())), ("r", len(encoding.encode_ordinary(text or "")))):
+                docs, tokens = want.get((source, lang, name), (0, 0))
+                want[source, lang, name] = (docs + 1, tokens + n)
+        assert {(r.source, r.lang, r.tokenizer): (r.n_docs, r.n_tokens) for r in ledger.totals().collect()} == want
+        if k in (1, 3):
+            ledger.compact(16 if k == 1 else None)
+            assert ledger._generation()[1] == 16
+
+
+def test_ledger_reads_only_the_buckets_of_a_batch(spark, tmp_path):
+    ledger = token_counts.TokenLedger(spark, "file://" + str(tmp_path), {"w": token_counts.word_counter}, buckets=8)
+    ledger.commit("all", spark.range(200).selectExpr("id AS doc_id", "'insert' AS op", "'s' AS source", "'en' AS lang", "'a b' AS text"))
+    folder, _ = ledger._generation()
+    few = ledger._entries(folder, [3])
+    assert "PartitionFilters: [isnotnull(bucket" in few._jdf.queryExecution().toString()
+    assert 0 < few.count() < 100 and few.where("bucket <> 3").isEmpty()
+
+
 # 2
 
 
