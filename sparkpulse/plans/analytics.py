@@ -44,7 +44,17 @@ def rolling_features(t):
     return out.select("event_id", *[(F.round(F.col(c) + 1e-9 if "_mean_" in c else F.col(c), 3 if "_skew_" in c else 4) + 0.0).alias(c) for c in names])  # ties go up in both engines
 
 
-@query()
+#: The discrete transform as sums over each frame; of frequencies alike to nine digits the first counts.
+PEAKS = """WITH f AS (SELECT event_id, list(coalesce(value, 0)::DOUBLE) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS 59 PRECEDING) AS x FROM events),
+  c AS (SELECT event_id, len(x) AS n, list_transform(x, lambda v: v - list_avg(x)) AS x FROM f),
+  k AS (SELECT event_id, n, x, unnest(range(1, n // 2 + 1)) AS k FROM c WHERE n >= 4),
+  p AS (SELECT event_id, n, k, sqrt(pow(list_sum(list_transform(x, lambda v, i: v * cos(2 * pi() * ((k * (i - 1)) % n) / n))), 2)
+    + pow(list_sum(list_transform(x, lambda v, i: v * sin(2 * pi() * ((k * (i - 1)) % n) / n))), 2)) AS power FROM k),
+  best AS (SELECT event_id, arg_min(round_even(k / n, 4), {'p': -round(power, 6), 'k': k}) AS peak FROM p GROUP BY ALL)
+  SELECT event_id, coalesce(peak, 0)::DOUBLE AS value_fft_peak FROM f LEFT JOIN best USING (event_id)"""
+
+
+@query(PEAKS)
 def fft_peaks(t):
     return rolling.fft_peak(series(t), "user_id", ORDER, "value").select("event_id", "value_fft_peak")
 
@@ -116,8 +126,9 @@ SENTIMENT = rf"""WITH w AS (SELECT doc_id, lang, text, regexp_extract_all(lower(
       * (CASE WHEN i > 1 THEN coalesce({_sql_map(MODIFIERS)}[ws[i - 1]], 1) ELSE 1 END)) AS sc FROM w),
   t AS (SELECT *, coalesce(list_sum(sc), 0) AS total, least(.1 * (length(text) - length(replace(text, '!', ''))), .3) AS marks FROM s),
   u AS (SELECT *, CASE WHEN len(sc) = 0 THEN 0 WHEN total > 0 THEN total + marks ELSE total - marks END AS v FROM t),
-  scored AS (SELECT doc_id, lang, round(v / sqrt(v * v + 15), 4) AS compound, CASE WHEN len(sc) = 0 THEN 0 ELSE round(len(list_filter(sc, lambda x: x > 0)) / len(sc), 4) END AS positive,
-      CASE WHEN len(sc) = 0 THEN 0 ELSE round(len(list_filter(sc, lambda x: x < 0)) / len(sc), 4) END AS negative FROM u),
+  scored AS (SELECT doc_id, lang, round(v / sqrt(v * v + 15), 4) AS compound, CASE WHEN len(sc) = 0 THEN 0 ELSE round_even(len(list_filter(sc, lambda x: x > 0)) / len(sc), 4) END AS positive,
+      CASE WHEN len(sc) = 0 THEN 0 ELSE round_even(len(list_filter(sc, lambda x: x < 0)) / len(sc), 4) END AS negative,
+      CASE WHEN len(sc) = 0 THEN 0 ELSE round_even(len(list_filter(sc, lambda x: x = 0)) / len(sc), 4) END AS neutral FROM u),
   labelled AS (SELECT *, CASE WHEN compound >= .2 THEN 'positive' WHEN compound <= -.2 THEN 'negative' ELSE 'neutral' END AS label FROM scored)"""
 
 
@@ -125,9 +136,9 @@ def scored(t) -> DataFrame:
     return text.lexicon_sentiment(t.documents, "text", LEXICON, NEGATORS, MODIFIERS)
 
 
-@query(SENTIMENT + " SELECT doc_id, compound, label FROM labelled")
+@query(SENTIMENT + " SELECT doc_id, compound, positive, negative, neutral, label, abs(compound) AS confidence FROM labelled")
 def lexicon_sentiment(t):
-    return scored(t).select("doc_id", "compound", "label")
+    return scored(t).select("doc_id", "compound", "positive", "negative", "neutral", "label", "confidence")
 
 
 @query(SENTIMENT + """ SELECT lang, round(avg(compound), 4) AS mean, round(median(compound), 4) AS median, round(stddev_samp(compound), 4) AS std, round(avg((label = 'positive')::INT), 4) AS pct_positive,
@@ -241,14 +252,23 @@ def forecast_metrics(t):
     return forecast.fit_metrics(forecast.trend_seasonal(monthly(t), "seg", "month", "y")[0], "seg")
 
 
-@query()
+ERRORS = "avg(CASE WHEN y <> 0 THEN abs((y - fitted) / y) END) * 100"
+
+
+@query(HOLT + TREND.removeprefix(MONTHS) + f""",
+  q AS (SELECT seg, 'trend_seasonal' AS model, 0 AS k, round({ERRORS}, 2) AS mape FROM f GROUP BY seg
+        UNION ALL SELECT seg, 'holt', 1, round({ERRORS}, 2) FROM h GROUP BY seg)
+  SELECT seg, model, mape FROM q QUALIFY row_number() OVER (PARTITION BY seg ORDER BY mape NULLS FIRST, k) = 1""")
 def best_forecast_model(t):
     m = monthly(t)
     parts = [(n, forecast.fit_metrics(f(m, "seg", "month", "y")[0], "seg")) for n, f in (("trend_seasonal", forecast.trend_seasonal), ("holt", forecast.holt))]
     return forecast.best_model(parts, "seg")
 
 
-@query()
+@query(TREND + """, p AS (SELECT l.seg, last, step::INT AS step, a + b * (n - 1 + step) + seasonal AS v, 1.96 * sigma * sqrt(step) AS margin
+    FROM l JOIN sg USING (seg), range(1, 13) r(step) JOIN se ON se.seg = l.seg AND se.season = (n - 1 + step) % 12)
+  SELECT seg, (last::DATE + to_months(step))::DATE::VARCHAR AS date, step, round_even(v, 0)::BIGINT AS forecast,
+    round_even(v - margin, 0)::BIGINT AS lower, round_even(v + margin, 0)::BIGINT AS upper FROM p""")
 def forecast_dates(t):
     return as_text(forecast.forecast_table(forecast.trend_seasonal(monthly(t), "seg", "month", "y")[1], "seg"), "date")
 

@@ -77,9 +77,24 @@ def local_contributions(t):
     return rounded(fairness.local_contributions(judged(t), "doc_id", FEATURES, WEIGHTS, BIAS), "contribution", digits=6)
 
 
-@query()
+#: One greedy step a round: each feature's move and gain, the first of the largest gains taken.
+COUNTERFACTUALS = JUDGED.replace("WITH j", "WITH RECURSIVE j") + """,
+  x AS (SELECT doc_id, log_chars AS a0, noise AS b0, toxic::DOUBLE AS c0, log_chars AS a, noise AS b, toxic::DOUBLE AS c, 0 AS n, true AS go
+        FROM j WHERE .9 * log_chars - .05 * noise - 1.5 * toxic - 6.5 <= 0
+    UNION ALL SELECT doc_id, a0, b0, c0, CASE WHEN k = 1 THEN a + ma ELSE a END, CASE WHEN k = 2 THEN b - mb ELSE b END, CASE WHEN k = 3 THEN c - mc ELSE c END, n + 1, true
+      FROM (SELECT *, CASE WHEN ga >= gb AND ga >= gc THEN 1 WHEN gb >= gc THEN 2 ELSE 3 END AS k FROM (
+        SELECT *, CASE WHEN abs(ma) > 1e-12 THEN ma * .9 ELSE 0 END AS ga, CASE WHEN abs(mb) > 1e-12 THEN mb * .05 ELSE 0 END AS gb, CASE WHEN abs(mc) > 1e-12 THEN mc * 1.5 ELSE 0 END AS gc
+        FROM (SELECT *, least(1.2::DOUBLE, 12 - a) AS ma, least(1.2::DOUBLE, b) AS mb, least(.1::DOUBLE, c) AS mc FROM x WHERE n < 50 AND .9 * a - .05 * b - 1.5 * c - 6.5 <= 0)))
+      WHERE greatest(ga, gb, gc) > 1e-12),
+  e AS (SELECT *, .9 * a - .05 * b - 1.5 * c - 6.5 AS z FROM x QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY n DESC) = 1)
+  SELECT doc_id, z > 0 AS flipped, n AS n_steps, round(1 / (1 + exp(-z)), 6) AS probability,
+    concat_ws(';', CASE WHEN a <> a0 THEN format('log_chars:{:.4g}->{:.4g}', a0, a) END, CASE WHEN b <> b0 THEN format('noise:{:.4g}->{:.4g}', b0, b) END,
+      CASE WHEN c <> c0 THEN format('toxic:{:.4g}->{:.4g}', c0, c) END) AS changes FROM e"""
+
+
+@query(COUNTERFACTUALS)
 def counterfactuals(t):
-    return fairness.counterfactuals(judged(t), "doc_id", FEATURES, WEIGHTS, BIAS, {"log_chars": (0.0, 12.0), "noise": (0.0, 12.0), "toxic": (0.0, 1.0)})
+    return rounded(fairness.counterfactuals(judged(t), "doc_id", FEATURES, WEIGHTS, BIAS, {"log_chars": (0.0, 12.0), "noise": (0.0, 12.0), "toxic": (0.0, 1.0)}), "probability", digits=6)
 
 
 @query()
@@ -141,9 +156,14 @@ TRADE = """WITH e AS (SELECT c_nationkey AS src, s_nationkey AS dst, l_quantity
   c AS (SELECT src, dst, count(*) AS c FROM e GROUP BY ALL HAVING count(*) >= 100), w AS (SELECT src, dst, sum(c)::BIGINT AS weight FROM (SELECT src, dst, c FROM c UNION ALL SELECT dst, src, c FROM c WHERE src <> dst) GROUP BY ALL)"""
 
 
-@query(TRADE + " SELECT src, dst, count(*) AS n, round(sum(duration), 2) AS total, round(avg(duration), 6) AS mean FROM e GROUP BY ALL HAVING count(*) >= 100")
+@query(TRADE + """, k AS (SELECT src, dst, string_agg(l_returnflag || ':' || c, ',' ORDER BY l_returnflag) AS kinds
+    FROM (SELECT src, dst, l_returnflag, count(*) AS c FROM e GROUP BY ALL) GROUP BY ALL)
+  SELECT src, dst, count(*) AS n, round(sum(duration), 2) AS total, round(avg(duration), 6) AS mean, any_value(kinds) AS kinds
+  FROM e JOIN k USING (src, dst) GROUP BY src, dst HAVING count(*) >= 100""")
 def pair_stats(t):
-    return rounded(rounded(graph.pair_stats(trade(t), "src", "dst", "duration", "l_returnflag", 100), "total", digits=2), "mean", digits=6).drop("kinds")
+    stats = graph.pair_stats(trade(t), "src", "dst", "duration", "l_returnflag", 100)
+    kinds = F.array_join(F.transform(F.map_entries("kinds"), lambda e: F.concat(e.key, F.lit(":"), e.value.cast("string"))), ",")
+    return rounded(rounded(stats, "total", digits=2), "mean", digits=6).withColumn("kinds", kinds)
 
 
 def network(t) -> DataFrame:
@@ -172,12 +192,32 @@ def degree_centrality(t):
     return rounded(graph.degree_centrality(network(t)), "degree_centrality", digits=6)
 
 
-@query()
+#: Power iteration with one round a step, and least paths by (length, nodes) that grow by one edge a step.
+CENTRALITY = TRADE.replace("WITH e", "WITH RECURSIVE e") + """, nodes AS (SELECT DISTINCT src AS node FROM w), size AS (SELECT count(*) AS n FROM nodes),
+  pw AS (SELECT 0 AS k, node, (SELECT n FROM size) ** -.5 AS x, 1.0::DOUBLE AS moved FROM nodes
+    UNION ALL SELECT k + 1, node, y / norm, sqrt(greatest(0, 2 - 2 * xy / norm)) FROM (
+      SELECT *, sqrt(sum(y * y) OVER ()) AS norm, sum(x * y) OVER () AS xy FROM (
+        SELECT p.k, p.node, p.x, sum(w.weight * q.x) AS y FROM pw p JOIN w ON w.src = p.node JOIN pw q ON q.node = w.dst WHERE p.k < 100 AND p.moved >= 1e-6 GROUP BY ALL))),
+  eig AS (SELECT node, x FROM pw QUALIFY k = max(k) OVER ()),
+  ed AS (SELECT src, dst, (SELECT max(weight)::DOUBLE FROM w WHERE src <> dst) / weight AS d FROM w WHERE src <> dst),
+  walk AS (SELECT 0 AS k, node AS source, node, {'d': 0.0::DOUBLE, 'p': [node]} AS best FROM nodes
+    UNION ALL SELECT k + 1, source, node, min(best) FROM (
+      SELECT k, source, node, best FROM walk UNION ALL SELECT k, source, ed.dst, {'d': best.d + ed.d, 'p': list_append(best.p, ed.dst)} FROM walk JOIN ed ON ed.src = walk.node)
+      WHERE k < (SELECT n - 1 FROM size) GROUP BY ALL),
+  inner_nodes AS (SELECT unnest(best.p[2:-2]) AS node FROM walk WHERE k = (SELECT n - 1 FROM size)),
+  btw AS (SELECT node, count(i.node) / greatest((n - 1) * (n - 2), 1)::DOUBLE AS b FROM nodes LEFT JOIN inner_nodes i USING (node), size GROUP BY node, n),
+  deg AS (SELECT src AS node, count(*) FILTER (src <> dst) / (SELECT n - 1 FROM size) AS g FROM w GROUP BY ALL),
+  cuts AS (SELECT quantile_cont(g, .75) AS g75, median(g) AS g50, median(b) AS b50 FROM deg JOIN btw USING (node)),
+  profile AS (SELECT node, g, b, x, .3 * g + .4 * b + .3 * x AS influence, CASE WHEN b > b50 AND g < g50 THEN 'bottleneck' WHEN b > b50 AND g > g50 THEN 'connector'
+    WHEN g > g75 THEN 'hub' ELSE 'peripheral' END AS role FROM deg JOIN btw USING (node) JOIN eig USING (node), cuts)"""
+
+
+@query(CENTRALITY + " SELECT node, round(x, 5) AS eigenvector FROM eig")
 def eigenvector_centrality(t):
     return rounded(graph.eigenvector_centrality(network(t)), "eigenvector", digits=5)
 
 
-@query()
+@query(CENTRALITY + " SELECT node, round(g, 5) AS degree_centrality, round(b, 5) AS betweenness, round(x, 5) AS eigenvector, round(influence, 5) AS influence, role FROM profile")
 def influence_profile(t):
     e = network(t).cache()
     return rounded(graph.influence_profile(graph.degree_centrality(e), graph.betweenness(e), graph.eigenvector_centrality(e)), "degree_centrality", "betweenness", "eigenvector", "influence", digits=5)
@@ -262,7 +302,7 @@ def detection_summary(t):
     return rounded(ml.detection_summary(rows, F.col("p"), F.col("a"), "value", ["site"]), "mean_error_anomaly", "mean_error_normal", digits=6)
 
 
-@query()
+@query(CENTRALITY + " SELECT node, role, role = 'bottleneck' AS is_bottleneck FROM profile ORDER BY b DESC, node LIMIT 5")
 def network_connectors(t):
     e = network(t)
     profile = graph.influence_profile(graph.degree_centrality(e), graph.betweenness(e), graph.eigenvector_centrality(e))

@@ -250,10 +250,16 @@ def ingest_stats(t):
     return quality.ingest_stats(t.events, ["user_id"], {"value": (5, 450)})
 
 
-@query(r"""SELECT doc_id, length(regexp_replace(regexp_replace(regexp_replace(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}', '[EMAIL]', 'g'), '\b[0-9]{3}-[0-9]{2}-[0-9]{4}\b', '[SSN]', 'g'), '\(?\b[0-9]{3}\)?[ .-]?[0-9]{3}[.-][0-9]{4}\b', '[PHONE]', 'g')) AS masked_chars,
-          len(regexp_extract_all(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}'))::INT AS n_email FROM documents""")
+EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"
+SSN, PHONE = r"\b[0-9]{3}-[0-9]{2}-[0-9]{4}\b", r"\(?\b[0-9]{3}\)?[ .-]?[0-9]{3}[.-][0-9]{4}\b"
+
+
+@query(f"""WITH a AS (SELECT doc_id, text, regexp_replace(text, '{EMAIL}', '[EMAIL]', 'g') AS t1 FROM documents),
+  b AS (SELECT *, regexp_replace(t1, '{SSN}', '[SSN]', 'g') AS t2 FROM a)
+  SELECT doc_id, regexp_replace(t2, '{PHONE}', '[PHONE]', 'g') AS text, len(regexp_extract_all(text, '{EMAIL}'))::INT AS n_email,
+    len(regexp_extract_all(t1, '{SSN}'))::INT AS n_ssn, len(regexp_extract_all(t2, '{PHONE}'))::INT AS n_phone FROM b""")
 def mask_pii(t):
-    return fairness.mask_pii(t.documents.select("doc_id", "text"), "text").select("doc_id", F.length("text").cast("long").alias("masked_chars"), "n_email")
+    return fairness.mask_pii(t.documents.select("doc_id", "text"), "text").select("doc_id", "text", "n_email", "n_ssn", "n_phone")
 
 
 @query("""SELECT conv_id, turn, CASE WHEN role NOT IN ('user', 'assistant') THEN 'model_not_allowed' WHEN turn = 0 THEN 'missing_tag' END AS reason, role IN ('user', 'assistant') AND turn <> 0 AS accepted, substring(text, 1, 200) AS snippet FROM conversations""")
