@@ -7,6 +7,11 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.io import stored
+
+#: Spots of drivers that one grid cell may hold at first, and how often a cell is halved for that.
+CROWD, DEEPEST = 64, 12
+
 
 def attribute_revenue(ads: DataFrame, orders: DataFrame, user: str, ad_ts: str, order_ts: str, amount: str, campaign: str) -> DataFrame:
     """Revenue by campaign where every ad before an order gets the order's whole amount.
@@ -44,10 +49,15 @@ def nearest_available(orders: DataFrame, drivers: DataFrame, cell: float = 1.0,
     """Each order's nearest driver by straight distance in degrees; ties go to the least driver_id.
 
     Orders look in grid cells around their own. A driver found within the searched rings is surely nearest only if
-    no unsearched cell can be nearer; orders that fail this go on with rings twice as wide, until none is left or
+    no unsearched cell can be nearer; orders that fail this go on with cells twice as wide, until none is left or
     the rings have covered all drivers. Without drivers the result is empty.
+
+    Of drivers at one spot only the least id can be nearest, and the first cells are halved until none holds more
+    than CROWD spots, so a busy place doesn't pair all its orders with all its drivers. Each round's rest is written.
     """
-    idle = drivers.select("driver_id", F.col("lat").alias("d_lat"), F.col("lon").alias("d_lon")).where("d_lat IS NOT NULL AND d_lon IS NOT NULL")
+    idle = drivers.where("lat IS NOT NULL AND lon IS NOT NULL").groupBy(F.col("lat").alias("d_lat"), F.col("lon").alias("d_lon")).agg(F.min("driver_id").alias("driver_id"))
+    idle = stored(idle, "drivers")
+    cell *= 0.5 ** _halvings(idle, cell)
     span = idle.agg(F.min("d_lat"), F.max("d_lat"), F.min("d_lon"), F.max("d_lon"), F.count("*")).first()
     todo, found = orders.where("lat IS NOT NULL AND lon IS NOT NULL"), None
     if not span[4]:
@@ -61,16 +71,25 @@ def nearest_available(orders: DataFrame, drivers: DataFrame, cell: float = 1.0,
         distance = F.sqrt(F.pow(F.col("lat") - F.col("d_lat"), 2) + F.pow(F.col("lon") - F.col("d_lon"), 2))
         best = near.join(cells, ["cx", "cy"]).groupBy("order_id").agg(F.min(F.struct(distance.alias("distance"), "driver_id")).alias("b"))
         last = cell * rings > far
-        sure = best.select("order_id", "b.driver_id", "b.distance").where(F.lit(True) if last else F.col("distance") <= cell * rings)
+        sure = stored(best.select("order_id", "b.driver_id", "b.distance").where(F.lit(True) if last else F.col("distance") <= cell * rings), "orders-met")
         found = sure if found is None else found.unionByName(sure)
         if last:
             return found
-        todo = todo.join(sure.select("order_id"), "order_id", "left_anti")
+        todo = stored(todo.join(sure.select("order_id"), "order_id", "left_anti"), "orders-left")
         if todo.isEmpty():
             return found
         cell *= 2
 
 
+def _halvings(spots: DataFrame, cell: float) -> int:
+    """How often a cell must be halved until none holds more than CROWD spots, at most DEEPEST times; one row comes back."""
+    at = lambda k: [F.floor(F.col(c) / (cell * 0.5**k)) for c in ("d_lat", "d_lon")]
+    levels = spots.select(F.inline(F.array(*[F.struct(F.lit(k).alias("k"), at(k)[0].alias("x"), at(k)[1].alias("y")) for k in range(DEEPEST + 1)])))
+    fullest = levels.groupBy("k", "x", "y").agg(F.count("*").alias("n")).groupBy("k").agg(F.max("n").alias("n"))
+    fits = fullest.where(F.col("n") <= CROWD).agg(F.min("k")).first()[0]
+    return DEEPEST if fits is None else fits
+
+
 def latest_position(pings: DataFrame, key: str, ts: str) -> DataFrame:
     """Each entity's latest row."""
     rest = [c for c in pings.columns if c not in (key, ts)]

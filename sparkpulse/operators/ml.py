@@ -6,6 +6,7 @@ from collections.abc import Iterator, Mapping, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.evaluation import BinaryClassificationEvaluator, RegressionEvaluator
@@ -310,23 +311,33 @@ def severity(score: Column) -> Column:
 def alerts_with_cooldown(scored: DataFrame, machine: str, ts: str, score: str, minutes: int = 15) -> DataFrame:
     """Alerts in event time: within the cooldown after a machine's last alert only critical ones pass, and each resets it.
 
-    A fold over each machine's candidates in order. Critical rows cut a machine's line into stretches whose state is
-    known at their start, so a fold never runs over more than the candidates between two critical ones.
+    Critical rows and those a cooldown or more after the row before always pass, and cut a machine's line into
+    stretches. Stretches are dealt out and read in order, a batch at a time, with nothing carried on but the time of
+    the last alert; so neither a hot machine nor a long stretch is held as a whole.
     """
     named = scored.select(machine, ts, score, severity(F.col(score)).alias("severity")).where("severity IS NOT NULL")
     line = Window.partitionBy(machine).orderBy(ts, score)
-    cut = named.withColumn("_stretch", F.sum((F.col("severity") == "CRITICAL").cast("int")).over(line))
-    rows = cut.groupBy(machine, "_stretch").agg(F.array_sort(F.collect_list(F.struct(F.col(ts).alias("t"), F.col(score).alias("x"), F.col("severity").alias("s")))).alias("rows"))
     wait = minutes * 60 * 1_000_000
-    micros = lambda t: F.unix_micros(t.cast("timestamp"))
-
-    def step(acc: Column, r: Column) -> Column:
-        passes = (r.s == "CRITICAL") | acc.last.isNull() | (micros(r.t) - acc.last >= wait)
-        return F.struct(F.when(passes, micros(r.t)).otherwise(acc.last).alias("last"), F.when(passes, F.concat(acc.out, F.array(r))).otherwise(acc.out).alias("out"))
-
-    kind = rows.schema["rows"].dataType.simpleString()
-    folded = rows.select(machine, F.aggregate("rows", F.struct(F.lit(None).cast("long").alias("last"), F.array().cast(kind).alias("out")), step).out.alias("out"))
-    return folded.select(machine, F.inline("out")).select(machine, F.col("t").alias(ts), F.col("x").alias(score), F.col("s").alias("severity"))
+    timed = named.withColumn("_t", F.unix_micros(F.col(ts).cast("timestamp")))
+    gap = F.col("_t") - F.lag("_t").over(line)
+    cut = timed.withColumn("_start", (F.col("severity") == "CRITICAL") | gap.isNull() | (gap >= wait))
+    cut = cut.withColumn("_stretch", F.sum(F.col("_start").cast("int")).over(line))
+    dealt = cut.repartition(machine, "_stretch").sortWithinPartitions(machine, "_stretch", "_t", score)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = 0  # every stretch begins with a row that passes
+        for batch in batches:
+            t, starts = batch.column("_t").to_numpy(), np.flatnonzero(batch.column("_start").to_numpy(zero_copy_only=False))
+            passes = np.zeros(len(t), bool)
+            passes[starts] = True
+            # the rest of the stretch before, then those that begin here
+            for k, (at, end) in enumerate(zip([0, *starts], [*starts, len(t)], strict=True)):
+                last = t[at] if k else last
+                while (at := at + int(np.searchsorted(t[at:end], last + wait))) < end:
+                    passes[at], last = True, t[at]
+            yield batch.filter(pa.array(passes)).select([machine, ts, score, "severity"])
+
+    return dealt.select(machine, ts, score, "severity", F.coalesce("_t", F.lit(0)).alias("_t"), "_start").mapInArrow(run, named.schema)
 
 
 def anomaly_pipeline(readings: DataFrame, machine: str, ts: str, key: str, columns: Sequence[str], bounds: Mapping[str, tuple[float, float]], label: Column | None = None, trees: int = 200, minutes: int = 15) -> dict[str, DataFrame]:

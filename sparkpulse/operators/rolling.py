@@ -15,6 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.io import stored
 from .joins import previous_period
 
 WINDOWS = (15, 60, 360)
@@ -208,9 +209,19 @@ def trend_summary(trends: DataFrame, found: DataFrame, group: str, period: str)
 
 
 def average_rank(df: DataFrame, by: str) -> DataFrame:
-    """Add the rank by size from the top; equal sizes share their mean rank, cut to a whole number."""
-    w, tie = Window.orderBy(F.desc(by)), Window.partitionBy(by)
-    return df.withColumn("rank", (F.rank().over(w) + (F.count("*").over(tie) - 1) / 2).cast("int"))
+    """Add the rank by size from the top; equal sizes share their mean rank, cut to a whole number, and nulls come last.
+
+    Sizes are counted, then dealt by range: the totals of the ranges before carry over, so no task sees all rows.
+    """
+    counts = df.groupBy(F.col(by).alias("_size")).agg(F.count("*").alias("_n"))
+    dealt = stored(counts.repartitionByRange(F.desc("_size")).withColumn("_part", F.spark_partition_id()), "sizes")
+    parts = dealt.groupBy("_part").agg(F.sum("_n").alias("_n"))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = parts.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))  # a row a partition
+    inside = Window.partitionBy("_part").orderBy(F.desc("_size"))
+    first = F.sum("_n").over(inside) - F.col("_n") + F.col("_before")
+    ranks = dealt.join(F.broadcast(offsets), "_part").select("_size", (first + 1 + (F.col("_n") - 1) / 2).cast("int").alias("rank"))
+    return df.join(ranks, F.col(by).eqNullSafe(F.col("_size"))).drop("_size")
 
 
 def top_n(df: DataFrame, by: str, n: int, ties: Sequence[str]) -> DataFrame:

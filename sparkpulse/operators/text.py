@@ -114,22 +114,26 @@ def tfidf_search(docs: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     """Rows (query_id, doc_id, score, rank): the best k documents of each query by cosine of TF-IDF weights.
 
     tf is a count over the text's largest count, idf is ln(N / (1 + df)), which is negative for words in all texts;
-    only scores above 0 count. All queries go in one plan: terms meet by joins, and only matching ones.
+    only scores above 0 count. Texts are dealt out by document once, which serves counts and their largest. A document's
+    norm and those of its terms that a query holds come from one aggregation, so that only these terms are dealt out
+    again to meet the queries.
     """
     def weigh(df: DataFrame, key: str) -> DataFrame:
-        counts = df.select(key, F.explode(search_terms(F.col("text"))).alias("term")).groupBy(key, "term").agg(F.count("*").alias("c"))
-        top = counts.groupBy(key).agg(F.max("c").alias("top"))
-        return counts.join(top, key).select(key, "term", (F.col("c") / F.col("top")).alias("tf"))
+        counts = df.repartition(key).select(key, F.explode(search_terms(F.col("text"))).alias("term")).groupBy(key, "term").agg(F.count("*").alias("c"))
+        return counts.select(key, "term", (F.col("c") / F.max("c").over(Window.partitionBy(key))).alias("tf"))
 
     in_docs, in_queries = weigh(docs, "doc_id"), weigh(queries, "query_id")
     n = docs.agg(F.count("*").alias("n"))
-    idf = in_docs.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(n)).select("term", F.log(F.col("n") / (1 + F.col("df"))).alias("idf"))
-    d = in_docs.join(idf, "term").select("doc_id", "term", (F.col("tf") * F.col("idf")).alias("wd"))
-    q = in_queries.join(idf, "term").select("query_id", "term", (F.col("tf") * F.col("idf")).alias("wq"))
-    nd = d.groupBy("doc_id").agg(F.sqrt(F.sum(F.col("wd") * F.col("wd"))).alias("nd"))
+    asked = in_queries.select("term").distinct().withColumn("asked", F.lit(True))
+    df = in_docs.groupBy("term").agg(F.count("*").alias("df"))
+    idf = df.crossJoin(F.broadcast(n)).join(asked, "term", "left").select("term", "asked", F.log(F.col("n") / (1 + F.col("df"))).alias("idf"))  # n is one row
+    weight = F.col("tf") * F.col("idf")
+    q = in_queries.join(idf, "term").select("query_id", "term", weight.alias("wq"))
     nq = q.groupBy("query_id").agg(F.sqrt(F.sum(F.col("wq") * F.col("wq"))).alias("nq"))
-    dots = d.join(q, "term").groupBy("query_id", "doc_id").agg(F.sum(F.col("wd") * F.col("wq")).alias("dot"))
-    scored = dots.join(nd, "doc_id").join(nq, "query_id").where("nd > 0 AND nq > 0").withColumn("score", F.round(F.col("dot") / (F.col("nd") * F.col("nq")), 6)).where("score > 0")
+    d = in_docs.join(idf, "term").groupBy("doc_id").agg(F.sqrt(F.sum(weight * weight)).alias("nd"), F.collect_list(F.when(F.col("asked"), F.struct("term", weight.alias("wd")))).alias("terms"))
+    held = d.where("nd > 0").select("doc_id", "nd", F.inline("terms"))
+    dots = held.join(q, "term").groupBy("query_id", "doc_id", "nd").agg(F.sum(F.col("wd") * F.col("wq")).alias("dot"))
+    scored = dots.join(nq.where("nq > 0"), "query_id").withColumn("score", F.round(F.col("dot") / (F.col("nd") * F.col("nq")), 6)).where("score > 0")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
     return scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "doc_id", "score", "rank")
 

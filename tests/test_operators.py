@@ -277,3 +277,37 @@ def test_anomaly_pipeline_goes_from_readings_to_alerts(spark):
     scored = {r.id: r for r in out["scored"].collect()}
     assert len(scored) == 600 and scored[400].is_anomaly == 1 and out["metrics"].first().recall == 1.0
     assert 0 < out["alerts"].count() <= sum(r.is_anomaly for r in scored.values())
+
+
+def test_cooldown_agrees_with_a_walk_on_a_hot_machine(spark):
+    rng = np.random.default_rng(8)
+    at = np.cumsum(rng.integers(1, 400, 3000))
+    made = [("hot" if i % 3 else "cold", int(t), float(x)) for i, (t, x) in enumerate(zip(at, rng.choice([0.3, 0.55, 0.75, 0.75, 0.93], 3000, p=[0.3, 0.4, 0.2, 0.08, 0.02]), strict=True))] + [("quiet", int(t), 0.6) for t in range(0, 40_000, 7)]
+    df = spark.createDataFrame(made, "machine string, s long, score double").withColumn("ts", F.timestamp_seconds("s"))
+    want, last = [], {}
+    for m, t, x in sorted(made, key=lambda r: (r[0], r[1], r[2])):
+        if x >= 0.5 and (x >= 0.9 or m not in last or t - last[m] >= 900):
+            want.append((m, t, x))
+            last[m] = t
+    got = ml.alerts_with_cooldown(df, "machine", "ts", "score").select("machine", F.unix_seconds("ts"), "score")
+    assert sorted(map(tuple, got.collect())) == sorted(want)
+    assert ml.alerts_with_cooldown(df.where("1 = 0"), "machine", "ts", "score").count() == 0
+
+
+def test_nearest_driver_agrees_with_all_pairs_in_a_crowd(spark):
+    rng = np.random.default_rng(9)
+    crowd, wide = rng.normal(50.0, 0.01, (300, 2)), rng.uniform(0, 80, (20, 2))
+    drivers = [(int(i), float(a), float(b)) for i, (a, b) in enumerate(np.vstack([crowd, wide, crowd[:30]]))]
+    orders = [(f"o{i}", float(a), float(b)) for i, (a, b) in enumerate(np.vstack([rng.normal(50.0, 0.01, (200, 2)), rng.uniform(0, 80, (20, 2))]))]
+    got = joins.nearest_available(spark.createDataFrame(orders, "order_id string, lat double, lon double"), spark.createDataFrame(drivers, "driver_id long, lat double, lon double"))
+    want = {o: min((((a - c) ** 2 + (b - d) ** 2) ** 0.5, i) for i, c, d in drivers)[1] for o, a, b in orders}
+    assert {r.order_id: r.driver_id for r in got.collect()} == want
+
+
+def test_average_rank_agrees_with_sorting_and_puts_nulls_last(spark):
+    values = [int(x) for x in np.random.default_rng(10).integers(0, 50, 500)] + [49] * 300 + [None, None]
+    got = rolling.average_rank(spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, v int"), "v").collect()
+    order = sorted(values, key=lambda v: (v is None, -(v or 0)))
+    want = {v: int(order.index(v) + 1 + (values.count(v) - 1) / 2) for v in set(values)}
+    assert len(got) == len(values) and all(r["rank"] == want[r.v] for r in got)
+    assert rolling.average_rank(spark.createDataFrame([], "v int"), "v").count() == 0
