@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import avi, bpe, decontam, html_extract, line_dedup, near_dedup, quality, secret_scan, sharding, token_counts
+from . import avi, bpe, decontam, html_extract, line_dedup, near_dedup, quality, runs, secret_scan, sharding, token_counts
 from .common import scratch_path, table
 
 
@@ -87,6 +87,11 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicate_classes(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op11_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", runs.repeated_tail(F.col("doc_id"), F.col("text")).alias("text"))
+    return runs.digest(runs.find_runs(docs))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_line_dedup": op2_line_dedup,
@@ -98,6 +103,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_decontam": op8_decontam,
     "op9_secrets": op9_secrets,
     "op10_near_dedup": op10_near_dedup,
+    "op11_runs": op11_runs,
 }
 
 ORACLES: dict[str, str] = {
