@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import avi, bpe, decontam, html_extract, line_dedup, near_dedup, quality, runs, secret_scan, sharding, token_counts
+from . import avi, bpe, decontam, html_extract, line_dedup, near_dedup, quality, runs, secret_scan, sharding, token_counts, warc
 from .common import scratch_path, table
 
 
@@ -92,6 +92,12 @@ def op11_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs.digest(runs.find_runs(docs))
 
 
+def op12_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    root = scratch_path(spark, "warc")
+    warc.write_archive(table(spark, sf_dir, "pages").select("page_id", "url", "html"), root)
+    return warc.summary(warc.read_archive(spark, root))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_line_dedup": op2_line_dedup,
@@ -104,6 +110,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_secrets": op9_secrets,
     "op10_near_dedup": op10_near_dedup,
     "op11_runs": op11_runs,
+    "op12_warc": op12_warc,
 }
 
 ORACLES: dict[str, str] = {
@@ -121,4 +128,11 @@ ORACLES: dict[str, str] = {
                    FROM levels l JOIN sums s USING (depth, prefix) WHERE s.shard_bytes <= {QUERY_SHARD_BYTES} OR depth = 60)
         SELECT doc_id, n_bytes, CASE WHEN depth = 0 THEN '' ELSE lpad(bin(prefix), depth, '0') END AS shard, depth, shard_bytes
         FROM placed WHERE k = 1""",
+    "op12_warc": """
+        WITH p AS (SELECT page_id, coalesce(html, '') AS body FROM pages),
+        s AS (SELECT page_id, octet_length(encode(body))::BIGINT AS payload_bytes, sha1(body) AS payload_digest,
+                     max(page_id) OVER (PARTITION BY body) AS last FROM p),
+        r AS (SELECT *, payload_bytes >= 1000 AND page_id IS DISTINCT FROM last AS revisit FROM s)
+        SELECT page_id, payload_bytes, payload_digest, CASE WHEN revisit THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN revisit THEN last END AS refers_to FROM r""",
 }
