@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import avi, bpe, decontam, html_extract, line_dedup, near_dedup, quality, runs, secret_scan, sharding, token_counts, warc
+from . import avi, bpe, decontam, html_extract, line_dedup, merkle, near_dedup, quality, runs, secret_scan, sharding, token_counts, warc
 from .common import scratch_path, table
 
 
@@ -98,6 +98,12 @@ def op12_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.summary(warc.read_archive(spark, root))
 
 
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    spoiled = F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0, F.replace(F.col("text"), F.lit("\n"), F.lit(""))).otherwise(F.col("text"))
+    return merkle.manifest(docs, changed=("text", spoiled), kept=merkle.verified)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_line_dedup": op2_line_dedup,
@@ -111,6 +117,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_near_dedup": op10_near_dedup,
     "op11_runs": op11_runs,
     "op12_warc": op12_warc,
+    "op13_merkle": op13_merkle,
 }
 
 ORACLES: dict[str, str] = {
@@ -135,4 +142,34 @@ ORACLES: dict[str, str] = {
         r AS (SELECT *, payload_bytes >= 1000 AND page_id IS DISTINCT FROM last AS revisit FROM s)
         SELECT page_id, payload_bytes, payload_digest, CASE WHEN revisit THEN 'revisit' ELSE 'response' END AS record_type,
                CASE WHEN revisit THEN last END AS refers_to FROM r""",
+    # levels of nodes from the leaves up, then each leaf's siblings level by level; CRC-32 bit by bit
+    "op13_merkle": """
+        WITH RECURSIVE d AS (
+          SELECT doc_id, source, lang, n_chars, text, xor(4294967295, list_reduce(
+            list_transform(range(1, length(doc_id::VARCHAR) + 1), lambda i: ascii(substr(doc_id::VARCHAR, i, 1))::BIGINT),
+            lambda c, b: list_reduce(range(8), lambda x, k: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END, xor(c, b)),
+            4294967295::BIGINT)) % 2 = 0 AS hit FROM documents),
+        f AS (SELECT *, coalesce(octet_length(encode(doc_id::VARCHAR)) || ':' || doc_id, '-') || coalesce(octet_length(encode(source)) || ':' || source, '-')
+            || coalesce(octet_length(encode(lang)) || ':' || lang, '-') || coalesce(octet_length(encode(n_chars::VARCHAR)) || ':' || n_chars, '-') AS head,
+            replace(text, chr(10), '') AS other FROM d),
+        h AS (SELECT doc_id, source, sha256(head || coalesce(octet_length(encode(text)) || ':' || text, '-')) AS leaf,
+            CASE WHEN hit THEN sha256(head || coalesce(octet_length(encode(other)) || ':' || other, '-')) END AS changed FROM f),
+        p AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY source) AS size FROM h),
+        up AS (SELECT 0 AS level, source, pos, leaf AS node, size FROM p
+            UNION ALL SELECT level + 1, source, pos // 3, sha256(string_agg(node, '' ORDER BY pos)), (size + 2) // 3 FROM up WHERE size > 1 GROUP BY level, source, pos // 3, size),
+        s AS (SELECT source, node AS subroot, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS pos, count(*) OVER () AS size FROM up WHERE size = 1),
+        top AS (SELECT 0 AS level, pos, subroot AS node, size FROM s
+            UNION ALL SELECT level + 1, pos // 3, sha256(string_agg(node, '' ORDER BY pos)), (size + 2) // 3 FROM top WHERE size > 1 GROUP BY level, pos // 3, size),
+        low AS (SELECT p.source, p.pos, u.level, coalesce(string_agg(u.node, '' ORDER BY u.pos) FILTER (u.pos < p.pos // (3 ** u.level)::BIGINT), '') AS l,
+            coalesce(string_agg(u.node, '' ORDER BY u.pos) FILTER (u.pos > p.pos // (3 ** u.level)::BIGINT), '') AS r
+            FROM p JOIN up u ON u.source IS NOT DISTINCT FROM p.source AND u.size > 1 AND u.pos // 3 = p.pos // (3 ** (u.level + 1))::BIGINT GROUP BY ALL),
+        high AS (SELECT s.source, t.level + 1000 AS level, coalesce(string_agg(t.node, '' ORDER BY t.pos) FILTER (t.pos < s.pos // (3 ** t.level)::BIGINT), '') AS l,
+            coalesce(string_agg(t.node, '' ORDER BY t.pos) FILTER (t.pos > s.pos // (3 ** t.level)::BIGINT), '') AS r
+            FROM s JOIN top t ON t.size > 1 AND t.pos // 3 = s.pos // (3 ** (t.level + 1))::BIGINT GROUP BY s.source, s.pos, t.level),
+        step AS (SELECT source, pos, level, l, r FROM low UNION ALL SELECT p.source, p.pos, level, l, r FROM p JOIN high ON p.source IS NOT DISTINCT FROM high.source),
+        path AS (SELECT source, pos, list({'l': l, 'r': r, 'h': ''} ORDER BY level) AS steps FROM step GROUP BY ALL),
+        full_rows AS (SELECT p.*, subroot, (SELECT node FROM top WHERE size = 1) AS root, coalesce(steps, []) AS steps
+            FROM p JOIN s ON p.source IS NOT DISTINCT FROM s.source LEFT JOIN path ON path.source IS NOT DISTINCT FROM p.source AND path.pos = p.pos)
+        SELECT doc_id, leaf, subroot, root, sha256(coalesce(array_to_string(list_transform(steps, lambda x: x.l || x.r), ''), '')) AS proof_sha256,
+            list_reduce(steps, lambda a, x: {'l': '', 'r': '', 'h': sha256(x.l || a.h || x.r)}, {'l': '', 'r': '', 'h': coalesce(changed, leaf)}).h AS folded_root, folded_root = root AS verified FROM full_rows""",
 }
