@@ -22,6 +22,8 @@ from .common import Scratch
 GROUP = ("source", "lang", "tokenizer")
 #: Folders of a new ledger's entries; one should hold some 100 MB at its fullest.
 BUCKETS = 32
+#: Batches whose entries lie in folders of their own before a commit makes one base of them.
+TOGETHER = 100
 #: Columns of an entry; ids are kept as text.
 ENTRY = "doc_id string, source string, lang string, tokenizer string, n_docs long, n_tokens long"
 
@@ -65,11 +67,11 @@ class TokenLedger:
     Entries lie in ``buckets`` folders by a hash of the id, sorted by id: a batch reads the buckets it touches, and
     of their entries only those of its own documents are shuffled. A new ledger takes the given number, which should
     leave a bucket of some 100 MB; one that exists keeps its own until ``compact`` deals it out anew. One program at
-    a time may commit or compact.
+    a time may commit or compact. A commit that leaves more than ``together`` parts since the last base compacts them.
     """
 
-    def __init__(self, spark: SparkSession, root: str, tokenizers: dict, buckets: int = BUCKETS):
-        self.spark, self.root, self.tokenizers, self.buckets = spark, root.rstrip("/"), tokenizers, buckets
+    def __init__(self, spark: SparkSession, root: str, tokenizers: dict, buckets: int = BUCKETS, together: int = TOGETHER):
+        self.spark, self.root, self.tokenizers, self.buckets, self.together = spark, root.rstrip("/"), tokenizers, buckets, together
 
     def _found(self, pattern: str) -> list[str]:
         """Paths below the root that match, without the root."""
@@ -86,21 +88,23 @@ class TokenLedger:
     def _generation(self) -> tuple[str, int]:
         """Folder and number of buckets of the entries in use; a compaction makes the next one."""
         made = {int(x.split("/")[1].split("=")[1]): int(x.split("/")[2].split("=")[1]) for x in self._found("entries/gen=*/buckets=*/*/_SUCCESS")}
-        done = [0, *(int(x.split("/")[1].split("=")[1]) for x in self._found("entries/gen=*/buckets=*/base/_SUCCESS"))]
+        done = [0, *(int(x.split("/")[1].split("=")[1]) for x in self._found("entries/gen=*/buckets=*/part=base/_SUCCESS"))]
         gen = max(done)
         buckets = made.get(gen, self.buckets)
         return f"entries/gen={gen}/buckets={buckets}", buckets
 
+    def _parts(self, folder: str) -> list[str]:
+        """Folders of entries that count: the base and the committed batches since."""
+        names = {"part=base", *(f"part=batch-{b}" for b in self.committed())}
+        return sorted(names.intersection(x.split("/")[-2] for x in self._found(f"{folder}/*/_SUCCESS")))
+
     def _entries(self, folder: str, touched: list[int] | None = None) -> DataFrame | None:
-        """Entries of the committed batches and of the base they build on, in the given buckets only."""
-        names = {"base", *(f"batch={b}" for b in self.committed())}
-        parts = [x.split("/")[-2] for x in self._found(f"{folder}/*/_SUCCESS")]
-        every = None
-        for part in sorted(names.intersection(parts)):
-            one = self.spark.read.schema(f"{ENTRY}, bucket int").parquet(f"{self.root}/{folder}/{part}")
-            one = one if touched is None else one.where(F.col("bucket").isin(touched))
-            every = one if every is None else every.unionByName(one)
-        return every
+        """Entries of the committed batches and of the base they build on, in the given buckets only; one scan for all."""
+        parts = self._parts(folder)
+        if not parts:
+            return None
+        every = self.spark.read.schema(f"{ENTRY}, bucket int").option("basePath", f"{self.root}/{folder}").parquet(*[f"{self.root}/{folder}/{part}" for part in parts]).drop("part")
+        return every if touched is None else every.where(F.col("bucket").isin(touched))
 
     def _write(self, entries: DataFrame, path: str) -> None:
         entries.repartition("bucket").sortWithinPartitions("bucket", "doc_id").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.root}/{path}")
@@ -128,10 +132,12 @@ class TokenLedger:
             if before is not None:
                 mine = before.join(last.select("bucket", "doc_id"), ["bucket", "doc_id"], "left_semi")
                 entries = entries.unionByName(_net(mine).withColumns({"n_docs": -F.col("n_docs"), "n_tokens": -F.col("n_tokens")}))
-            self._write(entries, f"{folder}/batch={batch}")
-        written = self.spark.read.schema(f"{ENTRY}, bucket int").parquet(f"{self.root}/{folder}/batch={batch}")
+            self._write(entries, f"{folder}/part=batch-{batch}")
+        written = self.spark.read.schema(f"{ENTRY}, bucket int").parquet(f"{self.root}/{folder}/part=batch-{batch}")
         sums = written.groupBy(*GROUP).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
         sums.write.mode("overwrite").parquet(f"{self.root}/sums/batch={batch}")
+        if len(self._parts(folder)) > self.together:
+            self.compact()
         return True
 
     def compact(self, buckets: int | None = None) -> None:
@@ -145,7 +151,7 @@ class TokenLedger:
         if entries is not None:
             gen = int(folder.split("/")[1].split("=")[1]) + 1
             buckets = buckets or old
-            self._write(_net(entries.withColumn("bucket", bucket_of("doc_id", buckets))), f"entries/gen={gen}/buckets={buckets}/base")
+            self._write(_net(entries.withColumn("bucket", bucket_of("doc_id", buckets))), f"entries/gen={gen}/buckets={buckets}/part=base")
 
     def totals(self) -> DataFrame:
         """Rows (source, lang, tokenizer, n_docs, n_tokens) over all committed batches; groups without documents are left out."""

@@ -3,6 +3,7 @@
 import hashlib
 import os
 import re
+import shutil
 import time
 import zlib
 from collections import Counter
@@ -91,6 +92,23 @@ def test_ledger_reads_only_the_buckets_of_a_batch(spark, tmp_path):
     assert 0 < few.count() < 100 and few.where("bucket <> 3").isEmpty()
 
 
+def test_ledger_of_500_batches_is_one_scan_and_compacts_by_rule(spark, tmp_path):
+    ledger = token_counts.TokenLedger(spark, "file://" + str(tmp_path), {"w": token_counts.word_counter}, buckets=2)
+    make = lambda a, b: spark.range(a, b).selectExpr("id AS doc_id", "'insert' AS op", "'s' AS source", "'en' AS lang", "'a b' AS text")
+    ledger.commit("b0", make(0, 4))
+    folder, _ = ledger._generation()
+    for k in range(1, 500):  # as if each had been committed; their entries repeat those of the first
+        shutil.copytree(tmp_path / folder / "part=batch-b0", tmp_path / folder / f"part=batch-b{k}")
+        shutil.copytree(tmp_path / "sums" / "batch=b0", tmp_path / "sums" / f"batch=b{k}")
+    entries = ledger._entries(folder)
+    assert entries.count() == 2000 and entries._jdf.queryExecution().optimizedPlan().toString().count("Relation") == 1
+    ledger.commit("last", make(100, 101))
+    assert ledger._generation()[0] != folder and ledger._parts(ledger._generation()[0]) == ["part=base"]
+    assert [tuple(r)[3:] for r in ledger.totals().collect()] == [(2001, 4002)]
+    assert not ledger.commit("b7", make(0, 4)) and ledger.commit("more", make(200, 202))
+    assert [tuple(r)[3:] for r in ledger.totals().collect()] == [(2003, 4006)]
+
+
 # 2
 
 
