@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Iterator, Mapping, Sequence
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
@@ -19,6 +18,7 @@ from pyspark.sql import functions as F
 from ..functions.columns import score_band, share
 from ..sources.io import stored
 from . import rolling
+from .anomaly import anomaly_scores, autoencoder, flag_anomalies, flag_errors, isolation_forest, reconstruction_errors  # noqa: F401
 from .quality import validate_and_clean
 
 
@@ -109,155 +109,6 @@ def cross_validate_auc(df: DataFrame, key: str, pipeline: Pipeline, label: str,
     return df.sparkSession.createDataFrame(rows, "fold int, auc double")
 
 
-# Isolation forest
-
-
-def _path_constant(n: np.ndarray) -> np.ndarray:
-    """Mean path length of unsuccessful search among n points."""
-    n = np.asarray(n, dtype=float)
-    with np.errstate(divide="ignore", invalid="ignore"):
-        long = 2 * (np.log(n - 1) + 0.5772156649015329) - 2 * (n - 1) / n
-    return np.where(n > 2, long, np.where(n == 2, 1.0, 0.0))
-
-
-def grow_tree(x: np.ndarray, seed: int) -> tuple[list, list, list, list, list]:
-    """Arrays (feature, cut, left, right, size) of one random tree; feature -1 is a leaf."""
-    rng, limit = np.random.default_rng(seed), int(np.ceil(np.log2(max(len(x), 2))))
-    feature, cut, left, right, size = [], [], [], [], []
-
-    def grow(rows: np.ndarray, depth: int) -> int:
-        at = len(feature)
-        for part, v in ((feature, -1), (cut, 0.0), (left, -1), (right, -1), (size, len(rows))):
-            part.append(v)
-        spread = np.flatnonzero(np.ptp(x[rows], axis=0) > 0) if len(rows) > 1 else ()
-        if depth < limit and len(spread):
-            f = int(rng.choice(spread))
-            c = float(rng.uniform(x[rows, f].min(), x[rows, f].max()))
-            below = x[rows, f] < c
-            feature[at], cut[at] = f, c
-            left[at] = grow(rows[below], depth + 1)
-            right[at] = grow(rows[~below], depth + 1)
-        return at
-
-    grow(np.arange(len(x)), 0)
-    return feature, cut, left, right, size
-
-
-def isolation_forest(df: DataFrame, key: str, features: Sequence[str], trees: int = 200, sample: int = 256, seed: int = 42) -> dict:
-    """A forest of ``trees`` trees, each grown in a task of its own on ``sample`` rows chosen by hash.
-
-    Every row is offered to one tree by its hash, so one shuffle of at most trees x sample x 4 rows serves all.
-    """
-    stats = df.agg(*[f(c).alias(f"{n}_{c}") for c in features for n, f in (("m", F.avg), ("s", F.stddev_pop))], F.count("*").alias("n")).first()
-    mean = np.array([stats[f"m_{c}"] or 0.0 for c in features])
-    std = np.array([stats[f"s_{c}"] or 1.0 for c in features])
-    n = max(stats["n"], 1)
-    copies = int(np.ceil(min(trees, 4.0 * trees * sample / n)))  # a small table serves several trees with one row
-    offered = df.select(key, *features).dropna().withColumn("_r", F.explode(F.sequence(F.lit(0), F.lit(copies - 1)))).withColumns({
-        "tree": F.pmod(F.xxhash64(F.col(key), F.lit(seed), F.col("_r")), F.lit(trees)), "_h": F.xxhash64(F.col(key), F.lit(seed + 1), F.col("_r"))})
-    keep = min(1.0, 2.0 * trees * sample / (n * copies))
-    offered = offered.where(F.pmod("_h", F.lit(1_000_000)) < int(keep * 1_000_000) + 1)
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        part = pdf.sort_values(["_h", key]).drop_duplicates(key).head(sample)
-        x = (part[list(features)].to_numpy(dtype=float) - mean) / np.where(std > 0, std, 1)
-        f, c, a, b, s = grow_tree(x, int(pdf.tree.iloc[0]) + seed)
-        return pd.DataFrame({"tree": [pdf.tree.iloc[0]], "feature": [f], "cut": [c], "lo": [a], "hi": [b], "size": [s]})
-
-    grown = offered.groupBy("tree").applyInPandas(run, "tree long, feature array<int>, cut array<double>, lo array<int>, hi array<int>, size array<int>")
-    rows = [tuple(np.asarray(r[k]) for k in ("feature", "cut", "lo", "hi", "size")) for r in grown.orderBy("tree").collect()]  # 2 x sample nodes a tree
-    return {"trees": rows, "mean": mean, "std": np.where(std > 0, std, 1), "features": list(features), "sample": max((int(t[4][0]) for t in rows), default=1)}
-
-
-def anomaly_scores(df: DataFrame, forest: dict, name: str = "score") -> DataFrame:
-    """Add the isolation score, 1 for rows that part at once; rows with a null feature get none."""
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.Series]:
-        for frame in frames:
-            x = (frame.to_numpy(dtype=float) - forest["mean"]) / forest["std"]
-            depth = np.zeros(len(x))
-            for feature, cut, lo, hi, size in forest["trees"]:
-                at, d = np.zeros(len(x), dtype=int), np.zeros(len(x))
-                while (inner := feature[at] >= 0).any():
-                    node = at[inner]
-                    at[inner] = np.where(x[inner, feature[node]] < cut[node], lo[node], hi[node])
-                    d[inner] += 1
-                depth += d + _path_constant(size[at])
-            out = 2.0 ** (-depth / max(len(forest["trees"]), 1) / max(float(_path_constant(np.array([forest["sample"]]))[0]), 1e-9))
-            yield pd.Series(np.where(np.isnan(x).any(axis=1), np.nan, out))
-
-    scored = F.pandas_udf(run, "double")(F.struct(*[F.col(f).cast("double") for f in forest["features"]]))
-    return df.withColumn(name, F.nanvl(scored, F.lit(None).cast("double")))
-
-
-def flag_anomalies(scored: DataFrame, contamination: float = 0.05, name: str = "score") -> DataFrame:
-    """Add ``risk``, the score stretched to [0, 1] over the batch, and ``is_anomaly`` above the contamination's quantile."""
-    limits = scored.agg(F.min(name).alias("_lo"), F.max(name).alias("_hi"), F.percentile_approx(name, 1 - contamination, F.lit(10_000)).alias("_cut"))
-    out = scored.crossJoin(F.broadcast(limits))  # one row
-    risk = F.when(F.col("_hi") > F.col("_lo"), (F.col(name) - F.col("_lo")) / (F.col("_hi") - F.col("_lo"))).otherwise(0.0)
-    return out.withColumns({"risk": risk, "is_anomaly": (F.col(name) > F.col("_cut")).cast("int")}).drop("_lo", "_hi", "_cut")
-
-
-# Autoencoder
-
-
-def autoencoder(df: DataFrame, features: Sequence[str], hidden: int = 8, epochs: int = 30, rate: float = 0.05, seed: int = 42) -> dict:
-    """One hidden layer fitted by full-batch steps: tasks sum gradients, the driver holds the weights alone."""
-    stats = df.agg(*[f(c).alias(f"{n}_{c}") for c in features for n, f in (("m", F.avg), ("s", F.stddev_pop))]).first()
-    d = len(features)
-    mean, std = np.array([stats[f"m_{c}"] or 0.0 for c in features]), np.array([stats[f"s_{c}"] or 1.0 for c in features])
-    std = np.where(std > 0, std, 1)
-    rng = np.random.default_rng(seed)
-    w = [rng.normal(0, np.sqrt(2 / d), (d, hidden)), np.zeros(hidden), rng.normal(0, np.sqrt(2 / hidden), (hidden, d)), np.zeros(d)]
-    speed = [np.zeros_like(x) for x in w]
-    data = df.select(*[((F.col(c) - float(m)) / float(s)).alias(c) for c, m, s in zip(features, mean, std, strict=True)]).dropna().cache()
-    for _ in range(epochs):
-        now = [x.copy() for x in w]
-
-        def run(frames: Iterator[pd.DataFrame], w=now) -> Iterator[pd.DataFrame]:
-            total, n = np.zeros(sum(x.size for x in w)), 0
-            for frame in frames:
-                x = frame.to_numpy(dtype=float)
-                z = x @ w[0] + w[1]
-                h = np.maximum(z, 0)
-                e = h @ w[2] + w[3] - x
-                back = (e @ w[2].T) * (z > 0)
-                total += np.concatenate([(x.T @ back).ravel(), back.sum(axis=0), (h.T @ e).ravel(), e.sum(axis=0)])
-                n += len(x)
-            yield pd.DataFrame({"g": [total], "n": [n]})
-
-        sums = data.mapInPandas(run, "g array<double>, n long")
-        # one vector of the weights' size comes back
-        spread = sums.select("n", F.posexplode("g").alias("i", "v")).groupBy("i").agg(F.sum("v").alias("v"), F.sum("n").alias("n")).orderBy("i").toPandas()
-        if not len(spread) or not spread.n.iloc[0]:
-            break
-        g, at = spread.v.to_numpy() / spread.n.iloc[0], 0
-        for k, x in enumerate(w):
-            speed[k] = 0.9 * speed[k] - rate * g[at : at + x.size].reshape(x.shape)
-            w[k] = x + speed[k]
-            at += x.size
-    data.unpersist()
-    return {"w": w, "mean": mean, "std": std, "features": list(features)}
-
-
-def reconstruction_errors(df: DataFrame, model: dict, name: str = "error") -> DataFrame:
-    """Add the mean squared error of each row's reconstruction."""
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.Series]:
-        w = model["w"]
-        for frame in frames:
-            x = (frame.to_numpy(dtype=float) - model["mean"]) / model["std"]
-            yield pd.Series(((np.maximum(x @ w[0] + w[1], 0) @ w[2] + w[3] - x) ** 2).mean(axis=1))
-
-    return df.withColumn(name, F.pandas_udf(run, "double")(F.struct(*[F.col(f).cast("double") for f in model["features"]])))
-
-
-def flag_errors(scored: DataFrame, quantile: float = 0.95, name: str = "error") -> DataFrame:
-    """Add ``threshold``, the quantile of the errors, and ``is_anomaly``, 1 above it."""
-    cut = scored.agg(F.percentile_approx(name, quantile, F.lit(10_000)).alias("threshold"))
-    return scored.crossJoin(F.broadcast(cut)).withColumn("is_anomaly", (F.col(name) > F.col("threshold")).cast("int"))  # one row
-
-
 # Drift
 
 

@@ -317,24 +317,17 @@ def anomaly_pipeline(t):
     return rounded(out["alerts"], "risk", digits=6)
 
 
-def vectors(t) -> tuple[DataFrame, list[str]]:
-    """All components of the embeddings as columns; as many as the longest has."""
-    n = t.embeddings.agg(F.max(F.size("embedding"))).first()[0] or 0
-    names = [f"x{i}" for i in range(n)]
-    return t.embeddings.select("vec_id", "label", *[F.get("embedding", F.lit(i)).cast("double").alias(x) for i, x in enumerate(names)]), names
-
-
 @query()
 def isolation_forest(t):
-    rows, names = vectors(t)
-    forest = ml.isolation_forest(rows, "vec_id", names, trees=100)
-    return rounded(ml.flag_anomalies(ml.anomaly_scores(rows, forest)).select("vec_id", "score", "risk", "is_anomaly"), "score", "risk", digits=6)
+    """All components of the embeddings, as they lie in their array."""
+    forest = ml.isolation_forest(t.embeddings, "vec_id", "embedding", trees=100)
+    return rounded(ml.flag_anomalies(ml.anomaly_scores(t.embeddings.select("vec_id", "embedding"), forest)).select("vec_id", "score", "risk", "is_anomaly"), "score", "risk", digits=6)
 
 
 @query()
 def autoencoder_errors(t):
-    rows, names = vectors(t)
-    return rounded(ml.reconstruction_errors(rows, ml.autoencoder(rows, names, hidden=4, epochs=8)).select("vec_id", "error").transform(ml.flag_errors), "error", "threshold", digits=5)
+    model = ml.autoencoder(t.embeddings, "vec_id", "embedding", hidden=4, epochs=8)
+    return rounded(ml.reconstruction_errors(t.embeddings.select("vec_id", "embedding"), model).select("vec_id", "error").transform(ml.flag_errors), "error", "threshold", digits=5)
 
 
 def halves(t) -> tuple[DataFrame, DataFrame]:
