@@ -309,11 +309,19 @@ def network_connectors(t):
     return graph.connectors(profile, 5).select("node", "role").withColumn("is_bottleneck", F.col("role") == "bottleneck")
 
 
+SENSORS = ["temperature", "vibration", "pressure", "rpm", "power"]
+
+
+def readings(t) -> DataFrame:
+    """Five sensors of each event: its value and, since the table has one value only, four numbers made of its id and value."""
+    k, v = F.col("event_id"), F.col("value")
+    return t.events.select("event_id", "user_id", "ts", "event_type", v.alias("temperature"), (k % 97).cast("double").alias("vibration"), (v * (k % 7)).alias("pressure"), (k % 1009 + v / 10).alias("rpm"), F.sqrt(F.abs(v)).alias("power"))
+
+
 @query()
 def anomaly_pipeline(t):
-    """Two readings of each event, as five-minute features of a user's line; ends in alerts."""
-    readings = t.events.select("event_id", "user_id", "ts", "value", (F.col("event_id") % 97).cast("double").alias("second"), "event_type")
-    out = ml.anomaly_pipeline(readings, "user_id", "ts", "event_id", ["value", "second"], {"value": (0.0, 1e6), "second": (0.0, 96.0)}, F.col("event_type") == "error", trees=50)
+    """Five sensors' readings of each event, 80 rolling features of a user's line and the readings themselves; ends in alerts."""
+    out = ml.anomaly_pipeline(readings(t), "user_id", "ts", "event_id", SENSORS, {"temperature": (0.0, 1e6), "vibration": (0.0, 96.0)}, F.col("event_type") == "error", trees=50)
     return rounded(out["alerts"], "risk", digits=6)
 
 
