@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 from itertools import combinations
 
 import numpy as np
@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import bands, correlation, share
+from ..sources.io import stored
+from .ordered import numbered
 
 FOUR_FIFTHS, GAP, SMALL_GROUP = 0.8, 0.1, 30
 
@@ -99,27 +101,26 @@ def local_contributions(df: DataFrame, key: str, features: Sequence[str], weight
     return ranked.select(key, F.inline(chosen)).select(key, "feature", "contribution")
 
 
-def permutation_importance(df: DataFrame, features: Sequence[str], label: str, weights: Mapping[str, float], bias: float, repeats: int = 5, seed: int = 42) -> DataFrame:
-    """Mean and deviation of the accuracy lost when one feature's values are dealt out anew.
+def permutation_importance(df: DataFrame, key: str, features: Sequence[str], label: str, predict: Callable[[DataFrame], DataFrame], repeats: int = 5, seed: int = 42) -> DataFrame:
+    """Rows (feature, importance, std): mean and deviation, over the repeats, of the accuracy lost when a feature's values change places.
 
-    For each repeat rows are numbered within partitions of a random key and joined with the same rows in another
-    order of the same partition; with many partitions that deals values out over the whole table.
+    ``predict`` adds ``prediction`` to rows of the features, as a fitted model's ``transform`` does. In a repeat all rows,
+    in the order of the key, take the values of all rows in the order of MD5 sums of seed, repeat and key: one permutation
+    of the whole table, which depends on keys alone, neither on partitions nor on the cluster. Both orders are places over
+    ranges, so no task sees the table, and each row meets one other a repeat. Keys should be unique.
     """
-    parts = max(1, df.sparkSession.sparkContext.defaultParallelism)
-    base = df.select(label, *features).withColumn("_id", F.monotonically_increasing_id())
-    ok = lambda z: ((z > 0).cast("int") == F.col(label)).cast("double")
-    z = linear(features, weights, bias)
-    rows = []
-    for r in range(repeats):
-        deal = base.withColumn("_part", F.pmod(F.xxhash64("_id", F.lit(seed + r)), F.lit(parts)))
-        to = deal.withColumn("_n", F.row_number().over(Window.partitionBy("_part").orderBy("_id")))
-        source = deal.select("_part", *[F.col(f).alias(f"_{f}") for f in features], F.row_number().over(Window.partitionBy("_part").orderBy(F.xxhash64("_id", F.lit(seed * 31 + r)), "_id")).alias("_n"))
-        lost = to.join(source, ["_part", "_n"]).agg(*[(F.avg(ok(z)) - F.avg(ok(z + float(weights[f]) * (F.col(f"_{f}") - F.col(f))))).alias(f) for f in features])
-        rows.append(lost.select(F.inline(F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).alias("lost")) for f in features]))))
-    every = rows[0]
-    for x in rows[1:]:
-        every = every.unionByName(x)
-    return every.groupBy("feature").agg(F.avg("lost").alias("importance"), F.stddev_pop("lost").alias("std"))
+    base = stored(df.select(F.col(key).alias("_key"), F.col(label).alias("_label"), *features), "permutation-rows")
+    places = numbered(base, [], ["_key"], "permutation-places")
+    order = F.md5(F.concat_ws(":", F.lit(seed), "_rep", F.col("_key").cast("string")).cast("binary"))
+    others = base.select("_key", F.struct(*features).alias("_other"), F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))).alias("_rep")).withColumn("_order", order)
+    others = numbered(others, ["_rep"], ["_order", "_key"], "permutation-others").select("_rep", "_pos", "_other")
+    variants = F.array(*[F.struct(F.lit(f).alias("_feature"), *[F.col(f"_other.{g}" if g == f else g).alias(g) for g in features]) for f in features])
+    tried = predict(places.join(others, "_pos").select("_label", "_rep", F.inline(variants)))
+    right = F.avg((F.col("prediction") == F.col("_label")).cast("double"))
+    whole = predict(base).agg(right.alias("_whole"))
+    by = tried.groupBy("_feature", "_rep").agg(right.alias("_right")).crossJoin(F.broadcast(whole))  # one row
+    lost = F.col("_whole") - F.col("_right")
+    return by.groupBy(F.col("_feature").alias("feature")).agg(F.avg(lost).alias("importance"), F.stddev_pop(lost).alias("std"))
 
 
 def counterfactuals(df: DataFrame, key: str, features: Sequence[str], weights: Mapping[str, float], bias: float, ranges: Mapping[str, tuple[float, float]], steps: int = 50) -> DataFrame:

@@ -6,11 +6,15 @@ import heapq
 from collections import defaultdict
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.ml.clustering import PowerIterationClustering
-from pyspark.sql import DataFrame
+from pyspark.ml.clustering import KMeans
+from pyspark.ml.functions import array_to_vector
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.io import stored
+
 
 def pair_stats(df: DataFrame, src: str, dst: str, duration: str, kind: str | None = None, least: int = 1) -> DataFrame:
     """Count, sum and mean for each directed pair, with a map of counts by kind; the heaviest first."""
@@ -149,13 +153,125 @@ def bottlenecks(profile: DataFrame) -> DataFrame:
     return profile.where("role = 'bottleneck'")
 
 
-def communities(edges: DataFrame, k: int = 3, rounds: int = 20) -> DataFrame:
-    """Rows (node, community) by power iteration clustering on the weights; nodes are numbered by their order."""
-    nodes = nodes_of(edges)
-    numbered = nodes.select("node", F.xxhash64("node").alias("id"))
-    links = edges.where("src < dst").join(numbered.withColumnsRenamed({"node": "src", "id": "a"}), "src").join(numbered.withColumnsRenamed({"node": "dst", "id": "b"}), "dst").select("a", "b", (F.col("weight") + 1e-6).alias("w"))
-    found = PowerIterationClustering(k=k, maxIter=rounds, srcCol="a", dstCol="b", weightCol="w", initMode="degree").assignClusters(links)
-    return numbered.join(found, "id").select("node", F.col("cluster").alias("community"))
+#: Added to the weight of every pair of nodes, neighbours or not, so that no node stands alone.
+FLOOR = 1e-6
+
+
+def _weights(edges: DataFrame) -> DataFrame:
+    """Edges in both directions with a double weight, loops once, repeated pairs summed."""
+    return edges.groupBy("src", "dst").agg(F.sum(F.col("weight").cast("double")).alias("weight"))
+
+
+def _mapped(df: DataFrame, name: str, matrix: np.ndarray) -> DataFrame:
+    """``df`` with an array column's row vectors times a small matrix."""
+
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for x in batches:
+            yield pd.Series(list(np.stack(x.to_list()) @ matrix) if len(x) else [], dtype=object)
+
+    return df.withColumn(name, F.pandas_udf(run, "array<double>")(name))
+
+
+def _products(line: DataFrame, size: int) -> np.ndarray:
+    """Sums over all nodes of the products of all pairs of their numbers: basis, block, and scale."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros((size, size))
+        for f in frames:
+            if len(f):
+                x = np.stack(f["x"].to_list())
+                total += x.T @ x
+        yield pd.DataFrame({"i": np.arange(size * size), "p": total.ravel()})
+
+    sums = line.select(F.concat("v", "y", F.array("s")).alias("x")).mapInPandas(run, "i int, p double").groupBy("i").agg(F.sum("p").alias("p"))
+    out = np.zeros(size * size)
+    for r in sums.collect():
+        out[r.i] = r.p
+    return out.reshape(size, size)
+
+
+def spectral_embedding(edges: DataFrame, k: int, rounds: int = 40, tolerance: float = 1e-4, seed: int = 42) -> tuple[DataFrame, list[float]]:
+    """Rows (node, embedding), each node's numbers in the first ``k`` vectors of the normalised Laplacian, and their eigenvalues.
+
+    The Laplacian is that of the weights and a small one for every pair. Its vectors come from a block Krylov space: each
+    round multiplies the last ``k`` basis vectors by the weights, a join and a sum over edges, and makes the product
+    orthogonal to all before; small matrices of sums over nodes are all that reaches the driver. Rounds end once the first
+    ``k`` vectors leave a residual below ``tolerance``, or the space has no more dimensions. A node holds k numbers a
+    round. Starting numbers are hashes of the nodes, so the result doesn't depend on the layout. Vectors' signs are such
+    that the number of largest size, or of the first of such nodes, is positive.
+    """
+    edges = stored(_weights(edges), "spectral-edges")
+    degree = edges.groupBy(F.col("src").alias("node")).agg(F.sum("weight").alias("d"))
+    nodes = nodes_of(edges).join(degree, "node", "left")
+    n = nodes.count()
+    k = min(k, n)
+    if not n:
+        return nodes.select("node", F.array().cast("array<double>").alias("embedding")), []
+    noise = F.array(*[(F.pmod(F.xxhash64("node", F.lit(seed + i)), F.lit(1_000_003)) / 1_000_003 - 0.5) for i in range(k)])
+    line = stored(nodes.select("node", (1 / F.sqrt(F.coalesce("d", F.lit(0.0)) + FLOOR * n)).alias("s"), F.array().cast("array<double>").alias("v"), noise.alias("y")), "spectral-nodes")
+    width, block, projected, inner, found = 0, k, np.zeros((0, 0)), None, None
+    for _ in range(rounds):
+        # the new block, free of the basis; twice, since once leaves what rounding has put in
+        if width:
+            line = _without(line, inner)
+        m = _products(line, width + block + 1)
+        again, gram, scaled = m[:width, width:-1], m[width:-1, width:-1], m[-1, width:-1]
+        if width:
+            line, gram, scaled = _without(line, again), gram - again.T @ again, scaled - m[-1, :width] @ again
+        size, direction = np.linalg.eigh(gram)
+        good = size > 1e-10 * max(1.0, size.max(initial=0.0))
+        if not good.any():
+            break
+        unit = direction[:, good] / np.sqrt(size[good])
+        line, total, block = _mapped(line, "y", unit).withColumn("v", F.concat("v", "y")), scaled @ unit, int(good.sum())
+        width += block
+        # the weights times the new block
+        z = line.select("node", F.transform("y", lambda x: x * F.col("s")).alias("z"))
+        sums = edges.join(z, F.col("dst") == F.col("node")).groupBy("src").agg(*[F.sum(F.col("weight") * F.get("z", F.lit(i))).alias(f"p{i}") for i in range(block)])
+        times = F.array(*[F.col("s") * (F.coalesce(f"p{i}", F.lit(0.0)) + FLOOR * float(total[i])) for i in range(block)])
+        line = stored(line.join(sums, F.col("node") == F.col("src"), "left").select("node", "s", "v", times.alias("y")), "spectral-nodes")
+        m = _products(line, width + block + 1)
+        inner = m[:width, width:-1]
+        old = width - block
+        projected = np.block([[projected, inner[:old]], [inner[:old].T, (inner[old:] + inner[old:].T) / 2]])
+        values, vectors = np.linalg.eigh(projected)
+        values, vectors = values[::-1][:k], vectors[:, ::-1][:, :k]
+        rest, ends = m[width:-1, width:-1] - inner.T @ inner, vectors[old:]
+        residual = np.sqrt(np.maximum(np.einsum("ij,ik,kj->j", ends, rest, ends), 0))
+        found = line.select("node", "s", "v"), values, vectors
+        if width >= n or residual.max() < tolerance:
+            break
+    base, values, vectors = found
+    out = stored(_mapped(base, "v", vectors).select("node", F.transform("v", lambda x: x * F.col("s")).alias("embedding")), "spectral-embedding")
+    far = out.agg(*[F.max_by(F.get("embedding", F.lit(i)), F.struct(F.round(F.abs(F.get("embedding", F.lit(i))), 9), F.xxhash64("node"))) for i in range(len(values))]).first()
+    return _mapped(out, "embedding", np.diag([1.0 if x >= 0 else -1.0 for x in far])), [1 - float(x) for x in values]
+
+
+def _without(line: DataFrame, shares: np.ndarray) -> DataFrame:
+    """``line`` with its block y less the basis v times the block's shares of it."""
+
+    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for v, y in batches:
+            yield pd.Series(list(np.stack(y.to_list()) - np.stack(v.to_list()) @ shares) if len(v) else [], dtype=object)
+
+    return line.withColumn("y", F.pandas_udf(run, "array<double>")("v", "y"))
+
+
+def communities(edges: DataFrame, k: int = 3, seed: int = 42) -> DataFrame:
+    """Rows (node, community) by spectral clustering: k-means over the first ``k`` vectors of the normalised Laplacian.
+
+    Communities are numbered by their first nodes. A network of at most ``k`` nodes has one to a node.
+    """
+    embedding, _ = spectral_embedding(edges, k, seed=seed)
+    # k-means starts from rows far from each other; one part makes its choice the same in every layout of small networks
+    points = embedding.select("node", array_to_vector("embedding").alias("x")).sort("node")
+    if points.isEmpty():
+        return points.select("node", F.lit(0).alias("community"))
+    model = KMeans(k=min(k, max(points.limit(k).count(), 2)), featuresCol="x", predictionCol="_c", seed=seed, initSteps=5, maxIter=50).fit(points)
+    found = model.transform(points).select("node", "_c")
+    order = found.groupBy("_c").agg(F.min("node").alias("_least"))
+    names = order.select(F.col("_c").alias("_of"), (F.row_number().over(Window.orderBy("_least")) - 1).alias("community"))  # k rows
+    return found.join(F.broadcast(names), F.col("_c") == F.col("_of")).select("node", "community")
 
 
 def silo_report(edges: DataFrame, membership: DataFrame, limit: float = 0.7) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator, Mapping, Sequence
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
@@ -22,9 +23,15 @@ from .anomaly import anomaly_scores, autoencoder, flag_anomalies, flag_errors, i
 from .quality import validate_and_clean
 
 
+def hash_bucket(key: str, n: int, seed: int) -> Column:
+    """A number from 0 to n - 1 by the MD5 sum of seed and key: the same on every run, in every layout and in other engines."""
+    digits = F.substring(F.md5(F.concat_ws(":", F.lit(seed), F.col(key).cast("string")).cast("binary")), 1, 8)
+    return F.conv(digits, 16, 10).cast("long") % n
+
+
 def hash_split(df: DataFrame, key: str, test_share: float, seed: int = 42) -> tuple[DataFrame, DataFrame]:
-    """(train, test) by a hash of the key: the same rows on every run and in every layout."""
-    bucket = F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(1000))
+    """(train, test) by a hash of the key."""
+    bucket = hash_bucket(key, 1000, seed)
     return df.where(bucket >= int(test_share * 1000)), df.where(bucket < int(test_share * 1000))
 
 
@@ -100,13 +107,14 @@ def roc_points(scored: DataFrame, p: str, label: str, steps: int = 100) -> DataF
 
 
 def cross_validate_auc(df: DataFrame, key: str, pipeline: Pipeline, label: str, k: int = 5) -> DataFrame:
-    """Rows (fold, auc) with folds by hash of the key."""
-    fold = F.pmod(F.xxhash64(F.col(key), F.lit(7)), F.lit(k))
-    rows = []
+    """Rows (fold, auc, std) with folds by hash of the key; the row without a fold has the mean and the deviation over folds."""
+    fold = hash_bucket(key, k, 7)
+    found = []
     for i in range(k):
         model = pipeline.fit(df.where(fold != i))
-        rows.append((i, float(BinaryClassificationEvaluator(labelCol=label).evaluate(model.transform(df.where(fold == i))))))
-    return df.sparkSession.createDataFrame(rows, "fold int, auc double")
+        found.append(float(BinaryClassificationEvaluator(labelCol=label).evaluate(model.transform(df.where(fold == i)))))
+    rows = [(i, auc, None) for i, auc in enumerate(found)] + [(None, float(np.mean(found)), float(np.std(found)))]
+    return df.sparkSession.createDataFrame(rows, "fold int, auc double, std double")
 
 
 # Drift
@@ -228,7 +236,7 @@ def prediction_log_summary(log: DataFrame, by: Sequence[str], anomaly: Column, s
 
 def cross_validated_accuracy(df: DataFrame, key: str, features: Sequence[str], label: str, k: int = 5) -> float:
     """Mean accuracy over folds by hash of the key, of logistic regression on numeric features."""
-    fold, total = F.pmod(F.xxhash64(F.col(key), F.lit(11)), F.lit(k)), 0.0
+    fold, total = hash_bucket(key, k, 11), 0.0
     pipeline = logistic_pipeline(list(features), [], label, 100)
     for i in range(k):
         scored = pipeline.fit(df.where(fold != i)).transform(df.where(fold == i))
@@ -249,3 +257,60 @@ def feature_necessity(df: DataFrame, key: str, features: Sequence[str], label: s
         rows.append((f, float(without), float(whole - without), bool(whole - without > least_drop)))
     held.unpersist()
     return df.sparkSession.createDataFrame(rows, "feature string, accuracy_without double, drop double, necessary boolean")
+
+
+def fold_sums(df: DataFrame, key: str, features: Sequence[str], label: str, k: int) -> np.ndarray:
+    """For each fold by hash of the key, the sums of the products of all pairs among 1, the features and the label, in one pass.
+
+    A task sums whole batches; a matrix a fold comes to the driver. Rows with a null are left out.
+    """
+    d = len(features) + 2
+    rows = df.select(hash_bucket(key, k, 11).cast("int").alias("fold"), *[F.col(c).cast("double").alias(f"_{i}") for i, c in enumerate([*features, label])]).dropna()
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros((k, d, d))
+        for f in frames:
+            x = np.c_[np.ones(len(f)), f.drop(columns="fold").to_numpy(dtype=float)]
+            for i in range(k):
+                mine = x[f["fold"].to_numpy() == i]
+                total[i] += mine.T @ mine
+        yield pd.DataFrame({"at": np.arange(total.size), "v": total.ravel()})
+
+    out = np.zeros(k * d * d)
+    for r in rows.mapInPandas(run, "at int, v double").groupBy("at").agg(F.sum("v").alias("v")).collect():
+        out[r.at] = r.v
+    return out.reshape(k, d, d)
+
+
+def out_of_fold_r2(sums: np.ndarray, chosen: Sequence[int]) -> float:
+    """The share of the label's variance that least squares on some features explain, each fold told by the others' fit."""
+    at, whole = [0, *[c + 1 for c in chosen]], sums.sum(axis=0)
+    error = 0.0
+    for fold in sums:
+        rest = whole - fold
+        size = np.sqrt(np.maximum(np.diag(rest)[at], 1e-300))
+        b = np.linalg.lstsq(rest[np.ix_(at, at)] / np.outer(size, size), rest[at, -1] / size, rcond=1e-12)[0] / size
+        error += fold[-1, -1] - 2 * b @ fold[at, -1] + b @ fold[np.ix_(at, at)] @ b
+    spread = whole[-1, -1] - whole[0, -1] ** 2 / whole[0, 0] if whole[0, 0] else 0.0
+    return float(1.0 - error / spread) if spread > 0 else 0.0
+
+
+def minimal_features(df: DataFrame, key: str, features: Sequence[str], label: str, k: int = 5, least_drop: float = 0.01) -> DataFrame:
+    """Backward elimination in one pass over the data: a row (step, removed, score, drop, features) for each step.
+
+    Step 0 has all features. Each further step leaves out the one that costs least of the out-of-fold R2, the first of
+    equals, as long as that is at most ``least_drop``; the last row's features are the minimal set. All sets are scored
+    from the same sums by fold, so their number costs no further pass. A table without rows keeps all features.
+    """
+    sums, left = fold_sums(df, key, features, label, k), list(range(len(features)))
+    score = out_of_fold_r2(sums, left)
+    rows = [(0, None, score, 0.0, list(features))]
+    while left and sums[:, 0, 0].sum() > 0:
+        tried = [(out_of_fold_r2(sums, [x for x in left if x != f]), f) for f in left]
+        best, out = max(tried, key=lambda x: x[0])
+        if score - best > least_drop:
+            break
+        left.remove(out)
+        rows.append((len(rows), features[out], best, score - best, [features[x] for x in left]))
+        score = best
+    return df.sparkSession.createDataFrame(rows, "step int, removed string, score double, drop double, features array<string>")

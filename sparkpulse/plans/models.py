@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import fairness, graph, ml
 from ..operators.medallion import dedupe_exact
+from ..sources.io import stored
 from ..streaming import jobs
 from .registry import query
 from .tables import rounded
@@ -97,9 +98,33 @@ def counterfactuals(t):
     return rounded(fairness.counterfactuals(judged(t), "doc_id", FEATURES, WEIGHTS, BIAS, {"log_chars": (0.0, 12.0), "noise": (0.0, 12.0), "toxic": (0.0, 1.0)}), "probability", digits=6)
 
 
-@query()
+#: Rows in the order of ids take the features of rows in the order of MD5 sums, five times.
+PERMUTED = JUDGED + """,
+  p AS (SELECT *, row_number() OVER (ORDER BY doc_id) AS pos FROM j),
+  o AS (SELECT r, log_chars AS a, noise AS b, toxic AS c, row_number() OVER (PARTITION BY r ORDER BY md5('42:' || r || ':' || doc_id), doc_id) AS pos FROM j, range(5) x(r)),
+  m AS (SELECT r, unnest(['log_chars', 'noise', 'toxic']) AS feature, quality,
+    unnest([.9 * a - .05 * noise - 1.5 * toxic, .9 * log_chars - .05 * b - 1.5 * toxic, .9 * log_chars - .05 * noise - 1.5 * c]) - 6.5 > 0 AS told FROM p JOIN o USING (pos)),
+  l AS (SELECT feature, r, (SELECT avg(((.9 * log_chars - .05 * noise - 1.5 * toxic - 6.5 > 0)::INT = quality)::INT) FROM j) - avg((told::INT = quality)::INT) AS lost FROM m GROUP BY ALL)
+  SELECT feature, round(avg(lost), 6) AS importance, round(stddev_pop(lost), 6) AS std FROM l GROUP BY ALL"""
+
+
+@query(PERMUTED)
 def permutation_importance(t):
-    return fairness.permutation_importance(judged(t), FEATURES, "quality", WEIGHTS, BIAS)
+    told = (fairness.linear(FEATURES, WEIGHTS, BIAS) > 0).cast("int")
+    return rounded(fairness.permutation_importance(judged(t), "doc_id", FEATURES, "quality", lambda df: df.withColumn("prediction", told)), "importance", "std", digits=6)
+
+
+@query()
+def fitted_importance(t):
+    """Of a logistic model that is fitted on the same rows."""
+    rows = stored(judged(t).select("doc_id", *FEATURES, F.col("quality").cast("double").alias("quality")), "judged")
+    model = ml.logistic_pipeline(FEATURES, [], "quality", rows.count()).fit(rows)
+    return rounded(fairness.permutation_importance(rows, "doc_id", FEATURES, "quality", model.transform), "importance", "std", digits=6)
+
+
+@query()
+def minimal_features(t):
+    return rounded(ml.minimal_features(churn(t), "c_custkey", ["c_acctbal", "n", "mean_total"], "left"), "score", "drop", digits=6)
 
 
 CORR = JUDGED + ", c AS (SELECT unnest(['log_chars', 'noise', 'toxic']) AS feature, unnest([corr(log_chars, quality), corr(noise, quality), corr(toxic, quality)]) AS r, unnest([.9, .05, 1.5]) AS w FROM j)"
@@ -219,16 +244,28 @@ def eigenvector_centrality(t):
 
 @query(CENTRALITY + " SELECT node, round(g, 5) AS degree_centrality, round(b, 5) AS betweenness, round(x, 5) AS eigenvector, round(influence, 5) AS influence, role FROM profile")
 def influence_profile(t):
-    e = network(t).cache()
+    e = stored(network(t), "network")
     return rounded(graph.influence_profile(graph.degree_centrality(e), graph.betweenness(e), graph.eigenvector_centrality(e)), "degree_centrality", "betweenness", "eigenvector", "influence", digits=5)
 
 
 @query()
 def silo_report(t):
-    e = network(t).cache()
+    e = stored(network(t), "network")
     return rounded(graph.silo_report(e, graph.communities(e, 3)), "mean_internal", "internal_ratio", digits=6)
 
 
+@query(TRADE + """, x AS (SELECT a.n_regionkey AS community, b.n_regionkey AS other, weight FROM w JOIN nation a ON a.n_nationkey = src JOIN nation b ON b.n_nationkey = dst WHERE src <> dst),
+  m AS (SELECT n_regionkey AS community, count(*) AS members FROM nation WHERE n_nationkey IN (SELECT src FROM w) GROUP BY ALL),
+  r AS (SELECT community, avg(weight) FILTER (community = other) AS mean_internal, count(*) FILTER (community <> other) AS external_links, coalesce(sum(weight) FILTER (community = other), 0) / sum(weight) AS share FROM x GROUP BY ALL)
+  SELECT community, members, round(coalesce(mean_internal, 0), 6) AS mean_internal, coalesce(external_links, 0) AS external_links, round(coalesce(share, 0), 6) AS internal_ratio, coalesce(share, 0) >= .2 AS is_silo,
+    CASE WHEN coalesce(share, 0) >= .2 THEN 'start work across groups' ELSE 'keep links alive' END AS recommendation FROM m LEFT JOIN r USING (community)""")
+def silo_by_region(t):
+    """The report for communities that are given: the nations of a region."""
+    e = network(t)
+    of = graph.nodes_of(e).join(t.nation, F.col("node") == F.col("n_nationkey")).select("node", F.col("n_regionkey").alias("community"))
+    return rounded(graph.silo_report(e, of, 0.2), "mean_internal", "internal_ratio", digits=6)
+
+
 @query("SELECT DISTINCT n AS node FROM (SELECT c_nationkey AS n FROM customer UNION ALL SELECT s_nationkey FROM supplier)")
 def network_nodes(t):
     return graph.nodes_of(t.customer.select(F.col("c_nationkey").alias("src"), F.col("c_nationkey").alias("dst")).unionByName(t.supplier.select(F.col("s_nationkey").alias("src"), F.col("s_nationkey").alias("dst"))))
@@ -241,9 +278,21 @@ def prices(t) -> DataFrame:
     return t.lineitem.join(t.part, F.col("l_partkey") == F.col("p_partkey")).select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), "l_quantity", "p_retailprice", F.col("p_size").cast("double").alias("p_size"), "l_extendedprice")
 
 
-@query()
+#: Least squares by making each feature orthogonal to those before; four fifths of the rows by hash are learned from.
+LEAST_SQUARES = """WITH r AS (SELECT ('0x' || substr(md5('42:' || (l_orderkey * 10 + l_linenumber)), 1, 8))::BIGINT % 1000 >= 200 AS train, l_quantity::DOUBLE AS a, p_retailprice::DOUBLE AS b, p_size::DOUBLE AS c, l_extendedprice::DOUBLE AS y
+    FROM lineitem JOIN part ON l_partkey = p_partkey),
+  m AS (SELECT r.*, a - avg(a) FILTER (train) OVER () AS u, avg(y) FILTER (train) OVER () AS mean FROM r),
+  n AS (SELECT *, b - avg(b) FILTER (train) OVER () - u * (sum(u * b) FILTER (train) OVER () / sum(u * u) FILTER (train) OVER ()) AS v FROM m),
+  o AS (SELECT *, c - avg(c) FILTER (train) OVER () - u * (sum(u * c) FILTER (train) OVER () / sum(u * u) FILTER (train) OVER ()) - v * (sum(v * c) FILTER (train) OVER () / sum(v * v) FILTER (train) OVER ()) AS w FROM n),
+  p AS (SELECT train, y, mean + u * (sum(u * y) FILTER (train) OVER () / sum(u * u) FILTER (train) OVER ()) + v * (sum(v * y) FILTER (train) OVER () / sum(v * v) FILTER (train) OVER ())
+    + w * (sum(w * y) FILTER (train) OVER () / sum(w * w) FILTER (train) OVER ()) AS told FROM o)
+  SELECT round(avg(abs(y - told)), 4) AS mae, round(sqrt(avg(pow(y - told, 2))), 4) AS rmse, round(1 - sum(pow(y - told, 2)) / (var_pop(y) * count(*)), 6) AS r2 FROM p WHERE NOT train"""
+
+
+@query(LEAST_SQUARES)
 def price_regression(t):
-    return rounded(ml.linear_regression(prices(t), "id", ["l_quantity", "p_retailprice", "p_size"], "l_extendedprice")[1], "mae", "rmse", "r2", digits=6)
+    found = ml.linear_regression(prices(t), "id", ["l_quantity", "p_retailprice", "p_size"], "l_extendedprice")[1]
+    return rounded(rounded(found, "mae", "rmse", digits=4), "r2", digits=6)
 
 
 def churn(t) -> DataFrame:
@@ -270,7 +319,7 @@ def churn_roc(t):
 @query()
 def churn_cross_validation(t):
     rows = churn(t).cache()
-    return rounded(ml.cross_validate_auc(rows, "c_custkey", ml.logistic_pipeline(["c_acctbal", "n", "mean_total"], ["c_mktsegment"], "left", rows.count()), "left", 3), "auc", digits=6)
+    return rounded(ml.cross_validate_auc(rows, "c_custkey", ml.logistic_pipeline(["c_acctbal", "n", "mean_total"], ["c_mktsegment"], "left", rows.count()), "left", 3), "auc", "std", digits=6)
 
 
 @query()
