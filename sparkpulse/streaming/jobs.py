@@ -5,9 +5,9 @@ from __future__ import annotations
 from collections.abc import Iterator, Mapping, Sequence
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQueryListener
 
 from ..functions.columns import count_if
 from ..operators.joins import latest_position, nearest_available
@@ -141,6 +141,77 @@ def cdc_state(events: DataFrame, entity: str, ts: str, trips: Column, rating: Co
     return state.withColumn("_ok", ok.cast("int")).withColumn("earns_bonus", (F.col("_ok") == 1) & (F.sum("_ok").over(w) == 1)).drop("_ok")
 
 
+class CdcProcessor(StatefulProcessor):
+    """An entity's fields after each change, in the order of event time.
+
+    State is a map of the changes that the watermark hasn't passed, by time and id; a map of the fields as of the last one
+    it has; whether the bonus has been earned; and when the entity was last heard of. Changes that come out of order
+    within the watermark take their places. After ``idle_ms`` of event time without a change all state goes, and the
+    entity begins anew.
+    """
+
+    COLUMNS = ("user_id", "ts", "event_id", "trips", "rating", "earns_bonus")
+
+    def __init__(self, least_trips: int, least_rating: float, idle_ms: int):
+        self.least_trips, self.least_rating, self.idle_ms = least_trips, least_rating, idle_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getMapState("waiting", "us long, event_id long", "trips int, rating double")
+        self.fields = handle.getMapState("fields", "name string", "value double")
+        self.earned = handle.getValueState("earned", "at_us long")
+        self.heard = handle.getValueState("heard", "us long")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        for frame in rows:
+            times = frame.ts.astype("datetime64[us]").astype("int64")
+            for us, event, trips, rating in zip(times, frame.event_id, frame.trips, frame.rating, strict=True):
+                self.waiting.updateValue((int(us), int(event)), (None if pd.isna(trips) else int(trips), None if pd.isna(rating) else float(rating)))
+            for ms in {-(-int(us) // 1000) for us in times}:
+                self.handle.registerTimer(ms)
+        yield self._frame([])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        now, out = timerValues.getCurrentWatermarkInMs(), []
+        waiting = list(self.waiting.iterator())
+        ready = sorted((at, change) for at, change in waiting if at[0] <= now * 1000)
+        state = {"trips": 0.0, "rating": 5.0} | {name[0]: value[0] for name, value in self.fields.iterator()} if ready else {}
+        for (us, event), change in ready:
+            for name, value in zip(("trips", "rating"), change, strict=True):
+                if value is not None:
+                    state[name] = float(value)
+                    self.fields.updateValue((name,), (state[name],))
+            earns = state["trips"] >= self.least_trips and state["rating"] >= self.least_rating and not self.earned.exists()
+            if earns:
+                self.earned.update((us,))
+            out.append((key[0], pd.Timestamp(us, unit="us"), event, int(state["trips"]), state["rating"], earns))
+            self.waiting.removeKey((us, event))
+        if ready:
+            last = ready[-1][0][0]
+            self.heard.update((last,))
+            self.handle.registerTimer(last // 1000 + self.idle_ms)
+        elif len(waiting) == 0 and self.heard.exists() and self.heard.get()[0] // 1000 + self.idle_ms <= now:
+            for held in (self.fields, self.earned, self.heard):
+                held.clear()
+        yield self._frame(out)
+
+    def _frame(self, rows: list[tuple]) -> pd.DataFrame:
+        return pd.DataFrame(rows, columns=self.COLUMNS).astype({"ts": "datetime64[us]", "earns_bonus": bool})
+
+    def close(self) -> None:
+        pass
+
+
+def cdc_stream(events: DataFrame, trips: Column, rating: Column, least_trips: int = 15, least_rating: float = 4.8, late: str = "10 minutes", idle_days: int = 30) -> DataFrame:
+    """``cdc_state`` of a stream of (user_id, ts, event_id, ...): a row for each change once the watermark has passed it.
+
+    Changes later than the watermark are dropped. Rows that share an entity, a time and an id are one change, the last to come.
+    """
+    df = event_time(events).withWatermark("ts", late).select("user_id", "ts", "event_id", trips.cast("int").alias("trips"), rating.cast("double").alias("rating"))
+    return df.groupBy("user_id").transformWithStateInPandas(
+        CdcProcessor(least_trips, least_rating, idle_days * 86_400_000), outputStructType="user_id long, ts timestamp, event_id long, trips int, rating double, earns_bonus boolean", outputMode="Append", timeMode="EventTime")
+
+
 # Alerts and ingest
 
 
@@ -179,9 +250,7 @@ def alert_stream(scored: DataFrame, minutes: int = 15) -> DataFrame:
 
 def validated_stream(events: DataFrame, keys: Sequence[str], bounds: Mapping[str, tuple[float, float]], ts: str = "ts", late: str = "10 minutes") -> DataFrame:
     """Known readings in bounds, once for each key within the watermark; counters come with each batch's progress."""
-    ok = F.col(ts).isNotNull()
-    for c, (low, high) in bounds.items():
-        ok &= F.coalesce(F.col(c).between(low, high), F.lit(False))
+    ok = _known_and_within(bounds, ts)
     seen = event_time(events, ts).observe("ingest", F.count("*").alias("rows_read"), count_if(ok).alias("rows_valid"))
     return seen.where(ok).withWatermark(ts, late).dropDuplicatesWithinWatermark(list(keys))
 
@@ -197,6 +266,52 @@ def to_console(df: DataFrame, mode: str = "update", kind: str = "console", name:
     return (writer.queryName(name) if name else writer).start()
 
 
+class IngestCounters(StreamingQueryListener):
+    """Keeps the counters that queries observe: a row for each query and batch, under ``path``.
+
+    A query that starts again from its checkpoint keeps its id and goes on with its batches, and a batch that runs again
+    writes its row again, so sums over the table count each batch once. A batch that was committed by a driver that died
+    before it heard of it has no row.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, name: str = "ingest"):
+        self.spark, self.path, self.name = spark, path, name
+
+    def onQueryStarted(self, event) -> None:
+        pass
+
+    def onQueryProgress(self, event) -> None:
+        found = event.progress.observedMetrics.get(self.name)
+        if found is not None and event.progress.numInputRows:
+            values = found.asDict()
+            row = self.spark.createDataFrame([tuple(values.values())], ", ".join(f"{c} long" for c in values))
+            row.coalesce(1).write.mode("overwrite").parquet(f"{self.path}/query={event.progress.id}/batch={event.progress.batchId}")
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        pass
+
+
+def ingest_totals(spark: SparkSession, path: str) -> DataFrame:
+    """Rows (query, batches, rows_read, rows_valid) of all that the counters' table has."""
+    rows = spark.read.option("basePath", path).parquet(path)
+    return rows.groupBy("query").agg(F.count("*").alias("batches"), F.sum("rows_read").alias("rows_read"), F.sum("rows_valid").alias("rows_valid"))
+
+
+def ingest_counts(events: DataFrame, bounds: Mapping[str, tuple[float, float]], ts: str = "ts") -> DataFrame:
+    """The batch twin: one row (rows_read, rows_valid)."""
+    return events.agg(F.count("*").alias("rows_read"), count_if(_known_and_within(bounds, ts)).alias("rows_valid"))
+
+
+def _known_and_within(bounds: Mapping[str, tuple[float, float]], ts: str) -> Column:
+    ok = F.col(ts).isNotNull()
+    for c, (low, high) in bounds.items():
+        ok &= F.coalesce(F.col(c).between(low, high), F.lit(False))
+    return ok
+
+
 def exactly_once(events: DataFrame, key: str, path: str, checkpoint: str, ts: str = "ts", late: str = "1 day"):
     return start(event_time(events, ts).withWatermark(ts, late).dropDuplicatesWithinWatermark([key]), path, checkpoint)
 

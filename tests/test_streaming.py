@@ -1,5 +1,8 @@
 """Streams against their batch twins."""
 
+import os
+import random
+import time
 from datetime import datetime, timedelta
 
 import pytest
@@ -77,3 +80,72 @@ def test_changed_windows_reach_the_console_sink(spark, tmp_path):
     events = spark.readStream.schema("ts string, event_type string").json(str(tmp_path / "in")).withColumn("ts", F.col("ts").cast("timestamp"))
     jobs.to_console(jobs.tumbling_counts(events), kind="memory", name="printed").awaitTermination()
     assert [r["n"] for r in spark.table("printed").collect()] == [2]
+
+
+CDC = "user_id long, ts timestamp, event_id long, trips_in int, rating_in double"
+
+
+def changes(n, seed):
+    rng = random.Random(seed)
+    rows = [(rng.randrange(4), at(k // 2), k, rng.choice([None, rng.randrange(10, 20)]), rng.choice([None, 4.0 + rng.random()])) for k in range(n)]
+    for k in range(0, n - 8, 8):  # out of order, by four minutes at most
+        part = rows[k : k + 8]
+        rng.shuffle(part)
+        rows[k : k + 8] = part
+    return rows
+
+
+def test_cdc_stream_agrees_with_its_twin_across_a_restart(spark, stream, tmp_path):
+    rows, seen = changes(240, 3), []
+    for k in (0, 80, 160):  # each run begins at the checkpoint of the one before
+        df = stream(rows[k : k + 80], CDC)
+        seen += rows[k : k + 80]
+        got = finished(spark, jobs.cdc_stream(df, F.col("trips_in"), F.col("rating_in")), tmp_path)
+    passed = max(r[1] for r in rows) - timedelta(minutes=10)
+    want = jobs.cdc_state(spark.createDataFrame(rows, CDC), "user_id", ["ts", "event_id"], F.col("trips_in"), F.col("rating_in")).where(F.col("ts") <= F.lit(passed))
+    columns = ["user_id", "ts", "event_id", "trips", "rating", "earns_bonus"]
+    assert sorted(map(tuple, got.select(*columns).collect())) == sorted(map(tuple, want.select(*columns).collect()))
+    assert got.where("earns_bonus").count() == got.where("earns_bonus").select("user_id").distinct().count() > 1
+
+
+def test_cdc_state_goes_after_an_idle_time(spark, stream, tmp_path):
+    day = 24 * 60
+    rows = [(1, at(0), 1, 16, 4.9), (1, at(5), 2, 17, None), (2, at(3 * day), 3, 1, None), (1, at(6 * day), 4, None, 4.9), (2, at(9 * day), 5, 1, None)]
+    out = []
+    for r in rows:  # a batch each, so that the watermark passes between them
+        out = finished(spark, jobs.cdc_stream(stream([r], CDC), F.col("trips_in"), F.col("rating_in"), idle_days=2), tmp_path)
+    got = {r.event_id: (r.trips, r.rating, r.earns_bonus) for r in out.collect()}
+    assert got == {1: (16, 4.9, True), 2: (17, 4.9, False), 3: (1, 5.0, False), 4: (0, 4.9, False)}
+
+
+def test_counters_of_a_restarted_stream_add_up(spark, stream, tmp_path):
+    schema, bounds, counters = "ts timestamp, id long, v double", {"v": (0.0, 10.0)}, str(tmp_path / "counters")
+    listener = jobs.IngestCounters(spark, counters)
+    spark.streams.addListener(listener)
+    try:
+        rows = [(at(k), k, float(k % 14)) if k % 9 else (None, k, None) for k in range(60)]
+        for k in (0, 25, 26):
+            finished(spark, jobs.validated_stream(stream(rows[k : {0: 25, 25: 26, 26: 60}[k]], schema), ["id"], bounds), tmp_path)
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+        want = tuple(jobs.ingest_counts(spark.createDataFrame(rows, schema), bounds).first())
+        for _ in range(100):
+            if os.path.isdir(counters) and tuple(jobs.ingest_totals(spark, counters).first())[1:] == (3, *want):
+                break
+            time.sleep(0.2)
+        assert tuple(jobs.ingest_totals(spark, counters).first())[1:] == (3, *want)
+    finally:
+        spark.streams.removeListener(listener)
+
+
+def test_keyword_route_as_a_stream(spark, stream, tmp_path):
+    rows = [("u", "Tech news", "x"), ("v", "nothing", "ai"), ("w", "Tech", "x"), ("x", None, None)]
+    blocked = spark.createDataFrame([("w",)], "user string")
+    got = finished(spark, jobs.keyword_route(stream(rows, "user string, text string, topic string"), ["Tech"], "ai", blocked), tmp_path)
+    assert sorted(r.user for r in got.collect()) == ["u", "v"]
+
+
+def test_exactly_once_ingest_across_a_restart(spark, stream, tmp_path):
+    schema = "ts timestamp, id long"
+    for rows in ([(at(0), 1), (at(0), 1), (at(1), 2)], [(at(2), 2), (at(3), 3)]):
+        jobs.exactly_once(stream(rows, schema), "id", str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination(90)
+    assert sorted(r.id for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [1, 2, 3]
