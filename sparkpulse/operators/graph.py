@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import heapq
-from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,7 +11,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.io import stored
+from ..sources.io import Temporary, removed, stored
 
 
 def pair_stats(df: DataFrame, src: str, dst: str, duration: str, kind: str | None = None, least: int = 1) -> DataFrame:
@@ -62,70 +60,90 @@ def degree_centrality(edges: DataFrame) -> DataFrame:
 def eigenvector_centrality(edges: DataFrame, rounds: int = 100, tolerance: float = 1e-6) -> DataFrame:
     """Power iteration from an even start, each round a join and a sum; a zero vector gives even values.
 
-    Scores are checkpointed every round where the session has a checkpoint folder, which cuts the lineage.
+    The scores of a round are stored as a table, which cuts the lineage, and go when the next round has its own.
     """
-    durable = edges.sparkSession.sparkContext.getCheckpointDir() is not None
-    keep = (lambda df: df.checkpoint()) if durable else (lambda df: df.cache())
-    edges = keep(edges.select("src", "dst", "weight"))
-    nodes = keep(nodes_of(edges))
-    n = max(nodes.count(), 1)
-    even = nodes.withColumn("x", F.lit(n**-0.5))
-    scores = even
-    for _ in range(rounds):
-        raw = edges.join(scores, F.col("dst") == F.col("node")).groupBy("src").agg(F.sum(F.col("weight") * F.col("x")).alias("y"))
-        after = keep(scores.join(raw, F.col("node") == F.col("src"), "left").select("node", "x", F.coalesce("y", F.lit(0.0)).alias("y")))
-        # both vectors have length 1, so their distance follows from one product
-        yy, xy = after.agg(F.sum(F.col("y") * F.col("y")), F.sum(F.col("x") * F.col("y"))).first()
-        if not yy:
-            return even.select("node", F.lit(1.0 / n).alias("eigenvector"))
-        norm = yy**0.5
-        scores = after.select("node", (F.col("y") / norm).alias("x"))
-        if max(0.0, 2 - 2 * xy / norm) ** 0.5 < tolerance:
-            break
-    return scores.withColumnRenamed("x", "eigenvector")
-
-
-#: Edges up to which every path count may go to each task; larger networks need another measure.
-BROADCAST_EDGES = 2_000_000
+    with Temporary() as kept:
+        edges = kept.stored(edges.select("src", "dst", F.col("weight").cast("double")), "eigenvector-edges")
+        nodes = kept.stored(nodes_of(edges), "eigenvector-nodes")
+        n = max(nodes.count(), 1)
+        scores, table = nodes.withColumn("x", F.lit(n**-0.5)), None
+        for _ in range(rounds):
+            raw = edges.join(scores, F.col("dst") == F.col("node")).groupBy("src").agg(F.sum(F.col("weight") * F.col("x")).alias("y"))
+            after = stored(scores.join(raw, F.col("node") == F.col("src"), "left").select("node", "x", F.coalesce("y", F.lit(0.0)).alias("y")), "eigenvector")
+            if table is not None:
+                removed(table)
+            table = after
+            # both vectors have length 1, so their distance follows from one product
+            yy, xy = after.agg(F.sum(F.col("y") * F.col("y")), F.sum(F.col("x") * F.col("y"))).first()
+            if not yy:
+                return stored(nodes.select("node", F.lit(1.0 / n).alias("eigenvector")), "eigenvector")
+            norm = yy**0.5
+            scores = after.select("node", (F.col("y") / norm).alias("x"))
+            if max(0.0, 2 - 2 * xy / norm) ** 0.5 < tolerance:
+                break
+        out = stored(scores.withColumnRenamed("x", "eigenvector"), "eigenvector")
+        if table is not None:
+            removed(table)
+        return out
+
+
+#: Sources whose paths are followed together.
+SOURCES = 1_000
+
+
+def shortest_paths(steps: DataFrame, sources: DataFrame, temporary: Temporary) -> DataFrame:
+    """Rows (source, node, dist, path): one shortest path from each source to each node that it reaches, itself included.
+
+    ``steps`` are (at, to, length), lengths above 0. In every round the paths that got better in the one before grow by a
+    step, a join on their last nodes, and each source and node keep the best path, a minimum over length and then the
+    sequence of nodes. Rounds end when none gets better: as many as the longest of the paths has steps, and one.
+    """
+    at = sources.select(F.col("node").alias("source"), "node")
+    best = temporary.stored(at.select("source", "node", F.struct(F.lit(0.0).alias("dist"), F.array("node").alias("path")).alias("best"), F.lit(True).alias("new")), "paths")
+    while True:
+        grown = best.where("new").join(steps, F.col("node") == F.col("at")).where(~F.array_contains("best.path", F.col("to"))).select(
+            "source", F.col("to").alias("node"), F.struct((F.col("best.dist") + F.col("length")).alias("dist"), F.concat("best.path", F.array("to")).alias("path")).alias("best"), F.lit(False).alias("old"))
+        both = best.select("source", "node", "best", F.lit(True).alias("old")).unionByName(grown)
+        merged = both.groupBy("source", "node").agg(F.min("best").alias("best"), F.min(F.when(F.col("old"), F.col("best"))).alias("before"))
+        best = temporary.stored(merged.select("source", "node", "best", (~F.col("best").eqNullSafe(F.col("before"))).alias("new")), "paths")
+        if best.where("new").isEmpty():
+            return best.select("source", "node", "best.*")
+
+
+def sources_for(n: int, error: float | None, failure: float = 0.05) -> int:
+    """How many of ``n`` sources hold every node's betweenness within ``error``, but for the given probability; all if no error is allowed.
+
+    By Hoeffding's inequality for the share of a source's paths that pass a node, over all nodes.
+    """
+    return n if not error or not n else min(n, int(np.ceil(np.log(2 * n / failure) / (2 * error * error))))
 
 
-def betweenness(edges: DataFrame) -> DataFrame:
+def betweenness(edges: DataFrame, error: float | None = None, failure: float = 0.05, together: int = SOURCES) -> DataFrame:
     """Share of ordered pairs whose one shortest path passes a node; distance is the largest weight over the weight.
 
-    Sources are spread over tasks, each with the whole edge list, which is checked against BROADCAST_EDGES. Of equal
-    paths the one with the least sequence of nodes from the source counts.
+    Of equal paths the one with the least sequence of nodes from the source counts. Sources go in batches of about
+    ``together``, so that no more than their paths to all nodes are held, as tables; neither edges nor nodes reach the
+    driver or meet in a task. With an ``error``, a sample of sources by hash stands for all, and every share is within the
+    error of the true one but for the probability ``failure``.
     """
-    rows = edges.where("src <> dst").select("src", "dst", F.col("weight").cast("double")).limit(BROADCAST_EDGES + 1).toPandas()
-    if len(rows) > BROADCAST_EDGES:
-        raise ValueError(f"betweenness is for networks of up to {BROADCAST_EDGES} edges")
-    top = rows.weight.max() if len(rows) else 1.0
-    out = defaultdict(list)
-    for s, d, w in rows.itertuples(index=False):
-        out[s].append((d, top / w))
-    n = len(set(rows.src) | set(rows.dst))
-    kind = edges.schema["src"].dataType.simpleString()
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            passed: dict = defaultdict(float)
-            for source in frame.node:
-                done, heap = set(), [(0.0, (source,))]
-                while heap:
-                    dist, path = heapq.heappop(heap)
-                    if path[-1] in done:
-                        continue
-                    done.add(path[-1])
-                    for node in path[1:-1]:
-                        passed[node] += 1
-                    for to, d in out.get(path[-1], ()):
-                        if to not in done:
-                            heapq.heappush(heap, (dist + d, (*path, to)))
-            yield pd.DataFrame({"node": list(passed), "c": list(passed.values())})
-
-    nodes = nodes_of(edges)
-    counted = nodes.repartition("node").mapInPandas(run, f"node {kind}, c double").groupBy("node").agg(F.sum("c").alias("c"))
-    scale = float(max((n - 1) * (n - 2), 1))
-    return nodes.join(counted, "node", "left").select("node", (F.coalesce("c", F.lit(0.0)) / scale).alias("betweenness"))
+    with Temporary() as temporary:
+        rows = temporary.stored(edges.where("src <> dst").select("src", "dst", F.col("weight").cast("double")), "betweenness-edges")
+        top = rows.agg(F.max("weight")).first()[0] or 1.0
+        steps = rows.select(F.col("src").alias("at"), F.col("dst").alias("to"), (F.lit(top) / F.col("weight")).alias("length"))
+        nodes = temporary.stored(nodes_of(edges), "betweenness-nodes")
+        n = nodes.count()
+        m = sources_for(n, error, failure)
+        chosen = nodes if m == n else nodes.orderBy(F.xxhash64("node"), "node").limit(m)
+        batches = -(-m // together)
+        chosen = temporary.stored(chosen.withColumn("batch", F.pmod(F.xxhash64("node", F.lit(1)), F.lit(max(batches, 1)))), "betweenness-sources")
+        passed = nodes.select("node", F.lit(0).cast("long").alias("c"))
+        for k in range(batches):
+            with Temporary() as paths:
+                found = shortest_paths(steps, chosen.where(F.col("batch") == k), paths)
+                inner = found.where(F.size("path") > 2).select(F.explode(F.slice("path", F.lit(2), F.size("path") - 2)).alias("node"))
+                passed = passed.unionByName(temporary.stored(inner.groupBy("node").agg(F.count("*").alias("c")), "betweenness-counts"))
+        scale = float(max((n - 1) * (n - 2), 1)) * m / max(n, 1)
+        return stored(passed.groupBy("node").agg((F.sum("c") / (scale or 1.0)).alias("betweenness")), "betweenness")
 
 
 def influence_profile(degree: DataFrame, between: DataFrame, eigen: DataFrame) -> DataFrame:

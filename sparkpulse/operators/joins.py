@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.io import stored
+from ..sources.io import Temporary, stored
 
-#: Spots of drivers that one grid cell may hold at first, and how often a cell is halved for that.
-CROWD, DEEPEST = 64, 12
+#: Spots of drivers that a cell may hold unsplit, and how often a cell is split into 16 at most.
+CROWD, DEEPEST = 64, 10
 
 
 def attribute_revenue(ads: DataFrame, orders: DataFrame, user: str, ad_ts: str, order_ts: str, amount: str, campaign: str) -> DataFrame:
@@ -45,49 +45,81 @@ def latest_values(entities: DataFrame, history: DataFrame, key: str, ts: str, va
     return filled.select(*[c for c in joined.columns if c not in values], *[F.coalesce(v, f"_{v}", F.lit(default)).alias(v) for v in values])
 
 
-def nearest_available(orders: DataFrame, drivers: DataFrame, cell: float = 1.0, rings: int = 1) -> DataFrame:
-    """Each order's nearest driver by straight distance in degrees; ties go to the least driver_id.
+def quadtree(spots: DataFrame, crowd: int, temporary: Temporary) -> tuple[DataFrame, DataFrame]:
+    """Nodes (level, x, y, n, low_lat, high_lat, low_lon, high_lon, inner) of an adaptive tree over spots, and the spots with their leaves.
 
-    Orders look in grid cells around their own. A driver found within the searched rings is surely nearest only if
-    no unsearched cell can be nearer; orders that fail this go on with cells twice as wide, until none is left or
-    the rings have covered all drivers. Without drivers the result is empty.
+    A cell of more than ``crowd`` spots is split into 16, down to DEEPEST levels; others aren't, however deep their
+    neighbours are. A node's bounds are those of its spots. Spots are counted at all levels at once.
+    """
+    lat, lon = spots.agg(F.struct(F.min("d_lat"), F.max("d_lat")), F.struct(F.min("d_lon"), F.max("d_lon"))).first()
+    side = max(lat[1] - lat[0], lon[1] - lon[0], 1e-9)
+    most = 4**DEEPEST - 1
+
+    def deep(c: str, low: float) -> Column:
+        return F.least(F.floor((F.col(c) - low) / side * (most + 1)), F.lit(most))
+
+    placed = spots.select("*", deep("d_lat", lat[0]).alias("_x"), deep("d_lon", lon[0]).alias("_y"))
+    levels = F.array(*[F.struct(F.lit(k).alias("level"), F.shiftright("_x", 2 * (DEEPEST - k)).alias("x"), F.shiftright("_y", 2 * (DEEPEST - k)).alias("y")) for k in range(DEEPEST + 1)])
+    bounds = [f(c).alias(f"{name}_{c[2:]}") for c in ("d_lat", "d_lon") for name, f in (("low", F.min), ("high", F.max))]
+    every = placed.select("d_lat", "d_lon", F.inline(levels)).groupBy("level", "x", "y").agg(F.count("*").alias("n"), *bounds)
+    every = temporary.stored(every.withColumn("inner", (F.col("n") > crowd) & (F.col("level") < DEEPEST)), "quadtree-cells")
+    # counts only fall towards the leaves, so a cell is a node if the one above it is split
+    above = every.where("inner").select((F.col("level") + 1).alias("level"), F.col("x").alias("_px"), F.col("y").alias("_py"))
+    cells = every.withColumns({"_px": F.shiftright("x", 2), "_py": F.shiftright("y", 2)})
+    nodes = temporary.stored(cells.join(above, ["level", "_px", "_py"], "left_semi").drop("_px", "_py").unionByName(every.where("level = 0")), "quadtree-nodes")
+    leaves = nodes.where("NOT inner").select("level", "x", "y")
+    at = placed.select("d_lat", "d_lon", "driver_id", F.inline(levels))
+    return nodes, temporary.stored(at.join(leaves, ["level", "x", "y"]), "quadtree-spots")
+
+
+def nearest_available(orders: DataFrame, drivers: DataFrame, crowd: int = CROWD) -> DataFrame:
+    """Each order's nearest driver by straight distance in degrees; ties go to the least driver_id.
 
-    Of drivers at one spot only the least id can be nearest, and the first cells are halved until none holds more
-    than CROWD spots, so a busy place doesn't pair all its orders with all its drivers. Each round's rest is written.
+    Orders go down a quadtree over the drivers' spots, of which only crowded cells are split, all a level at a time. An
+    order keeps the cells that may hold its nearest spot: those no farther than the far corner of some other. So a far
+    order meets few cells of a city and few of its drivers, and there are as many rounds as levels, DEEPEST at most. Of
+    drivers at one spot only the least id counts. Orders and drivers without a place are left out; without drivers the
+    result is empty; repeated orders give one row.
     """
-    idle = drivers.where("lat IS NOT NULL AND lon IS NOT NULL").groupBy(F.col("lat").alias("d_lat"), F.col("lon").alias("d_lon")).agg(F.min("driver_id").alias("driver_id"))
-    idle = stored(idle, "drivers")
-    cell *= 0.5 ** _halvings(idle, cell)
-    span = idle.agg(F.min("d_lat"), F.max("d_lat"), F.min("d_lon"), F.max("d_lon"), F.count("*")).first()
-    todo, found = orders.where("lat IS NOT NULL AND lon IS NOT NULL"), None
-    if not span[4]:
-        return todo.select("order_id", F.lit(None).cast("long").alias("driver_id"), F.lit(None).cast("double").alias("distance")).limit(0)
-    far = todo.agg(F.max(F.greatest(F.abs(F.col("lat") - span[0]), F.abs(F.col("lat") - span[1]), F.abs(F.col("lon") - span[2]), F.abs(F.col("lon") - span[3])))).first()[0] or 0.0
-    while True:
-        cells = idle.withColumns({"cx": F.floor(F.col("d_lat") / cell), "cy": F.floor(F.col("d_lon") / cell)})
-        around = F.sequence(F.lit(-rings), F.lit(rings))
-        near = todo.select("order_id", "lat", "lon", F.explode(around).alias("i")).select("*", F.explode(around).alias("j")).withColumns({
-            "cx": F.floor(F.col("lat") / cell) + F.col("i"), "cy": F.floor(F.col("lon") / cell) + F.col("j")})
+    todo = orders.where("lat IS NOT NULL AND lon IS NOT NULL").select("order_id", F.col("lat").cast("double").alias("lat"), F.col("lon").cast("double").alias("lon"))
+    known = drivers.where("lat IS NOT NULL AND lon IS NOT NULL")
+    with Temporary() as temporary:
+        idle = temporary.stored(known.groupBy(F.col("lat").cast("double").alias("d_lat"), F.col("lon").cast("double").alias("d_lon")).agg(F.min("driver_id").alias("driver_id")), "drivers")
+        if idle.isEmpty():
+            return todo.select("order_id", F.lit(None).cast(drivers.schema["driver_id"].dataType).alias("driver_id"), F.lit(None).cast("double").alias("distance")).limit(0)
+        nodes, spots = quadtree(idle, crowd, temporary)
+        cell = ["level", "x", "y", "inner", "low_lat", "high_lat", "low_lon", "high_lon"]
+        root = F.array(F.struct(*cell)).alias("cells")
+        state = temporary.stored(todo.crossJoin(F.broadcast(nodes.where("level = 0").select(root))), "orders-0")  # one row
+        below = nodes.where("level > 0").select(*[F.col(c).alias(f"_{c}") for c in cell], (F.col("level") - 1).alias("_up"), F.shiftright("x", 2).alias("_ux"), F.shiftright("y", 2).alias("_uy"))
+        ready, level = state.where("NOT exists(cells, c -> c.inner)"), 0
+        while True:
+            level += 1
+            split = state.where("exists(cells, c -> c.inner)").select("order_id", "lat", "lon", F.explode("cells").alias("c"))
+            grown = split.where("c.inner").join(below, (F.col("c.level") == F.col("_up")) & (F.col("c.x") == F.col("_ux")) & (F.col("c.y") == F.col("_uy")))
+            grown = grown.select("order_id", "lat", "lon", F.struct(*[F.col(f"_{c}").alias(c) for c in cell]).alias("c")).unionByName(split.where("NOT c.inner"))
+            gathered = grown.groupBy("order_id", "lat", "lon").agg(F.collect_list("c").alias("cells"), F.min(_farthest(F.col("c"))).alias("_most"))
+            kept = F.filter("cells", lambda c: _least(c) <= F.col("_most") * (1 + 1e-9) + 1e-12)
+            state = temporary.stored(gathered.select("order_id", "lat", "lon", kept.alias("cells")), f"orders-{level}")
+            ready = ready.unionByName(state.where("NOT exists(cells, c -> c.inner)"))
+            if level == DEEPEST or state.where("exists(cells, c -> c.inner)").isEmpty():
+                break
+        near = ready.select("order_id", "lat", "lon", F.explode("cells").alias("c")).select("order_id", "lat", "lon", "c.level", "c.x", "c.y").join(spots, ["level", "x", "y"])
         distance = F.sqrt(F.pow(F.col("lat") - F.col("d_lat"), 2) + F.pow(F.col("lon") - F.col("d_lon"), 2))
-        best = near.join(cells, ["cx", "cy"]).groupBy("order_id").agg(F.min(F.struct(distance.alias("distance"), "driver_id")).alias("b"))
-        last = cell * rings > far
-        sure = stored(best.select("order_id", "b.driver_id", "b.distance").where(F.lit(True) if last else F.col("distance") <= cell * rings), "orders-met")
-        found = sure if found is None else found.unionByName(sure)
-        if last:
-            return found
-        todo = stored(todo.join(sure.select("order_id"), "order_id", "left_anti"), "orders-left")
-        if todo.isEmpty():
-            return found
-        cell *= 2
-
-
-def _halvings(spots: DataFrame, cell: float) -> int:
-    """How often a cell must be halved until none holds more than CROWD spots, at most DEEPEST times; one row comes back."""
-    at = lambda k: [F.floor(F.col(c) / (cell * 0.5**k)) for c in ("d_lat", "d_lon")]
-    levels = spots.select(F.inline(F.array(*[F.struct(F.lit(k).alias("k"), at(k)[0].alias("x"), at(k)[1].alias("y")) for k in range(DEEPEST + 1)])))
-    fullest = levels.groupBy("k", "x", "y").agg(F.count("*").alias("n")).groupBy("k").agg(F.max("n").alias("n"))
-    fits = fullest.where(F.col("n") <= CROWD).agg(F.min("k")).first()[0]
-    return DEEPEST if fits is None else fits
+        best = near.groupBy("order_id").agg(F.min(F.struct(distance.alias("distance"), "driver_id")).alias("b"))
+        return stored(best.select("order_id", "b.driver_id", "b.distance"), "orders-met")
+
+
+def _least(c: Column) -> Column:
+    """Distance of an order from a cell's bounds."""
+    away = [F.greatest(c[f"low_{a}"] - F.col(a), F.col(a) - c[f"high_{a}"], F.lit(0.0)) for a in ("lat", "lon")]
+    return F.sqrt(away[0] * away[0] + away[1] * away[1])
+
+
+def _farthest(c: Column) -> Column:
+    """Distance of an order from the far corner of a cell's bounds."""
+    away = [F.greatest(F.abs(c[f"low_{a}"] - F.col(a)), F.abs(F.col(a) - c[f"high_{a}"])) for a in ("lat", "lon")]
+    return F.sqrt(away[0] * away[0] + away[1] * away[1])
 
 
 def latest_position(pings: DataFrame, key: str, ts: str) -> DataFrame:

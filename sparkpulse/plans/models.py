@@ -353,11 +353,18 @@ def detection_summary(t):
 
 @query(CENTRALITY + " SELECT node, role, role = 'bottleneck' AS is_bottleneck FROM profile ORDER BY b DESC, node LIMIT 5")
 def network_connectors(t):
-    e = network(t)
+    e = stored(network(t), "network")
     profile = graph.influence_profile(graph.degree_centrality(e), graph.betweenness(e), graph.eigenvector_centrality(e))
     return graph.connectors(profile, 5).select("node", "role").withColumn("is_bottleneck", F.col("role") == "bottleneck")
 
 
+@query(CENTRALITY + " SELECT node, round(b, 5) AS betweenness FROM profile WHERE role = 'bottleneck'")
+def network_bottlenecks(t):
+    e = stored(network(t), "network")
+    profile = graph.influence_profile(graph.degree_centrality(e), graph.betweenness(e), graph.eigenvector_centrality(e))
+    return rounded(graph.bottlenecks(profile).select("node", "betweenness"), "betweenness", digits=5)
+
+
 SENSORS = ["temperature", "vibration", "pressure", "rpm", "power"]
 
 

@@ -198,7 +198,7 @@ def latest_survey_features(t):
 def nearest_available(t):
     orders = t.customer.selectExpr("c_custkey AS order_id", "CAST(c_custkey * 37 % 9000 AS DOUBLE) / 100 AS lat", "CAST(c_custkey * 101 % 18000 AS DOUBLE) / 100 AS lon")
     drivers = t.supplier.where("s_suppkey % 4 <> 0").selectExpr("s_suppkey AS driver_id", "CAST(s_suppkey * 53 % 9000 AS DOUBLE) / 100 AS lat", "CAST(s_suppkey * 211 % 18000 AS DOUBLE) / 100 AS lon")
-    return rounded(joins.nearest_available(orders, drivers, cell=8.0), "distance", digits=6)
+    return rounded(joins.nearest_available(orders, drivers), "distance", digits=6)
 
 
 @query("""WITH latest AS (SELECT user_id, max_by(event_id, (ts, event_id)) AS event_id, max(ts) AS ts FROM events GROUP BY ALL) SELECT * FROM latest""")

@@ -107,6 +107,32 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def removed(df: DataFrame) -> None:
+    """Delete the files of a table made by ``stored``."""
+    jvm, conf = df.sparkSession.sparkContext._jvm, df.sparkSession.sparkContext._jsc.hadoopConfiguration()
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        path = jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(conf).delete(path, True)
+
+
+class Temporary:
+    """Stored tables that go when the block ends; what outlives it is stored apart."""
+
+    def __init__(self):
+        self.tables: list[DataFrame] = []
+
+    def __enter__(self) -> Temporary:
+        return self
+
+    def stored(self, df: DataFrame, name: str) -> DataFrame:
+        self.tables.append(stored(df, name))
+        return self.tables[-1]
+
+    def __exit__(self, *_) -> None:
+        for df in self.tables:
+            removed(df)
+
+
 def store_features(df: DataFrame, root: str, name: str, version: int) -> None:
     df.write.mode("overwrite").parquet(f"{root}/name={name}/version={version}")
 

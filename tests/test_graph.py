@@ -1,5 +1,7 @@
 """Spectral clustering against dense eigenvectors, on planted groups."""
 
+import heapq
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -69,3 +71,57 @@ def test_silo_report_of_a_given_membership(spark):
     of = spark.range(6).select(F.col("id").alias("node"), F.floor(F.col("id") / 3).cast("int").alias("community"))
     got = {r.community: r for r in graph.silo_report(both_ways(spark, w), of).collect()}
     assert got[0].members == 3 and got[0].external_links == 1 and abs(got[0].internal_ratio - 6 / 7) < 1e-9 and got[0].is_silo
+
+
+def paths_by_hand(w):
+    """The share of ordered pairs whose least path, by length and then nodes, passes each node."""
+    n, top, passed = len(w), w.max(), np.zeros(len(w))
+    for source in range(n):
+        done, heap = set(), [(0.0, (source,))]
+        while heap:
+            dist, path = heapq.heappop(heap)
+            if path[-1] not in done:
+                done.add(path[-1])
+                passed[list(path[1:-1])] += 1
+                for to in np.flatnonzero(w[path[-1]]).tolist():
+                    if to not in done:
+                        heapq.heappush(heap, (dist + top / w[path[-1], to], (*path, to)))
+    return passed / max((n - 1) * (n - 2), 1)
+
+
+@pytest.mark.parametrize("together", [1000, 7])
+def test_betweenness_agrees_with_a_walk(spark, together):
+    w, _ = planted([12, 8], 0.4, 0.1, 11)
+    w[3, 3] = 9.0
+    got = {r.node: r.betweenness for r in graph.betweenness(both_ways(spark, w), together=together).collect()}
+    np.fill_diagonal(w, 0)
+    want = paths_by_hand(w)
+    assert len(got) == 20 and all(abs(got[k] - want[k]) < 1e-12 for k in range(20)) and want.max() > 0.1
+
+
+def test_betweenness_of_ties_and_odd_networks(spark):
+    ring = np.zeros((6, 6))
+    for k in range(6):
+        ring[k, (k + 1) % 6] = ring[(k + 1) % 6, k] = 2.0
+    got = {r.node: r.betweenness for r in graph.betweenness(both_ways(spark, ring)).collect()}
+    assert [round(got[k], 9) for k in range(6)] == np.round(paths_by_hand(ring), 9).tolist()
+    lone = spark.createDataFrame([("a", "a", 1)], "src string, dst string, weight long")
+    assert [(r.node, r.betweenness) for r in graph.betweenness(lone).collect()] == [("a", 0.0)]
+    assert graph.betweenness(lone.where("1 = 0")).count() == 0
+
+
+def test_sampled_betweenness_keeps_its_bound(spark):
+    assert graph.sources_for(10**9, 0.01) < 150_000 and graph.sources_for(50, 0.01) == 50 and graph.sources_for(50, None) == 50
+    star = np.zeros((120, 120))
+    star[0, 1:] = star[1:, 0] = 1.0
+    got = {r.node: r.betweenness for r in graph.betweenness(both_ways(spark, star), error=0.25).collect()}
+    assert graph.sources_for(120, 0.25) < 120 and abs(got[0] - 1.0) < 0.25 and max(got[k] for k in range(1, 120)) == 0
+
+
+def test_eigenvector_centrality_agrees_with_numpy(spark):
+    w, _ = planted([10, 6], 0.5, 0.2, 2)
+    got = np.array([r.eigenvector for r in graph.eigenvector_centrality(both_ways(spark, w)).sort("node").collect()])
+    v = np.abs(np.linalg.eigh(w)[1][:, -1])
+    assert np.allclose(got, v, atol=1e-4)
+    none = both_ways(spark, np.array([[0.0, 1.0], [1.0, 0.0]])).withColumn("weight", F.lit(0.0))
+    assert [r.eigenvector for r in graph.eigenvector_centrality(none).collect()] == [0.5, 0.5]

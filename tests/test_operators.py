@@ -283,16 +283,6 @@ def test_cooldown_agrees_with_a_walk_on_a_hot_machine(spark):
     assert ml.alerts_with_cooldown(df.where("1 = 0"), "machine", "ts", "score").count() == 0
 
 
-def test_nearest_driver_agrees_with_all_pairs_in_a_crowd(spark):
-    rng = np.random.default_rng(9)
-    crowd, wide = rng.normal(50.0, 0.01, (300, 2)), rng.uniform(0, 80, (20, 2))
-    drivers = [(int(i), float(a), float(b)) for i, (a, b) in enumerate(np.vstack([crowd, wide, crowd[:30]]))]
-    orders = [(f"o{i}", float(a), float(b)) for i, (a, b) in enumerate(np.vstack([rng.normal(50.0, 0.01, (200, 2)), rng.uniform(0, 80, (20, 2))]))]
-    got = joins.nearest_available(spark.createDataFrame(orders, "order_id string, lat double, lon double"), spark.createDataFrame(drivers, "driver_id long, lat double, lon double"))
-    want = {o: min((((a - c) ** 2 + (b - d) ** 2) ** 0.5, i) for i, c, d in drivers)[1] for o, a, b in orders}
-    assert {r.order_id: r.driver_id for r in got.collect()} == want
-
-
 def test_average_rank_agrees_with_sorting_and_puts_nulls_last(spark):
     values = [int(x) for x in np.random.default_rng(10).integers(0, 50, 500)] + [49] * 300 + [None, None]
     got = rolling.average_rank(spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, v int"), "v").collect()
