@@ -9,10 +9,11 @@ from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.clustering import LDA
 from pyspark.ml.feature import IDF, CountVectorizer, RegexTokenizer, StopWordsRemover
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import map_lookup, once, rate, words
+from ..sources.io import Temporary, removed_path, stored, stored_path
 
 #: Fixed values of the scoring rule: damping of a negated word, reach of a negation, marks' weight and bound, norm, label limit.
 NEGATED, REACH, MARK, MARKS, NORM, LABEL = -0.75, 3, 0.1, 0.3, 15.0, 0.2
@@ -103,39 +104,106 @@ def topic_weights_by(docs: DataFrame, group: str) -> DataFrame:
     return docs.where("topics IS NOT NULL").select(group, F.posexplode("topics").alias("topic", "share")).groupBy(group, "topic").agg(F.avg("share").alias("mean_share"))
 
 
+PUNCTUATION = r"""!"#$%&'()*+,-./:;<=>?@[\]^_`{|}~"""
+#: Documents in one block of a term's postings, about; terms that first tell how good a query's best documents are.
+BLOCK, SEEDS = 1024, 4
+#: What sums in another order may differ by.
+MARGIN = 1e-9
+
+
 def search_terms(text: Column) -> Column:
     """Words longer than two characters, without punctuation around them, in lower case."""
-    punctuation = r"""^[!"#$%&'()*+,\-./:;<=>?@\[\\\]^_`{|}~]+|[!"#$%&'()*+,\-./:;<=>?@\[\\\]^_`{|}~]+$"""
-    stripped = F.transform(F.split(F.lower(text), r"\s+"), lambda x: F.regexp_replace(x, punctuation, ""))
+    stripped = F.transform(F.split(F.lower(text), r"\s+"), lambda x: F.btrim(x, F.lit(PUNCTUATION)))
     return F.filter(stripped, lambda x: F.length(x) > 2)
 
 
-def tfidf_search(docs: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
-    """Rows (query_id, doc_id, score, rank): the best k documents of each query by cosine of TF-IDF weights.
+def term_frequencies(df: DataFrame, key: str) -> DataFrame:
+    """Rows (key, term, tf): a term's count over the largest count in the text. Texts are dealt out by key once."""
+    counts = df.repartition(key).select(key, F.explode(search_terms(F.col("text"))).alias("term")).groupBy(key, "term").agg(F.count("*").alias("c"))
+    return counts.select(key, "term", (F.col("c") / F.max("c").over(Window.partitionBy(key))).alias("tf"))
+
+
+def _block(doc: Column, blocks: Column) -> Column:
+    return F.pmod(F.xxhash64(doc), blocks).cast("int")
+
 
-    tf is a count over the text's largest count, idf is ln(N / (1 + df)), which is negative for words in all texts;
-    only scores above 0 count. Texts are dealt out by document once, which serves counts and their largest. A document's
-    norm and those of its terms that a query holds come from one aggregation, so that only these terms are dealt out
-    again to meet the queries.
+def write_search_index(docs: DataFrame, path: str, block: int = BLOCK) -> None:
+    """Write an inverted index of (doc_id, text) below ``path``.
+
+    ``postings`` has blocks of a term's documents: their ids, their TF-IDF weights over the documents' norms, and the
+    largest size of these. idf is ln(N / (1 + df)), negative for words in all texts. A term with more than ``block``
+    documents has several blocks, by a hash of the document, so no term is one row, one group or one key; files have
+    them in the order of terms. ``terms`` has idf, the number of blocks and the largest weight of each term. Null texts have no
+    terms; documents of norm 0 are left out.
+    """
+    spark = docs.sparkSession
+    with Temporary() as temporary:
+        tf = temporary.stored(term_frequencies(docs, "doc_id"), "search-terms")
+        n = docs.count()
+        idf = F.log(F.lit(n) / (1 + F.col("df")))
+        terms = temporary.stored(tf.groupBy("term").agg(F.count("*").alias("df")).select("term", idf.alias("idf"), F.ceil(F.col("df") / block).cast("int").alias("blocks")), "search-idf")
+        weighed = tf.join(terms, "term").select("doc_id", "term", "blocks", (F.col("tf") * F.col("idf")).alias("w"))
+        # a document's terms are together already, in one row while its norm is taken
+        by = weighed.groupBy("doc_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"), F.collect_list(F.struct("term", "blocks", "w")).alias("terms")).where("norm > 0")
+        posts = by.select("doc_id", "norm", F.inline("terms")).select("term", _block(F.col("doc_id"), F.col("blocks")).alias("block"), F.struct("doc_id", (F.col("w") / F.col("norm")).alias("w")).alias("post"))
+        blocks = posts.groupBy("term", "block").agg(F.collect_list("post").alias("posts"), F.max(F.abs("post.w")).alias("top"))
+        blocks.sortWithinPartitions("term", "block").write.mode("overwrite").parquet(f"{path}/postings")
+        tops = spark.read.parquet(f"{path}/postings").groupBy("term").agg(F.max("top").alias("top"))
+        terms.join(tops, "term").write.mode("overwrite").parquet(f"{path}/terms")
+
+
+def search_index(spark: SparkSession, path: str, queries: DataFrame, k: int = 5) -> DataFrame:
+    """Rows (query_id, doc_id, score, rank): the best k documents of each query by cosine of TF-IDF weights; only scores above 0 count.
+
+    Weights of a term have one sign, so every shared term adds to a score. A query's SEEDS terms of largest bounds give
+    k documents at least so good; by that, terms whose bounds together can't lift a document so high are looked up only
+    for documents that others have found, in the one block that a document falls into, and blocks whose best documents
+    can't come so high are skipped.
     """
-    def weigh(df: DataFrame, key: str) -> DataFrame:
-        counts = df.repartition(key).select(key, F.explode(search_terms(F.col("text"))).alias("term")).groupBy(key, "term").agg(F.count("*").alias("c"))
-        return counts.select(key, "term", (F.col("c") / F.max("c").over(Window.partitionBy(key))).alias("tf"))
-
-    in_docs, in_queries = weigh(docs, "doc_id"), weigh(queries, "query_id")
-    n = docs.agg(F.count("*").alias("n"))
-    asked = in_queries.select("term").distinct().withColumn("asked", F.lit(True))
-    df = in_docs.groupBy("term").agg(F.count("*").alias("df"))
-    idf = df.crossJoin(F.broadcast(n)).join(asked, "term", "left").select("term", "asked", F.log(F.col("n") / (1 + F.col("df"))).alias("idf"))  # n is one row
-    weight = F.col("tf") * F.col("idf")
-    q = in_queries.join(idf, "term").select("query_id", "term", weight.alias("wq"))
-    nq = q.groupBy("query_id").agg(F.sqrt(F.sum(F.col("wq") * F.col("wq"))).alias("nq"))
-    d = in_docs.join(idf, "term").groupBy("doc_id").agg(F.sqrt(F.sum(weight * weight)).alias("nd"), F.collect_list(F.when(F.col("asked"), F.struct("term", weight.alias("wd")))).alias("terms"))
-    held = d.where("nd > 0").select("doc_id", "nd", F.inline("terms"))
-    dots = held.join(q, "term").groupBy("query_id", "doc_id", "nd").agg(F.sum(F.col("wd") * F.col("wq")).alias("dot"))
-    scored = dots.join(nq.where("nq > 0"), "query_id").withColumn("score", F.round(F.col("dot") / (F.col("nd") * F.col("nq")), 6)).where("score > 0")
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
-    return scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "doc_id", "score", "rank")
+    postings, terms = spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/terms")
+    with Temporary() as temporary:
+        q = term_frequencies(queries.select("query_id", "text"), "query_id").join(terms, "term").withColumn("wq", F.col("tf") * F.col("idf"))
+        mine = Window.partitionBy("query_id")
+        q = q.withColumn("nq", F.sqrt(F.sum(F.col("wq") * F.col("wq")).over(mine))).where("nq > 0").withColumn("wq", F.col("wq") / F.col("nq"))
+        q = q.withColumn("bound", F.abs("wq") * F.col("top"))
+        q = q.select("query_id", "term", "blocks", "wq", "bound", F.row_number().over(mine.orderBy(F.desc("bound"), "term")).alias("nth"),
+                     F.sum("bound").over(mine.orderBy("bound", F.desc("term")).rowsBetween(Window.unboundedPreceding, 0)).alias("below"), F.sum("bound").over(mine).alias("whole"))
+        q = temporary.stored(q, "search-queries")
+
+        def sums(wanted: DataFrame) -> DataFrame:
+            return wanted.select("query_id", "wq", F.inline("posts")).groupBy("query_id", "doc_id").agg(F.sum(F.col("w") * F.col("wq")).alias("score"))
+
+        def limits(found: DataFrame) -> DataFrame:
+            """What a query's k-th document has at least; less than any score where it has fewer."""
+            nth = F.row_number().over(mine.orderBy(F.desc("score")))
+            by = found.withColumn("n", nth).where(F.col("n") <= k).groupBy("query_id").agg(F.count("*").alias("n"), F.min("score").alias("score"))
+            return by.select("query_id", F.when(F.col("n") >= k, F.col("score") - MARGIN).otherwise(-1.0).alias("limit"))
+
+        first = q.where(F.col("nth") <= SEEDS).select("query_id", "term", "wq").join(postings.select("term", "posts"), "term")
+        q = temporary.stored(q.join(limits(sums(first)), "query_id").withColumn("extra", F.col("below") < F.col("limit")), "search-limits")
+        searched = q.where("NOT extra").join(postings, "term").where(F.abs("wq") * F.col("top") + F.col("whole") - F.col("bound") >= F.col("limit"))
+        found = temporary.stored(sums(searched), "search-found")
+        # scores so far only grow, by no more than the terms left have together
+        rest = q.groupBy("query_id").agg(F.coalesce(F.max(F.when(F.col("extra"), F.col("below"))), F.lit(0.0)).alias("rest"))
+        found = found.join(limits(found), "query_id").join(rest, "query_id").where(F.col("score") + F.col("rest") >= F.col("limit"))
+        found = temporary.stored(found.select("query_id", "doc_id", "score"), "search-candidates")
+        probes = found.select("query_id", "doc_id").join(q.where("extra").select("query_id", "term", "wq", "blocks"), "query_id").withColumn("block", _block(F.col("doc_id"), F.col("blocks")))
+        probes = temporary.stored(probes, "search-probes")
+        held = postings.select("term", "block", "posts").join(probes.select("term", "block").distinct(), ["term", "block"], "left_semi").select("term", F.inline("posts"))
+        more = probes.select("query_id", "doc_id", "term", "wq").join(held, ["term", "doc_id"]).select("query_id", "doc_id", (F.col("w") * F.col("wq")).alias("score"))
+        scored = found.unionByName(more).groupBy("query_id", "doc_id").agg(F.round(F.sum("score"), 6).alias("score")).where("score > 0")
+        top = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
+        return stored(scored.withColumn("rank", F.row_number().over(top)).where(F.col("rank") <= k).select("query_id", "doc_id", "score", "rank"), "search-best")
+
+
+def tfidf_search(docs: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
+    """The best k documents of each query, by an index that is made for them and goes afterwards."""
+    path = stored_path(docs.sparkSession, "search-index")
+    write_search_index(docs, path)
+    try:
+        return search_index(docs.sparkSession, path, queries, k)
+    finally:
+        removed_path(docs.sparkSession, path)
 
 
 def text_classifier(train: DataFrame, text: str, label: str, terms: int = 20_000) -> PipelineModel:
