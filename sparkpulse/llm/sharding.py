@@ -14,7 +14,7 @@ from .common import written
 
 #: Bits of hash in use: 15 hexadecimal digits of an MD5 sum, which DuckDB and Spark compute alike.
 BITS = 60
-#: Bits settled in one round over the cells.
+#: Bits settled in one round over the cells, after the first.
 ROUND_BITS = 12
 #: Production limit of one shard, in bytes of text as UTF-8.
 SHARD_BYTES = 16 * 1024 * 1024
@@ -29,13 +29,15 @@ def hash_bits(key):
 def directory(sized: DataFrame, limit: int) -> DataFrame:
     """Leaves (depth, prefix, n_bytes) of the directory for rows (h, n_bytes).
 
-    A round sums bytes by cell (the next ROUND_BITS bits of the buckets still too large) and adds the cells up over
-    their shorter prefixes. A bucket exists where its parent was too large, and is a leaf where it fits itself.
+    A round sums bytes by cell and adds the cells up over their shorter prefixes. The first has twice as many cells as
+    there would be full buckets, so that they grow with the table; the others part what is still too large by its next
+    ROUND_BITS bits. A bucket exists where its parent was too large, and is a leaf where it fits itself.
     Buckets still too large after 60 bits hold equal hashes, which no bit can part: they stay whole.
     """
     leaves, depth, still = None, 0, None
+    whole = sized.agg(F.coalesce(F.sum("n_bytes"), F.lit(0))).first()[0]
+    top = min(max(-(-int(whole) // max(limit, 1)), 1).bit_length() + 1, BITS)
     while True:
-        top = min(depth + ROUND_BITS, BITS)
         rows = sized if still is None else sized.join(still, F.shiftright("h", BITS - depth) == F.col("open_prefix"), "left_semi")
         cells = rows.groupBy(F.shiftright("h", BITS - top).alias("cell")).agg(F.sum("n_bytes").alias("n_bytes"))
         levels = cells.select("n_bytes", "cell", F.explode(F.sequence(F.lit(depth), F.lit(top))).alias("depth"))
@@ -50,7 +52,7 @@ def directory(sized: DataFrame, limit: int) -> DataFrame:
         still = exists.where((F.col("depth") == top) & (F.col("n_bytes") > limit)).select(F.col("prefix").alias("open_prefix"))
         if top == BITS or still.isEmpty():
             return leaves
-        depth = top
+        depth, top = top, min(top + ROUND_BITS, BITS)
 
 
 def assign_shards(df: DataFrame, limit: int = SHARD_BYTES, key: str = "doc_id", text: str = "text") -> DataFrame:
