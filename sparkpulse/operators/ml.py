@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import score_band, share
-from ..sources.io import stored
+from ..sources.io import removed, stored
 from . import rolling
 from .anomaly import anomaly_scores, autoencoder, flag_anomalies, flag_errors, isolation_forest, reconstruction_errors  # noqa: F401
 from .quality import validate_and_clean
@@ -134,7 +134,7 @@ def ks_drift(reference: DataFrame, current: DataFrame, columns: Sequence[str], a
         return df.select(F.inline(pairs)).where("v IS NOT NULL").groupBy("feature", "v").agg(F.count("*").alias("n")).select("feature", "v", F.when(F.lit(side == 0), F.col("n")).otherwise(0).alias("r"), F.when(F.lit(side == 1), F.col("n")).otherwise(0).alias("c"))
 
     counts = melt(reference, 0).unionByName(melt(current, 1)).groupBy("feature", "v").agg(F.sum("r").alias("r"), F.sum("c").alias("c"))
-    dealt = counts.repartitionByRange("feature", "v").withColumn("_part", F.spark_partition_id()).cache()
+    dealt = stored(counts.repartitionByRange("feature", "v").withColumn("_part", F.spark_partition_id()), "drift-values")
     parts = dealt.groupBy("feature", "_part").agg(F.sum("r").alias("r"), F.sum("c").alias("c"))
     before = Window.partitionBy("feature").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy("feature")
@@ -147,7 +147,9 @@ def ks_drift(reference: DataFrame, current: DataFrame, columns: Sequence[str], a
     lam = (en + 0.12 + 0.11 / en) * F.col("d")
     series = F.aggregate(F.sequence(F.lit(1), F.lit(100)), F.lit(0.0), lambda a, k: a + 2.0 * F.when(k % 2 == 1, 1.0).otherwise(-1.0) * F.exp(-2.0 * k * k * F.col("_l") * F.col("_l")))
     p = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.when(F.col("_l") < 0.2, 1.0).otherwise(series)))
-    return by.withColumn("_l", lam).withColumn("p", p).select("feature", F.round("d", 4).alias("statistic"), F.round("p", 6).alias("p_value"), (F.col("p") < alpha).alias("drifted"))
+    out = stored(by.withColumn("_l", lam).withColumn("p", p).select("feature", F.round("d", 4).alias("statistic"), F.round("p", 6).alias("p_value"), (F.col("p") < alpha).alias("drifted")), "drift")
+    removed(dealt)
+    return out
 
 
 def drift_summary(drift: DataFrame, retrain_share: float = 0.3) -> DataFrame:

@@ -354,5 +354,10 @@ def top_n(df: DataFrame, by: str, n: int, ties: Sequence[str]) -> DataFrame:
     return df.orderBy(F.desc(by), *ties).limit(n)
 
 
+def first_n(df: DataFrame, n: int, order: Sequence[str]) -> DataFrame:
+    """The first rows in an order that tells all rows apart, so that a capped batch is the same on every run."""
+    return df.orderBy(*order).limit(n)
+
+
 def top_k_per_group(df: DataFrame, group: str, order: Sequence[Column], k: int) -> DataFrame:
     return df.withColumn("rank", F.row_number().over(Window.partitionBy(group).orderBy(*order))).where(F.col("rank") <= k)

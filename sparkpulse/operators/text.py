@@ -12,7 +12,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import map_lookup, once, rate, words
+from ..functions.columns import map_lookup, once, rate, risk_tier, words
 from ..sources.io import Temporary, removed_path, stored, stored_path
 
 #: Fixed values of the scoring rule: damping of a negated word, reach of a negation, marks' weight and bound, norm, label limit.
@@ -235,3 +235,18 @@ def classification_report(predicted: DataFrame, label: str, prediction: str = "p
     out = by.withColumns({"precision": p, "recall": r, "support": F.col("tp") + F.col("fn")})
     f1 = F.when(F.col("precision") + F.col("recall") > 0, 2 * F.col("precision") * F.col("recall") / (F.col("precision") + F.col("recall"))).otherwise(0.0)
     return out.select("class", "precision", "recall", f1.alias("f1"), "support")
+
+
+def entity_brief(market: DataFrame, news: DataFrame, key: str, price: str, ratio: str, score: str, metrics: Sequence[str], headline: str, order: str) -> DataFrame:
+    """Per entity of ``market``: key, price_text, news, metrics and tier; its headlines come from ``news``.
+
+    Keys are joined in capitals. Headlines are in the given order (then by themselves), joined by a bar; an entity without
+    any gets a sentence instead. ``metrics`` become one nested column. Entities without a key are left out; headlines of
+    unknown entities too. Headlines of one entity are one row's text, so their number must suit a text.
+    """
+    by = news.where(F.col(key).isNotNull() & F.col(headline).isNotNull()).groupBy(F.upper(key).alias("_key")).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(headline).alias("h")))).alias("_news"))
+    told = F.concat(F.upper(key), F.lit(" Current Price: $"), F.col(price).cast("string"), F.lit(" (P/E: "), F.coalesce(F.col(ratio).cast("string"), F.lit("n/a")), F.lit(")"))
+    joined = market.where(F.col(key).isNotNull()).join(by, F.upper(key) == F.col("_key"), "left")
+    return joined.select(
+        F.upper(key).alias(key), told.alias("price_text"), F.coalesce(F.array_join(F.transform("_news", lambda x: x["h"]), " | "), F.lit("No recent news available.")).alias("news"),
+        F.struct(*metrics).alias("metrics"), risk_tier(F.col(score)).alias("tier"))

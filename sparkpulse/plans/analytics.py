@@ -197,11 +197,15 @@ def text_classification(t):
     return rounded(text.classification_report(text.text_classifier(train, "text", "quality").transform(test), "quality"), "precision", "recall", "f1")
 
 
-@query("""SELECT p_brand, round(max(p_retailprice), 2) AS price, count(*) AS parts, array_to_string(list_sort(list(DISTINCT p_type)), ' | ') AS news, CASE WHEN max(p_size) >= 90 THEN 'HIGH' WHEN max(p_size) >= 50 THEN 'MODERATE' ELSE 'LOW' END AS tier FROM part GROUP BY ALL""")
+@query("""WITH m AS (SELECT p_brand, max(p_size) AS size, min(p_size) AS low, count(*) AS parts FROM part GROUP BY ALL),
+  n AS (SELECT p_brand, string_agg(p_type, ' | ' ORDER BY p_partkey, p_type) AS news FROM part WHERE p_size > 40 GROUP BY ALL)
+  SELECT upper(p_brand) AS p_brand, upper(p_brand) || ' Current Price: $' || size || ' (P/E: ' || parts || ')' AS price_text, coalesce(news, 'No recent news available.') AS news, low, parts,
+    CASE WHEN size >= 90 THEN 'HIGH' WHEN size >= 50 THEN 'MODERATE' ELSE 'LOW' END AS tier FROM m LEFT JOIN n USING (p_brand)""")
 def entity_brief(t):
-    from ..functions.columns import risk_tier
-
-    return t.part.groupBy("p_brand").agg(F.round(F.max("p_retailprice"), 2).alias("price"), F.count("*").alias("parts"), F.array_join(F.array_sort(F.collect_set("p_type")), " | ").alias("news"), risk_tier(F.max("p_size")).alias("tier"))
+    """Brands as entities, their larger parts as their news."""
+    market = t.part.groupBy("p_brand").agg(F.max("p_size").alias("size"), F.min("p_size").alias("low"), F.count("*").alias("parts"))
+    out = text.entity_brief(market, t.part.where("p_size > 40"), "p_brand", "size", "parts", "size", ["low", "parts"], "p_type", "p_partkey")
+    return out.select("p_brand", "price_text", "news", "metrics.*", "tier")
 
 
 # Forecasts: orders of each segment by month

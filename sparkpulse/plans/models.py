@@ -302,7 +302,7 @@ def churn(t) -> DataFrame:
 
 @query()
 def churn_classification(t):
-    rows = churn(t).cache()
+    rows = stored(churn(t), "churn")
     train, test = ml.hash_split(rows, "c_custkey", 0.25)
     model = ml.logistic_pipeline(["c_acctbal", "n", "mean_total"], ["c_mktsegment"], "left", train.count()).fit(train)
     return ml.binary_metrics(model.transform(test), F.col("prediction"), F.col("left"))
@@ -310,7 +310,7 @@ def churn_classification(t):
 
 @query()
 def churn_roc(t):
-    rows = churn(t).cache()
+    rows = stored(churn(t), "churn")
     train, test = ml.hash_split(rows, "c_custkey", 0.25)
     model = ml.logistic_pipeline(["c_acctbal", "n", "mean_total"], ["c_mktsegment"], "left", train.count()).fit(train)
     return rounded(ml.roc_points(ml.probability(model.transform(test)), "p", "left", 20), "tpr", "fpr", digits=6)
@@ -318,7 +318,7 @@ def churn_roc(t):
 
 @query()
 def churn_cross_validation(t):
-    rows = churn(t).cache()
+    rows = stored(churn(t), "churn")
     return rounded(ml.cross_validate_auc(rows, "c_custkey", ml.logistic_pipeline(["c_acctbal", "n", "mean_total"], ["c_mktsegment"], "left", rows.count()), "left", 3), "auc", "std", digits=6)
 
 

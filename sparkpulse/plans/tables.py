@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import risk_tier, score_band
-from ..operators import fairness, joins, medallion, quality
+from ..operators import fairness, joins, medallion, quality, rolling
 from ..sources.io import upsert
 from ..streaming import jobs
 from .registry import query
@@ -232,6 +232,18 @@ def validate_orders(t):
     return q.validate(t.orders, [q.not_null("o_orderkey"), q.between("o_totalprice", 1000, 400000), q.matches("o_orderstatus", "^[FO]$"), q.non_negative("o_totalprice"), q.unique("o_custkey"), q.exists("o_orderdate"), q.exists("currency")])
 
 
+@query("""SELECT success, checks, failed FROM (SELECT false AS success, 4 AS checks, (count(*) FILTER (o_orderkey IS NULL) > 0)::INT + (count(*) FILTER (NOT regexp_matches(o_orderstatus, '^[FO]$')) > 0)::INT + (count(*) FILTER (o_totalprice < 0) > 0)::INT + 1 AS failed FROM orders)""")
+def validation_verdict(t):
+    """The suite's one row; the last rule asks for a column that isn't there."""
+    q = quality
+    return q.overall(q.validate(t.orders, [q.not_null("o_orderkey"), q.matches("o_orderstatus", "^[FO]$"), q.non_negative("o_totalprice"), q.exists("currency")]))
+
+
+@query("SELECT o_orderkey, o_orderdate FROM orders ORDER BY o_orderdate, o_orderkey LIMIT 25")
+def first_orders(t):
+    return rolling.first_n(t.orders.select("o_orderkey", "o_orderdate"), 25, ["o_orderdate", "o_orderkey"])
+
+
 @query("""SELECT sensor, rows, nulls, round(mean, 6) AS mean, round(std, 6) AS std, low, high, out_of_bounds, (SELECT count(*) - count(DISTINCT (ts, user_id)) FROM events) AS repeated_keys FROM (
           SELECT 'value' AS sensor, count(*) AS rows, count(*) FILTER (value IS NULL) AS nulls, avg(value) AS mean, stddev_samp(value) AS std, min(value) AS low, max(value) AS high, count(*) FILTER (value NOT BETWEEN 5 AND 450) AS out_of_bounds FROM events
           UNION ALL SELECT 'user_id', count(*), count(*) FILTER (user_id IS NULL), avg(user_id), stddev_samp(user_id), min(user_id), max(user_id), count(*) FILTER (user_id NOT BETWEEN 10 AND 100) FROM events)""")

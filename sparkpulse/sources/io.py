@@ -78,6 +78,16 @@ def create_table_as(df: DataFrame, name: str, by: Sequence[str] = ()) -> None:
     (writer.partitionBy(*by) if by else writer).saveAsTable(name)
 
 
+def overwrite_table(df: DataFrame, name: str, by: Sequence[str] = ()) -> DataFrame:
+    """Replace a table by rows that may have been made from it, and read it back.
+
+    The rows are stored first, since a table can't be read while it is replaced.
+    """
+    with Temporary() as temporary:
+        create_table_as(temporary.stored(df, "overwrite"), name, by)
+    return df.sparkSession.table(name)
+
+
 def truncate_insert(df: DataFrame, target: str, keys: Sequence[str]) -> None:
     """Replace a table's rows; the surrogate key is a hash of the keys, so it is the same on every load."""
     full = df.withColumns({"surrogate_key": F.xxhash64(*keys), "created_at": F.current_timestamp()})
