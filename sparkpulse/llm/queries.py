@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import avi, bpe, decontam, html_extract, line_dedup, merkle, near_dedup, quality, runs, secret_scan, sharding, token_counts, warc
-from .common import scratch_path, table
+from .common import scratch_path, table, written
 
 
 #: Tasks that the copies of one text are dealt out over.
@@ -95,7 +95,9 @@ def op11_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op12_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     root = scratch_path(spark, "warc")
     warc.write_archive(table(spark, sf_dir, "pages").select("page_id", "url", "html"), root)
-    return warc.summary(warc.read_archive(spark, root))
+    found = written(warc.summary(warc.read_archive(spark, root)), "warc-records")
+    warc.delete_archive(spark, root)
+    return found
 
 
 def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -198,6 +198,11 @@ def write_archive(pages: DataFrame, root: str, key: str = "page_id", url: str =
     found_places(pages.sparkSession, root).write.mode("overwrite").parquet(f"{root}/index")
 
 
+def delete_archive(spark: SparkSession, root: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def bundles(spark: SparkSession, root: str, paths: Sequence[str] = ()) -> DataFrame:
     return spark.read.format("binaryFile").load(list(paths) or f"{root}/bundles").select("path", "content")
 
