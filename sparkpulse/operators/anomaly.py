@@ -178,8 +178,8 @@ def autoencoder(df: DataFrame, key: str, features: Features, hidden: int = 8, ep
 
     ``workers`` tasks (by default as many as cores, four at most) run together, each over its own rows: in every epoch a
     task steps through its rows in batches, then all exchange their weights and go on from the average, weighted by rows.
-    A task holds its rows in memory, so a larger table wants more workers, each of which needs a core at once; if one is
-    lost, all begin again. The weights are the same for the same number of workers, however the table is laid out.
+    A task holds its rows in memory, so a larger table wants more workers, each of which needs a core at once, without
+    dynamic allocation; if one is lost, all begin again. The weights are the same for the same number of workers, however the table is laid out.
     """
     rows = vectors(df, features, F.col(key).alias("_key"))
     length = rows.agg(F.max(F.size("_x"))).first()[0] or 0
