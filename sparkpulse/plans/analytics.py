@@ -180,16 +180,24 @@ PUNCT = r"""^[!"#$%&''()*+,\-./:;<=>?@\[\\\]^_`{|}~]+|[!"#$%&''()*+,\-./:;<=>?@\
 TERMS = rf"list_filter(list_transform(regexp_split_to_array(lower(text), '\s+'), lambda x: regexp_replace(x, '{PUNCT}', '', 'g')), lambda x: length(x) > 2)"
 
 
-@query(f"""WITH dt AS (SELECT doc_id, term, count(*) AS c FROM (SELECT doc_id, unnest({TERMS}) AS term FROM documents) GROUP BY ALL), qt AS (SELECT item_id, term, count(*) AS c FROM (SELECT item_id, unnest({TERMS}) AS term FROM benchmark) GROUP BY ALL),
+SEARCH = f"""WITH dt AS (SELECT doc_id, term, count(*) AS c FROM (SELECT doc_id, unnest({TERMS}) AS term FROM documents) GROUP BY ALL), qt AS (SELECT item_id, term, count(*) AS c FROM (SELECT item_id, unnest({TERMS}) AS term FROM benchmark) GROUP BY ALL),
   idf AS (SELECT term, ln((SELECT count(*) FROM documents) / (1 + count(*))) AS idf FROM dt GROUP BY ALL),
   d AS (SELECT doc_id, term, c / max(c) OVER (PARTITION BY doc_id) * idf AS w FROM dt JOIN idf USING (term)), q AS (SELECT item_id, term, c / max(c) OVER (PARTITION BY item_id) * idf AS w FROM qt LEFT JOIN idf USING (term)),
   nd AS (SELECT doc_id, sqrt(sum(w * w)) AS n FROM d GROUP BY ALL), nq AS (SELECT item_id, sqrt(sum(w * w)) AS n FROM q GROUP BY ALL),
   sc AS (SELECT item_id AS query_id, doc_id, round(sum(d.w * q.w) / (any_value(nd.n) * any_value(nq.n)), 6) AS score FROM d JOIN q USING (term) JOIN nd USING (doc_id) JOIN nq USING (item_id) GROUP BY ALL)
-  SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM sc WHERE score > 0 QUALIFY rank <= 5""")
+  SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM sc WHERE score > 0 QUALIFY rank <= 5"""
+
+
+@query(SEARCH)
 def tfidf_search(t):
     return text.tfidf_search(t.documents.select("doc_id", "text"), t.benchmark.select(F.col("item_id").alias("query_id"), "text"))
 
 
+@query(SEARCH)
+def indexed_search(t):
+    return text.indexed_search(t.documents.select("doc_id", "text"), t.benchmark.select(F.col("item_id").alias("query_id"), "text"))
+
+
 @query()
 def text_classification(t):
     rows = t.documents.select("doc_id", "text").join(t.labels.where("quality IS NOT NULL"), "doc_id").select("doc_id", "text", F.col("quality").cast("double").alias("quality"))

@@ -59,4 +59,4 @@ def test_an_empty_index_and_no_queries(spark, tmp_path):
     queries = docs.withColumnRenamed("doc_id", "query_id")
     text.write_search_index(docs.where("1 = 0"), str(tmp_path))
     assert text.search_index(spark, str(tmp_path), queries).count() == 0
-    assert text.tfidf_search(docs, queries.where("1 = 0")).count() == 0
+    assert text.indexed_search(docs, queries.where("1 = 0")).count() == text.tfidf_search(docs, queries.where("1 = 0")).count() == 0
