@@ -1,6 +1,7 @@
 """Corpus operators against brute force, exact round trips and held-out accuracy, with odd rows of every sort."""
 
 import hashlib
+import itertools
 import os
 import re
 import shutil
@@ -133,6 +134,67 @@ def test_repeated_passages_of_50_words_go_wherever_they_stand(spark):
     assert all(got[d] == t for d, t in firsts.items()) and all(got[d] == f"{a} {b}" for d, (a, b) in frames.items())
 
 
+def walked_lines(rows: list[tuple[int, str]]) -> dict[int, str]:
+    """Texts without the lines of every two lines with text in a row that an earlier place holds."""
+    seen, out = set(), {}
+    for doc, text in sorted(rows):
+        lines = text.split("\n")
+        held = [i for i, x in enumerate(lines) if x.strip()]
+        gone: set = set()
+        for i, j in zip(held, held[1:], strict=False):
+            block = "\n".join(lines[i : j + 1])
+            if block in seen:
+                gone |= set(range(i, j + 1))
+            seen.add(block)
+        out[doc] = "".join(x for i, x in enumerate(text.splitlines(keepends=True)) if i not in gone)
+    return out
+
+
+def test_lines_agree_with_a_walk_over_pairs_of_lines(spark):
+    rng = np.random.default_rng(11)
+    new = itertools.count()
+    pool = [[f"k{next(new)} {w}." for w in rng.choice(["ad", "le", "zap", "yes"], n)] for n in rng.integers(1, 6, 25)]
+    rows = []
+    for doc in range(80):
+        lines: list = []
+        for _ in range(int(rng.integers(0, 5))):
+            lines += [f"own{next(new)} words{next(new)}"] + [""] * int(rng.integers(0, 2)) + pool[rng.integers(0, len(pool))]
+        rows.append((doc, "\n".join([*lines, "end" + str(doc)])))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
+    got = {r.doc_id: r.text for r in line_dedup.dedup_lines(df, passage_chars=10**9).collect()}
+    want = walked_lines(rows)
+    assert got == want and sum(got[d] != t for d, t in rows) > 40
+
+
+def test_blocks_of_two_lines_and_more_go_from_unlike_texts(spark):
+    rng = np.random.default_rng(12)
+    prose = lambda n: " ".join(f"w{x}" for x in rng.integers(0, 30_000, n))
+    line = {"words": lambda: prose(rng.integers(4, 9)), "short": lambda: f"a{rng.integers(0, 10**6)}", "chinese": lambda: "".join(chr(0x4E00 + x) for x in rng.integers(0, 2000, 30))}
+    rows, plain, doc = [], {}, itertools.count()
+    for kind, make in line.items():
+        for size in (2, 3, 4, 6, 8, 12):
+            for _ in range(6):
+                block = "\n".join(make() for _ in range(size))
+                for k in range(3):
+                    a, b, i = prose(20), prose(20), next(doc)
+                    rows.append((i, f"{a}\n{block}\n{b}"))
+                    plain[i] = f"{a}\n{b}" if k else rows[-1][1]
+    got = {r.doc_id: r.text for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == plain
+
+
+def test_parts_of_lines_go_from_the_characters_asked_for(spark):
+    passage = " ".join(f"w{x}e" for x in range(30))
+    rows = [(1, f"Unlike begin. {passage} so it goes"), (2, f"Other start! {passage} then more")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert [r.text for r in line_dedup.dedup_lines(df, passage_chars=200).orderBy("doc_id").collect()] == [t for _, t in rows]
+    assert line_dedup.dedup_lines(df, passage_chars=100).where("doc_id = 2").first().text == "Other start! then more"
+    odd = spark.createDataFrame([(1, "\n\n\n"), (2, "\n\n\n"), (3, " \n\t\n"), (None, "a\nb\n"), (5, "a\nb"), (6, "x\r\ny\r\n"), (7, "x\r\ny\r\n"), (8, "p\nq " + "w " * 60_000), (9, "p\nq\n" + "v " * 60_000)], "doc_id long, text string")
+    got = {r.doc_id: r.text for r in line_dedup.dedup_lines(odd).collect()}
+    assert got[None] == "a\nb\n" and got[5] == got[7] == "" and got[6] == "x\r\ny\r\n" and [got[k] for k in (1, 2, 3)] == ["\n\n\n", "\n\n\n", " \n\t\n"]
+    assert got[9].startswith("p\nq\n")
+
+
 # 3
 
 
