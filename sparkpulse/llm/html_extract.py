@@ -13,9 +13,12 @@ from __future__ import annotations
 
 import html as entities
 import json
+import math
 import re
 import zlib
+from itertools import islice
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -25,8 +28,10 @@ from .common import written
 #: Least pages of different main text of a host, layout or section, and the share of them on which a text must stay the same.
 LEAST_PAGES = 4
 CONSTANT_SHARE = 0.8
-#: Share of a node's words in links from which it is a menu, and nodes of an outline beyond which a page goes without a template.
-LINKED_SHARE, MOST_NODES = 0.8, 2_000
+#: Share of a node's words in links from which it is a menu.
+LINKED_SHARE = 0.8
+#: Scores of pairs of subtrees, and of one subtree with all of a level, that are remembered while two trees are matched.
+SCORES, GAINS = 1_000_000, 64
 #: Rows of decisions, of about 200 bytes each, that are sent to all executors; more of them are joined by shuffles.
 BROADCAST_ROWS = 200_000
 #: Trees are kept flat below this depth.
@@ -114,36 +119,95 @@ def fact(text: str) -> int:
 def simple_tree_matching(a: list, b: list) -> tuple[int, list]:
     """Score and aligned pairs of nodes of two trees [label, children].
 
-    As in the classic algorithm, roots must be alike and children match in order, by dynamic programming.
+    As in the classic algorithm, roots must be alike and children match in order, by dynamic programming. Subtrees of
+    one shape are scored once, a row of scores at a time; of the rows every sqrt(n)-th is kept and those between are
+    made again on the way back, so that wide trees need little memory.
     """
-    if a[0] != b[0]:
-        return 0, []
-    x, y = a[1], b[1]
-    pairs = [(a, b)]
-    if not x or not y:
-        return 1, pairs
-    best = [[(0, None)] * (len(y) + 1) for _ in range(len(x) + 1)]
-    kept = {}
-    for i in range(1, len(x) + 1):
-        for j in range(1, len(y) + 1):
-            up, left = best[i - 1][j][0], best[i][j - 1][0]
-            score, inner = simple_tree_matching(x[i - 1], y[j - 1]) if x[i - 1][0] == y[j - 1][0] else (0, None)
-            both = best[i - 1][j - 1][0] + score
-            if score and both > max(up, left):
-                best[i][j], kept[i, j] = (both, "d"), inner
+    numbers: dict[tuple, int] = {}
+    labels, children, sizes, shape = [], [], [], {}
+
+    def look(node: list) -> int:
+        below = [look(c) for c in node[1]]
+        k = shape[id(node)] = numbers.setdefault((node[0], *below), len(numbers))
+        if k == len(labels):
+            labels.append(node[0])
+            children.append(below)
+            sizes.append(1 + sum(sizes[c] for c in below))
+        return k
+
+    scores: dict[tuple[int, int], int] = {}
+
+    def score(p: int, q: int) -> int:
+        if labels[p] != labels[q]:
+            return 0
+        if p == q:
+            return sizes[p]
+        if not children[p] or not children[q]:
+            return 1
+        if (p, q) not in scores:
+            if len(scores) >= SCORES:
+                scores.clear()
+            for row in rows(p, q):  # noqa: B007  the last one counts
+                pass
+            scores[p, q] = 1 + int(row[-1])
+        return scores[p, q]
+
+    def rows(p: int, q: int, start: int = 0, above=None):
+        """The best scores of p's children up to each one, from ``start`` on, with each number of q's first children."""
+        if len(children[q]) < 32:  # plain numbers are quicker than short arrays
+            above = [0] * (len(children[q]) + 1) if above is None else above
+            for c in children[p][start:]:
+                row = [0]
+                for j, k in enumerate(children[q]):
+                    row.append(max(above[j + 1], row[j], above[j] + score(c, k)))
+                above = row
+                yield above
+            return
+        kinds, where = np.unique(children[q], return_inverse=True)
+        above = np.array([0] * (len(where) + 1) if above is None else above)
+        gains: dict = {}
+        for c in children[p][start:]:
+            gain = gains.get(c)
+            if gain is None:
+                gain = np.array([score(c, k) for k in kinds.tolist()], np.int64)[where]
+                if len(gains) < GAINS:
+                    gains[c] = gain
+            above = np.maximum.accumulate(np.maximum(above, np.concatenate([[0], above[:-1] + gain])))
+            yield above
+
+    def matches(p: int, q: int) -> list[tuple[int, int]]:
+        """Which children match, the last first."""
+        i, j = len(children[p]), len(children[q])
+        if p == q:
+            return [(k, k) for k in range(i - 1, -1, -1)]
+        if not i or not j:
+            return []
+        step = math.isqrt(i) + 1
+        marks = [[0] * (j + 1), *(row for k, row in enumerate(rows(p, q), 1) if k % step == 0)]
+        out, low, block = [], i, []
+        while i and j:
+            if i <= low:
+                low = (i - 1) // step * step
+                block = [marks[low // step], *islice(rows(p, q, low, marks[low // step]), step)]
+            up, left, here = block[i - 1 - low][j], block[i - low][j - 1], block[i - low][j]
+            if here > max(up, left):
+                i, j = i - 1, j - 1
+                out.append((i, j))
+            elif up >= left:
+                i -= 1
             else:
-                best[i][j] = (up, "u") if up >= left else (left, "l")
-    i, j = len(x), len(y)
-    while i and j:
-        step = best[i][j][1]
-        if step == "d":
-            pairs += kept[i, j]
-            i, j = i - 1, j - 1
-        elif step == "u":
-            i -= 1
-        else:
-            j -= 1
-    return 1 + best[len(x)][len(y)][0], pairs
+                j -= 1
+        return out
+
+    p, q = look(a), look(b)
+    if labels[p] != labels[q]:
+        return 0, []
+    pairs, waiting = [], [(a, b)]
+    while waiting:
+        x, y = waiting.pop()
+        pairs.append((x, y))
+        waiting += [(x[1][i], y[1][j]) for i, j in reversed(matches(shape[id(x)], shape[id(y)]))]
+    return score(p, q), pairs
 
 
 def is_node(node: Node) -> bool:
@@ -346,8 +410,7 @@ def in_pieces(pages: DataFrame) -> DataFrame:
                 if n and slot in page.kept:
                     old = behaviour.get(slot, (0, 0, 0))
                     behaviour[slot] = (old[0] + words, old[1] + linked, zlib.crc32(squeezed(text).encode("utf-8", "replace"), old[2]))
-            tree = json.dumps(page.tree) if len(numbered(page.tree)) <= MOST_NODES else ""
-            rows.append((page.layout, tree, [x[0] for x in page.pieces], [x[1] for x in page.pieces], [x[2] for x in page.pieces],
+            rows.append((page.layout, json.dumps(page.tree), [x[0] for x in page.pieces], [x[1] for x in page.pieces], [x[2] for x in page.pieces],
                          [n for _, slot, n, _, _ in page.pieces if n and slot in page.kept], sorted(page.kept), sorted(page.inside),
                          [{"slot": k, "words": w, "linked": m, "print": h} for k, (w, m, h) in behaviour.items()]))
         return pd.DataFrame(rows, columns=names)
@@ -369,7 +432,7 @@ def decisions(found: DataFrame, once: DataFrame) -> DataFrame:
 
     All pages choose the template, and all main texts judge its nodes; only outlines and sums by node are joined.
     """
-    shapes = written(found.where("host <> '' AND outline <> ''").groupBy("host", "shape").agg(F.count("*").alias("pages"), F.min("outline").alias("outline")), "page-shapes")
+    shapes = written(found.where("host <> ''").groupBy("host", "shape").agg(F.count("*").alias("pages"), F.min("outline").alias("outline")), "page-shapes")
     base = shapes.groupBy("host").agg(F.max(F.struct("pages", "shape", "outline")).getField("outline").alias("base"))
 
     def align(outlines: pd.Series, bases: pd.Series) -> pd.Series:
@@ -411,8 +474,7 @@ def extract_main_text(pages: DataFrame, with_template: bool = True) -> DataFrame
     """Rows (page_id, url, text, n_chars), one for each page.
 
     Null html gives an empty text; pages without a host, and hosts of fewer than LEAST_PAGES different pages, go
-    without a template, and so do pages of more than MOST_NODES blocks. ``with_template`` False withholds it from
-    all. Repeated rows give repeated results, further columns are left out, an empty table gives none.
+    without a template. ``with_template`` False withholds it from all. Repeated rows give repeated results, further columns are left out, an empty table gives none.
     """
     found = written(in_pieces(pages), "page-pieces")
     joined = found

@@ -2,10 +2,12 @@
 
 import hashlib
 import itertools
+import json
 import os
 import re
 import shutil
 import time
+import tracemalloc
 import zlib
 from collections import Counter
 from itertools import combinations
@@ -308,6 +310,25 @@ def test_tree_matching_agrees_with_trying_all():
         assert score == best(a, b) == len(pairs) and all(p[0] == q[0] for p, q in pairs)
 
 
+@pytest.mark.parametrize("n", [5, 1100])
+def test_html_templates_decide_for_pages_of_any_size(spark, n):
+    menu = lambda i: f"<div class=box><p><a href=x>Entry {i}</a> <a href=y>Topic {i}</a></p></div>"
+    story = [" ".join(f"Head {i} {k} Body {i} {k}" for k in range(n)) for i in range(6)]
+    rows = [(i, f"http://long.example/{i}", menu(i) + "<div class=box>" * (i % 2) + "".join(f"<h2>Head {i} {k}</h2><p>Body {i} {k}</p>" for k in range(n))) for i in range(6)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert {r.page_id: r.text for r in html_extract.extract_main_text(df).collect()} == dict(enumerate(story))
+
+
+def test_wide_trees_match_in_little_memory():
+    wide = ["r", [[c, [["x", []]] * (k % 3)] for k in range(2000) for c in ("h", "p")]]
+    other = ["r", [["nav", []], *wide[1][:1500], ["ad", []], *wide[1][1510:]]]
+    tracemalloc.start()
+    score, pairs = html_extract.simple_tree_matching(json.loads(json.dumps(wide)), json.loads(json.dumps(other)))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert score == len(pairs) == sum(1 + len(c[1]) for c in [*wide[1][:1500], *wide[1][1510:]]) + 1 and peak < 30_000_000
+
+
 def test_html_templates_decide_without_articles(spark):
     rng = np.random.default_rng(2)
     prose = lambda n: " ".join(f"w{x}" for x in rng.integers(0, 5000, n))
