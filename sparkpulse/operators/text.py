@@ -107,6 +107,9 @@ def topic_weights_by(docs: DataFrame, group: str) -> DataFrame:
 PUNCTUATION = r"""!"#$%&'()*+,-./:;<=>?@[\]^_`{|}~"""
 #: Documents in one block of a term's postings, about; terms that first tell how good a query's best documents are.
 BLOCK, SEEDS = 1024, 4
+#: Characters of text whose terms are dealt to one task, the share of texts (one in so many) from which a term is common,
+#: and rows of queries' terms that are sent to all executors.
+DEALT, COMMON, BROADCAST_ROWS = 8_000_000, 256, 200_000
 #: What sums in another order may differ by.
 MARGIN = 1e-9
 
@@ -117,12 +120,24 @@ def search_terms(text: Column) -> Column:
     return F.filter(stripped, lambda x: F.length(x) > 2)
 
 
-def term_frequencies(df: DataFrame, key: str) -> DataFrame:
-    """Rows (key, term, tf): a term's count over the largest count in the text. Texts are dealt out by key once."""
-    counts = df.repartition(key).select(key, F.explode(search_terms(F.col("text"))).alias("term")).groupBy(key, "term").agg(F.count("*").alias("c"))
+def text_parts(df: DataFrame) -> int:
+    """Tasks among which the terms of the texts are dealt out, so that none gets more as the table grows."""
+    return 1 + int(df.agg(F.sum(F.length("text").cast("long"))).first()[0] or 0) // DEALT
+
+
+def term_frequencies(df: DataFrame, key: str, parts: int) -> DataFrame:
+    """Rows (key, term, tf): a term's count over the largest count in the text. Texts are dealt out by key once, to ``parts`` tasks."""
+    counts = df.repartition(parts, key).select(key, F.explode(search_terms(F.col("text"))).alias("term")).groupBy(key, "term").agg(F.count("*").alias("c"))
     return counts.select(key, "term", (F.col("c") / F.max("c").over(Window.partitionBy(key))).alias("tf"))
 
 
+def with_terms(tf: DataFrame, terms: DataFrame, n: int, parts: int) -> DataFrame:
+    """Rows of ``tf`` with the columns of their term. Terms in more than one in COMMON of n texts, of which there are at most COMMON times as many as a text has, go to all tasks; so no term of those that are joined by it is a large key."""
+    common, rare = F.broadcast(terms.where(F.col("df") * COMMON > n)), terms.where(F.col("df") * COMMON <= n)
+    others = tf.join(common.select("term"), "term", "left_anti").repartition(parts, "term").join(rare.hint("merge"), "term")
+    return tf.join(common, "term").unionByName(others)
+
+
 def _block(doc: Column, blocks: Column) -> Column:
     return F.pmod(F.xxhash64(doc), blocks).cast("int")
 
@@ -136,20 +151,19 @@ def write_search_index(docs: DataFrame, path: str, block: int = BLOCK) -> None:
     them in the order of terms. ``terms`` has idf, the number of blocks and the largest weight of each term. Null texts have no
     terms; documents of norm 0 are left out.
     """
-    spark = docs.sparkSession
+    spark, parts = docs.sparkSession, text_parts(docs)
     with Temporary() as temporary:
-        tf = temporary.stored(term_frequencies(docs, "doc_id"), "search-terms")
+        tf = temporary.stored(term_frequencies(docs, "doc_id", parts), "search-terms")
         n = docs.count()
         idf = F.log(F.lit(n) / (1 + F.col("df")))
-        terms = temporary.stored(tf.groupBy("term").agg(F.count("*").alias("df")).select("term", idf.alias("idf"), F.ceil(F.col("df") / block).cast("int").alias("blocks")), "search-idf")
-        weighed = tf.join(terms, "term").select("doc_id", "term", "blocks", (F.col("tf") * F.col("idf")).alias("w"))
-        # a document's terms are together already, in one row while its norm is taken
-        by = weighed.groupBy("doc_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"), F.collect_list(F.struct("term", "blocks", "w")).alias("terms")).where("norm > 0")
-        posts = by.select("doc_id", "norm", F.inline("terms")).select("term", _block(F.col("doc_id"), F.col("blocks")).alias("block"), F.struct("doc_id", (F.col("w") / F.col("norm")).alias("w")).alias("post"))
-        blocks = posts.groupBy("term", "block").agg(F.collect_list("post").alias("posts"), F.max(F.abs("post.w")).alias("top"))
+        terms = temporary.stored(tf.groupBy("term").agg(F.count("*").alias("df")).select("term", "df", idf.alias("idf"), F.ceil(F.col("df") / block).cast("int").alias("blocks")), "search-idf")
+        weighed = temporary.stored(with_terms(tf, terms, n, parts).select("doc_id", "term", "blocks", (F.col("tf") * F.col("idf")).alias("w")).repartition(parts, "doc_id"), "search-weights")
+        norms = weighed.groupBy("doc_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm")).where("norm > 0")
+        posts = weighed.join(norms, "doc_id").select("term", _block(F.col("doc_id"), F.col("blocks")).alias("block"), F.struct("doc_id", (F.col("w") / F.col("norm")).alias("w")).alias("post"))
+        blocks = posts.repartition(parts, "term", "block").groupBy("term", "block").agg(F.collect_list("post").alias("posts"), F.max(F.abs("post.w")).alias("top"))
         blocks.sortWithinPartitions("term", "block").write.mode("overwrite").parquet(f"{path}/postings")
         tops = spark.read.parquet(f"{path}/postings").groupBy("term").agg(F.max("top").alias("top"))
-        terms.join(tops, "term").write.mode("overwrite").parquet(f"{path}/terms")
+        terms.drop("df").join(tops, "term").write.mode("overwrite").parquet(f"{path}/terms")
 
 
 def search_index(spark: SparkSession, path: str, queries: DataFrame, k: int = 5) -> DataFrame:
@@ -162,7 +176,7 @@ def search_index(spark: SparkSession, path: str, queries: DataFrame, k: int = 5)
     """
     postings, terms = spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/terms")
     with Temporary() as temporary:
-        q = term_frequencies(queries.select("query_id", "text"), "query_id").join(terms, "term").withColumn("wq", F.col("tf") * F.col("idf"))
+        q = term_frequencies(queries.select("query_id", "text"), "query_id", text_parts(queries)).join(terms, "term").withColumn("wq", F.col("tf") * F.col("idf"))
         mine = Window.partitionBy("query_id")
         q = q.withColumn("nq", F.sqrt(F.sum(F.col("wq") * F.col("wq")).over(mine))).where("nq > 0").withColumn("wq", F.col("wq") / F.col("nq"))
         q = q.withColumn("bound", F.abs("wq") * F.col("top"))
@@ -197,25 +211,30 @@ def search_index(spark: SparkSession, path: str, queries: DataFrame, k: int = 5)
 
 
 def tfidf_search(docs: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
-    """``search_index`` for queries that come once: all scores in one plan, which is quicker than to write an index first.
+    """``search_index`` for queries that come once, without an index.
 
-    A document's norm and those of its terms that a query holds come from one aggregation, so that only these terms are
-    dealt out again to meet the queries.
+    A document's norm and those of its terms that a query holds come from one aggregation by document, and where the
+    queries' terms go to all executors its scores are summed where it is; only the best of each task are dealt out by query.
     """
-    in_docs, in_queries = term_frequencies(docs, "doc_id"), term_frequencies(queries, "query_id")
-    n = docs.agg(F.count("*").alias("n"))
-    asked = in_queries.select("term").distinct().withColumn("asked", F.lit(True))
-    df = in_docs.groupBy("term").agg(F.count("*").alias("df"))
-    idf = df.crossJoin(F.broadcast(n)).join(asked, "term", "left").select("term", "asked", F.log(F.col("n") / (1 + F.col("df"))).alias("idf"))  # n is one row
-    weight = F.col("tf") * F.col("idf")
-    q = in_queries.join(idf, "term").select("query_id", "term", weight.alias("wq"))
-    nq = q.groupBy("query_id").agg(F.sqrt(F.sum(F.col("wq") * F.col("wq"))).alias("nq"))
-    d = in_docs.join(idf, "term").groupBy("doc_id").agg(F.sqrt(F.sum(weight * weight)).alias("nd"), F.collect_list(F.when(F.col("asked"), F.struct("term", weight.alias("wd")))).alias("terms"))
-    held = d.where("nd > 0").select("doc_id", "nd", F.inline("terms"))
-    dots = held.join(q, "term").groupBy("query_id", "doc_id", "nd").agg(F.sum(F.col("wd") * F.col("wq")).alias("dot"))
-    scored = dots.join(nq.where("nq > 0"), "query_id").withColumn("score", F.round(F.col("dot") / (F.col("nd") * F.col("nq")), 6)).where("score > 0")
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
-    return scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "doc_id", "score", "rank")
+    parts, n = text_parts(docs), docs.count()
+    with Temporary() as temporary:
+        in_docs = temporary.stored(term_frequencies(docs, "doc_id", parts), "search-terms")
+        in_queries = temporary.stored(term_frequencies(queries, "query_id", text_parts(queries)), "search-asked")
+        asked = in_queries.select("term").distinct().withColumn("asked", F.lit(True))
+        df = in_docs.groupBy("term").agg(F.count("*").alias("df"))
+        terms = temporary.stored(df.join(asked, "term", "left").select("term", "df", "asked", F.log(F.lit(n) / (1 + F.col("df"))).alias("idf")), "search-idf")
+        weight = F.col("tf") * F.col("idf")
+        q = in_queries.join(terms.where("asked"), "term").select("query_id", "term", weight.alias("wq"))
+        nq = q.groupBy("query_id").agg(F.sqrt(F.sum(F.col("wq") * F.col("wq"))).alias("nq")).where("nq > 0")
+        q = temporary.stored(q.join(nq, "query_id"), "search-queries")
+        weighed = with_terms(in_docs, terms, n, parts).select("doc_id", "term", "asked", weight.alias("w")).repartition(parts, "doc_id")
+        d = weighed.groupBy("doc_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("nd"), F.collect_list(F.when(F.col("asked"), F.struct("term", F.col("w").alias("wd")))).alias("terms"))
+        held = d.where("nd > 0").select("doc_id", "nd", F.inline("terms"))
+        few = q.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+        dots = (held.join(F.broadcast(q), "term") if few else held.repartition(parts, "term").join(q, "term")).groupBy("query_id", "doc_id", "nd", "nq").agg(F.sum(F.col("wd") * F.col("wq")).alias("dot"))
+        scored = dots.withColumn("score", F.round(F.col("dot") / (F.col("nd") * F.col("nq")), 6)).where("score > 0")
+        best = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
+        return stored(scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "doc_id", "score", "rank"), "search-best")
 
 
 def indexed_search(docs: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
