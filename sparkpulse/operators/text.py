@@ -157,9 +157,9 @@ def write_search_index(docs: DataFrame, path: str, block: int = BLOCK) -> None:
         n = docs.count()
         idf = F.log(F.lit(n) / (1 + F.col("df")))
         terms = temporary.stored(tf.groupBy("term").agg(F.count("*").alias("df")).select("term", "df", idf.alias("idf"), F.ceil(F.col("df") / block).cast("int").alias("blocks")), "search-idf")
-        weighed = temporary.stored(with_terms(tf, terms, n, parts).select("doc_id", "term", "blocks", (F.col("tf") * F.col("idf")).alias("w")).repartition(parts, "doc_id"), "search-weights")
-        norms = weighed.groupBy("doc_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm")).where("norm > 0")
-        posts = weighed.join(norms, "doc_id").select("term", _block(F.col("doc_id"), F.col("blocks")).alias("block"), F.struct("doc_id", (F.col("w") / F.col("norm")).alias("w")).alias("post"))
+        weighed = with_terms(tf, terms, n, parts).select("doc_id", "term", "blocks", (F.col("tf") * F.col("idf")).alias("w")).repartition(parts, "doc_id")
+        normed = weighed.withColumn("norm", F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("doc_id")))).where("norm > 0")
+        posts = normed.select("term", _block(F.col("doc_id"), F.col("blocks")).alias("block"), F.struct("doc_id", (F.col("w") / F.col("norm")).alias("w")).alias("post"))
         blocks = posts.repartition(parts, "term", "block").groupBy("term", "block").agg(F.collect_list("post").alias("posts"), F.max(F.abs("post.w")).alias("top"))
         blocks.sortWithinPartitions("term", "block").write.mode("overwrite").parquet(f"{path}/postings")
         tops = spark.read.parquet(f"{path}/postings").groupBy("term").agg(F.max("top").alias("top"))

@@ -54,6 +54,20 @@ def test_agrees_with_all_scores_though_a_term_is_in_all_texts(spark, tmp_path, b
     assert sum(sizes) == 301 and (len(sizes) > 10 and max(sizes) < 3 * block if block == 16 else len(sizes) == 1)
 
 
+def test_tasks_grow_with_the_texts(spark, tmp_path, monkeypatch):
+    """With more text than one task gets, terms and postings go to more tasks than the session's number of shuffle partitions."""
+    monkeypatch.setattr(text, "DEALT", 2000, raising=False)
+    monkeypatch.setattr(text, "COMMON", 4, raising=False)
+    docs, queries = corpus(150, 5), corpus(8, 6)
+    d, q = (spark.createDataFrame(x, f"{name} long, text string") for x, name in ((docs, "doc_id"), (queries, "query_id")))
+    text.write_search_index(d, str(tmp_path))
+    assert len(spark.read.parquet(f"{tmp_path}/postings").inputFiles()) > 8 > int(spark.conf.get("spark.sql.shuffle.partitions"))
+    want = all_scores(docs, queries, 5)
+    for found in (text.search_index(spark, str(tmp_path), q, 5), text.tfidf_search(d, q, 5)):
+        got = {(r.query_id, r.rank): r.score for r in found.collect()}
+        assert got.keys() == want.keys() and all(abs(got[at] - want[at][1]) < 2e-6 for at in want)
+
+
 def test_an_empty_index_and_no_queries(spark, tmp_path):
     docs = spark.createDataFrame([(1, "some words here")], "doc_id long, text string")
     queries = docs.withColumnRenamed("doc_id", "query_id")
