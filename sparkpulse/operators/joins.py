@@ -11,6 +11,8 @@ from ..sources.io import Temporary, stored
 
 #: Spots of drivers that a cell may hold unsplit, and how often a cell is split into 16 at most.
 CROWD, DEEPEST = 64, 10
+#: Places with their nearest spots that are sent to all executors.
+BROADCAST_ROWS = 200_000
 
 
 def attribute_revenue(ads: DataFrame, orders: DataFrame, user: str, ad_ts: str, order_ts: str, amount: str, campaign: str) -> DataFrame:
@@ -77,17 +79,19 @@ def nearest_available(orders: DataFrame, drivers: DataFrame, crowd: int = CROWD)
 
     Orders go down a quadtree over the drivers' spots, of which only crowded cells are split, all a level at a time. An
     order keeps the cells that may hold its nearest spot: those no farther than the far corner of some other. So a far
-    order meets few cells of a city and few of its drivers, and there are as many rounds as levels, DEEPEST at most. Of
+    order meets few cells of a city and few of its drivers, and there are as many rounds as levels, DEEPEST at most.
+    Orders at one place go down as one. Of
     drivers at one spot only the least id counts. Orders and drivers without a place are left out; without drivers the
     result is empty; repeated orders give one row.
     """
-    todo = orders.where("lat IS NOT NULL AND lon IS NOT NULL").select("order_id", F.col("lat").cast("double").alias("lat"), F.col("lon").cast("double").alias("lon"))
+    every = orders.where("lat IS NOT NULL AND lon IS NOT NULL").select("order_id", (F.col("lat").cast("double") + 0.0).alias("lat"), (F.col("lon").cast("double") + 0.0).alias("lon"))
     known = drivers.where("lat IS NOT NULL AND lon IS NOT NULL")
     with Temporary() as temporary:
         idle = temporary.stored(known.groupBy(F.col("lat").cast("double").alias("d_lat"), F.col("lon").cast("double").alias("d_lon")).agg(F.min("driver_id").alias("driver_id")), "drivers")
         if idle.isEmpty():
-            return todo.select("order_id", F.lit(None).cast(drivers.schema["driver_id"].dataType).alias("driver_id"), F.lit(None).cast("double").alias("distance")).limit(0)
+            return every.select("order_id", F.lit(None).cast(drivers.schema["driver_id"].dataType).alias("driver_id"), F.lit(None).cast("double").alias("distance")).limit(0)
         nodes, spots = quadtree(idle, crowd, temporary)
+        todo = temporary.stored(every.groupBy("lat", "lon").agg(F.min("order_id").alias("order_id")), "places")
         cell = ["level", "x", "y", "inner", "low_lat", "high_lat", "low_lon", "high_lon"]
         root = F.array(F.struct(*cell)).alias("cells")
         state = temporary.stored(todo.crossJoin(F.broadcast(nodes.where("level = 0").select(root))), "orders-0")  # one row
@@ -106,8 +110,11 @@ def nearest_available(orders: DataFrame, drivers: DataFrame, crowd: int = CROWD)
                 break
         near = ready.select("order_id", "lat", "lon", F.explode("cells").alias("c")).select("order_id", "lat", "lon", "c.level", "c.x", "c.y").join(spots, ["level", "x", "y"])
         distance = F.sqrt(F.pow(F.col("lat") - F.col("d_lat"), 2) + F.pow(F.col("lon") - F.col("d_lon"), 2))
-        best = near.groupBy("order_id").agg(F.min(F.struct(distance.alias("distance"), "driver_id")).alias("b"))
-        return stored(best.select("order_id", "b.driver_id", "b.distance"), "orders-met")
+        best = temporary.stored(near.groupBy("lat", "lon").agg(F.min(F.struct(distance.alias("distance"), "driver_id")).alias("b")), "places-met")
+        if todo.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+            best = F.broadcast(best)
+        met = every.join(best, ["lat", "lon"]).groupBy("order_id").agg(F.min("b").alias("b"))
+        return stored(met.select("order_id", "b.driver_id", "b.distance"), "orders-met")
 
 
 def _least(c: Column) -> Column:

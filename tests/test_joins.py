@@ -45,6 +45,25 @@ def test_only_crowded_cells_are_split(spark):
         assert len(cells) < 60 * 3 + 16 * 1000 / 32 * 3  # a full grid of that depth has 16^level cells
 
 
+def test_orders_at_one_place_go_down_as_one(spark, monkeypatch):
+    rng, kept = np.random.default_rng(4), {}
+    tables = joins.Temporary.stored
+
+    def counted(self, df, name):
+        out = tables(self, df, name)
+        kept[name] = out.count()
+        return out
+
+    monkeypatch.setattr(joins.Temporary, "stored", counted)
+    drivers, places = [(i, *p) for i, p in enumerate(rng.uniform(0, 80, (200, 2)))], rng.uniform(0, 80, (7, 2))
+    orders = [tuple(places[i % 7]) for i in range(700)]
+    want = all_pairs(orders, drivers)
+    for most in (200_000, 0):
+        monkeypatch.setattr(joins, "BROADCAST_ROWS", most, raising=False)
+        assert {k: v[0] for k, v in met(spark, orders, drivers, crowd=8).items()} == {k: v[0] for k, v in want.items()}
+        assert max(n for name, n in kept.items() if name.startswith("orders-")) == 7
+
+
 def test_ties_spots_and_missing_places(spark):
     assert met(spark, [(0.0, 0.0)], [(5, 0.0, 1.0), (3, 1.0, 0.0), (4, 1.0, 0.0)]) == {"o0": (3, 1.0)}
     same = [(i, 2.0, 2.0) for i in range(200, 0, -1)]
