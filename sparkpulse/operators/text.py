@@ -31,8 +31,10 @@ def lexicon_sentiment(df: DataFrame, text: str, lexicon: Mapping[str, float], ne
     def scored(word: Column, i: Column) -> Column:
         before = F.slice(w, F.greatest(i - REACH + 1, F.lit(1)), F.least(i, F.lit(REACH)))
         negated = F.exists(before, lambda x: x.isin(*negators)) if negators else F.lit(False)
-        score = map_lookup(lexicon, word) * F.when(negated, NEGATED).otherwise(1.0)
-        return score * map_lookup(modifiers, F.get(w, i - 1), 1.0) if modifiers else score
+        score = map_lookup(lexicon, word)
+        around = score * F.when(negated, NEGATED).otherwise(1.0)
+        # what stands before a word is looked at only if the word has a score
+        return F.when(score == 0, 0.0).otherwise(around * map_lookup(modifiers, F.get(w, i - 1), 1.0) if modifiers else around)
 
     scores = once(lookup, "_s", F.transform(w, scored))
     total = F.aggregate("_s", F.lit(0.0), lambda a, x: a + x)
@@ -55,8 +57,8 @@ def sentiment_by(scored: DataFrame, group: str) -> DataFrame:
 
 
 def flagged(scored: DataFrame, limit: float = -0.3) -> DataFrame:
-    """Rows at or below a score, the worst first."""
-    return scored.where(F.col("compound") <= limit).orderBy("compound")
+    """Rows at or below a score, the worst first. They are stored before, since a sort reads its rows twice."""
+    return stored(scored.where(F.col("compound") <= limit), "flagged").orderBy("compound")
 
 
 def topic_words(df: DataFrame, text: str, stop_words: Sequence[str]) -> DataFrame:

@@ -149,7 +149,7 @@ def sentiment_by_language(t):
 
 @query(SENTIMENT + " SELECT doc_id, compound FROM labelled WHERE compound <= -.3")
 def flagged_documents(t):
-    return text.flagged(scored(t)).select("doc_id", "compound")
+    return text.flagged(scored(t).select("doc_id", "compound"))
 
 
 STOP = ("the", "and", "that", "with", "for", "from", "this", "was", "are")

@@ -7,7 +7,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from sparkpulse.functions.columns import score_band
+from sparkpulse.functions.columns import once, score_band
 from sparkpulse.operators import fairness, forecast, graph, joins, medallion, ml, quality, rolling, text
 from sparkpulse.sources import io
 
@@ -290,3 +290,15 @@ def test_average_rank_agrees_with_sorting_and_puts_nulls_last(spark):
     want = {v: int(order.index(v) + 1 + (values.count(v) - 1) / 2) for v in set(values)}
     assert len(got) == len(values) and all(r["rank"] == want[r.v] for r in got)
     assert rolling.average_rank(spark.createDataFrame([], "v int"), "v").count() == 0
+
+
+def test_flagged_rows_are_scored_once(spark):
+    calls = spark.sparkContext.accumulator(0)
+
+    def score(i):
+        calls.add(1)
+        return -i / 100
+
+    df = once(spark.range(0, 100, 1, 4), "compound", F.udf(score, "double")("id"))
+    got = [r.id for r in text.flagged(df).collect()]
+    assert got == list(range(99, 29, -1)) and calls.value == 100
