@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.clustering import LDA
-from pyspark.ml.feature import IDF, CountVectorizer, RegexTokenizer, StopWordsRemover
+from pyspark.ml.feature import IDF, CountVectorizer, CountVectorizerModel, RegexTokenizer, StopWordsRemover
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -73,9 +73,25 @@ def fit_topics(docs: DataFrame, column: str = "clean", k: int = 6, seed: int = 4
     filled = docs.where(F.length(column) > 0)
     if filled.limit(2 * k).count() < 2 * k:
         raise ValueError(f"topics need at least {2 * k} texts that aren't empty")
-    return Pipeline(stages=[
-        RegexTokenizer(inputCol=column, outputCol="_tokens", pattern=" "), CountVectorizer(inputCol="_tokens", outputCol="_counts", minDF=least_docs, maxDF=most_share, vocabSize=terms),
-        LDA(k=k, optimizer="online", maxIter=rounds, subsamplingRate=1.0, seed=seed, featuresCol="_counts", topicDistributionCol="_topics")]).fit(filled)
+    tokenizer = RegexTokenizer(inputCol=column, outputCol="_tokens", pattern=" ")
+    with Temporary() as temporary:
+        tokens = temporary.stored(tokenizer.transform(filled.select(column)).select("_tokens"), "topic-tokens")
+        counter = CountVectorizerModel.from_vocabulary(common_terms(tokens, "_tokens", least_docs, most_share, terms), "_tokens", "_counts")
+        # each round reads all of them: they are numbers of few terms by now
+        counts = temporary.stored(counter.transform(tokens).select("_counts"), "topic-counts")
+        lda = LDA(k=k, optimizer="online", maxIter=rounds, subsamplingRate=1.0, seed=seed, featuresCol="_counts", topicDistributionCol="_topics").fit(counts)
+    return PipelineModel([tokenizer, counter, lda])
+
+
+def common_terms(df: DataFrame, tokens: str, least_docs: int, most_share: float, n: int) -> list[str]:
+    """The n most frequent terms, by name where they are equally frequent, of those in at least so many texts and at most in that share of them."""
+    most = most_share * df.count()
+    each = df.select(F.explode(F.concat(F.transform(tokens, lambda x: F.struct(x.alias("term"), F.lit(0).alias("doc"))), F.transform(F.array_distinct(tokens), lambda x: F.struct(x.alias("term"), F.lit(1).alias("doc"))))).alias("e"))
+    by = each.groupBy("e.term").agg(F.sum(1 - F.col("e.doc")).alias("n"), F.sum("e.doc").alias("docs")).where((F.col("docs") >= least_docs) & (F.col("docs") <= most))
+    found = [r.term for r in by.orderBy(F.desc("n"), "term").limit(n).collect()]
+    if not found:
+        raise ValueError("no term is in enough texts, or all are in too many")
+    return found
 
 
 def topic_table(model: PipelineModel, n: int = 10) -> DataFrame:

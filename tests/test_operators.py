@@ -302,3 +302,16 @@ def test_flagged_rows_are_scored_once(spark):
     df = once(spark.range(0, 100, 1, 4), "compound", F.udf(score, "double")("id"))
     got = [r.id for r in text.flagged(df).collect()]
     assert got == list(range(99, 29, -1)) and calls.value == 100
+
+
+def test_topics_read_their_texts_a_few_times_however_many_rounds(spark):
+    calls = spark.sparkContext.accumulator(0)
+
+    def cleaned(i):
+        calls.add(1)
+        return ("alpha beta gamma", "delta epsilon zeta", "alpha zeta")[i % 3] + (" rare" if i < 2 else "") + " everywhere"
+
+    docs = once(spark.range(0, 60, 1, 4), "clean", F.udf(cleaned, "string")("id"))
+    model = text.fit_topics(docs, k=2, rounds=8)
+    assert calls.value <= 180 and set(model.stages[1].vocabulary) == {"alpha", "beta", "gamma", "delta", "epsilon", "zeta"}
+    assert model.stages[1].vocabulary[:2] == ["alpha", "zeta"] and text.dominant_topic(model, docs).where("topic IS NULL").isEmpty()
