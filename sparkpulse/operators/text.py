@@ -102,7 +102,7 @@ def topic_table(model: PipelineModel, n: int = 10) -> DataFrame:
 
 def dominant_topic(model: PipelineModel, docs: DataFrame) -> DataFrame:
     """Add each text's topic shares and its largest topic; empty texts have none."""
-    out = model.transform(docs).withColumn("topics", vector_to_array("_topics"))
+    out = once(model.transform(docs), "topics", vector_to_array("_topics"))
     known = F.length("clean") > 0
     best = F.array_position("topics", F.array_max("topics")).cast("int") - 1
     return out.withColumns({"topic": F.when(known, best), "topics": F.when(known, F.col("topics"))}).drop("_tokens", "_counts", "_topics")
