@@ -17,7 +17,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from sparkpulse.llm import avi, bpe, decontam, html_extract, line_dedup, near_dedup, quality, secret_scan, sharding, token_counts
+from sparkpulse.llm import avi, bpe, common, decontam, html_extract, line_dedup, near_dedup, quality, secret_scan, sharding, token_counts
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 WORDS = public_tokenizers.path("word_bpe_49k.json")
@@ -197,6 +197,29 @@ def test_parts_of_lines_go_from_the_characters_asked_for(spark):
     assert got[9].startswith("p\nq\n")
 
 
+def test_strips_of_pieces_and_lines_have_the_same_places(spark):
+    rows = ["a zap\n  led by\n\tand  so\n on", " first words\r\n\ttwo and\t", "\x01odd text is\n kept\x01 so it", "", "\n", "  \n ", "end at. \n  x"]
+    df = spark.createDataFrame([(t,) for t in rows], "t string")
+    got = df.select("t", line_dedup._pieces(F.col("t")).alias("p"), F.flatten(F.transform(line_dedup._by_line(F.col("t")), lambda x: x.strips)).alias("s")).collect()
+    assert all("".join(r.p) == r.t and [x.rstrip(" \t\r\n") for x in r.p] == [x.rstrip(" \t\r\n") for x in r.s] for r in got)
+
+
+def test_passages_between_indented_lines_go_whole_and_nothing_else(spark):
+    block = "\n".join(f"    step{x} calls the helper of part{x}" for x in range(6))
+    rows = [(1, f"Unlike head\n{block}\n  tail of one"), (2, f"  Other start\n  and more\n{block}\n  closing words")]
+    got = {r.doc_id: r.text for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[1] == rows[0][1] and " ".join(got[2].split()) == "Other start and more closing words"
+
+
+def test_line_dedup_leaves_no_shuffle_files_or_tables_behind(spark, monkeypatch):
+    kept, drop = [], common.Scratch.drop
+    monkeypatch.setattr(common.Scratch, "drop", lambda self, *tables: (drop(self, *tables), kept.append(len(self.tables)))[0])
+    df = spark.createDataFrame([(k, "so it goes and zap by the way it is\n" * 3 + f"own {k}") for k in range(4)], "doc_id long, text string")
+    before = spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled")
+    assert line_dedup.dedup_lines(df).count() == 4 and kept and max(kept) <= 2
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == before
+
+
 # 3
 
 
