@@ -88,13 +88,15 @@ def isolation_forest(df: DataFrame, key: str, features: Features, trees: int = 2
     Every row is offered to one tree by its hash, so one shuffle of at most trees x sample x 4 rows serves all. The
     forest, at most 2 x sample nodes a tree, comes to the driver.
     """
-    rows = vectors(df, features, F.col(key).alias("_key"))
-    n, length = rows.agg(F.count("*"), F.coalesce(F.max(F.size("_x")), F.lit(0))).first()
+    n, length = vectors(df, features).agg(F.count("*"), F.coalesce(F.max(F.size("_x")), F.lit(0))).first()
     copies = int(np.ceil(min(trees, 4.0 * trees * sample / max(n, 1))))  # a small table serves several trees with one row
     keep = min(1.0, 2.0 * trees * sample / (max(n, 1) * copies))
     hashed = {"_tree": F.pmod(F.xxhash64("_key", F.lit(seed), "_r"), F.lit(trees)), "_h": F.xxhash64("_key", F.lit(seed + 1), "_r")}
-    offered = rows.where(F.size("_x") == length).withColumn("_r", F.explode(F.sequence(F.lit(0), F.lit(copies - 1)))).withColumns(hashed)
+    turn = F.explode(F.sequence(F.lit(0), F.lit(copies - 1))) if copies > 1 else F.lit(0)
+    offered = df.withColumns({"_key": F.col(key), "_r": turn}).withColumns(hashed)
     offered = offered.where(F.pmod("_h", F.lit(1_000_000)) < int(keep * 1_000_000) + 1)
+    # few rows are offered, and only of these vectors are made
+    offered = vectors(offered, features, F.col("_key"), F.col("_tree"), F.col("_h")).where(F.size("_x") == length)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         out = []
@@ -131,7 +133,10 @@ def anomaly_scores(df: DataFrame, forest: dict, name: str = "score") -> DataFram
 
 
 def flag_anomalies(df: DataFrame, contamination: float = 0.05, name: str = "score") -> DataFrame:
-    """Add ``risk``, the score stretched to [0, 1] over the batch, and ``is_anomaly`` above the contamination's quantile."""
+    """Add ``risk``, the score stretched to [0, 1] over the batch, and ``is_anomaly`` above the contamination's quantile.
+
+    ``df`` is read twice, so scores that cost much should be stored before.
+    """
     limits = df.agg(F.min(name).alias("_lo"), F.max(name).alias("_hi"), F.percentile_approx(name, 1 - contamination, F.lit(10_000)).alias("_cut"))
     out = df.crossJoin(F.broadcast(limits))  # one row
     risk = F.when(F.col("_hi") > F.col("_lo"), (F.col(name) - F.col("_lo")) / (F.col("_hi") - F.col("_lo"))).otherwise(0.0)
@@ -229,6 +234,6 @@ def reconstruction_errors(df: DataFrame, model: dict, name: str = "error") -> Da
 
 
 def flag_errors(df: DataFrame, quantile: float = 0.95, name: str = "error") -> DataFrame:
-    """Add ``threshold``, the quantile of the errors, and ``is_anomaly``, 1 above it."""
+    """Add ``threshold``, the quantile of the errors, and ``is_anomaly``, 1 above it; ``df`` is read twice."""
     cut = df.agg(F.percentile_approx(name, quantile, F.lit(10_000)).alias("threshold"))
     return df.crossJoin(F.broadcast(cut)).withColumn("is_anomaly", (F.col(name) > F.col("threshold")).cast("int"))  # one row

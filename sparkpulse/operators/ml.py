@@ -210,8 +210,11 @@ def anomaly_pipeline(readings: DataFrame, machine: str, ts: str, key: str, colum
     rows = validate_and_clean(readings.withColumn("_label", (label if label is not None else F.lit(0)).cast("int")), [machine, ts, key], [machine, ts, *columns], bounds)
     wide = stored(rolling.features(rows, machine, [ts, key], columns), "anomaly-features")
     names = [c for c in wide.columns if c not in (*readings.columns, "_label")]
-    scored = flag_anomalies(anomaly_scores(wide, isolation_forest(wide, key, [*columns, *names], trees)))
-    scored = stored(scored.select(key, machine, ts, "score", "risk", "is_anomaly", F.col("_label").alias("actual")), "anomaly-scores")
+    scored = anomaly_scores(wide, isolation_forest(wide, key, [*columns, *names], trees)).select(key, machine, ts, "score", F.col("_label").alias("actual"))
+    scores = stored(scored, "scores")  # the flags' limits read them first
+    scored = stored(flag_anomalies(scores).select(key, machine, ts, "score", "risk", "is_anomaly", "actual"), "anomaly-scores")
+    removed(wide)
+    removed(scores)
     out = {"scored": scored, "alerts": alerts_with_cooldown(scored.where("is_anomaly = 1"), machine, ts, "risk", minutes)}
     return out | ({"metrics": binary_metrics(scored, F.col("is_anomaly"), F.col("actual"))} if label is not None else {})
 

@@ -385,13 +385,13 @@ def anomaly_pipeline(t):
 def isolation_forest(t):
     """All components of the embeddings, as they lie in their array."""
     forest = ml.isolation_forest(t.embeddings, "vec_id", "embedding", trees=100)
-    return rounded(ml.flag_anomalies(ml.anomaly_scores(t.embeddings.select("vec_id", "embedding"), forest)).select("vec_id", "score", "risk", "is_anomaly"), "score", "risk", digits=6)
+    return rounded(ml.flag_anomalies(stored(ml.anomaly_scores(t.embeddings.select("vec_id", "embedding"), forest).select("vec_id", "score"), "scores")).select("vec_id", "score", "risk", "is_anomaly"), "score", "risk", digits=6)
 
 
 @query()
 def autoencoder_errors(t):
     model = ml.autoencoder(t.embeddings, "vec_id", "embedding", hidden=4, epochs=8)
-    return rounded(ml.reconstruction_errors(t.embeddings.select("vec_id", "embedding"), model).select("vec_id", "error").transform(ml.flag_errors), "error", "threshold", digits=5)
+    return rounded(ml.reconstruction_errors(t.embeddings.select("vec_id", "embedding"), model).select("vec_id", "error").transform(stored, "errors").transform(ml.flag_errors), "error", "threshold", digits=5)
 
 
 def halves(t) -> tuple[DataFrame, DataFrame]:

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from sparkpulse.operators import anomaly
+from sparkpulse.operators import anomaly, ml
 
 
 def table(spark, x):
@@ -111,3 +111,16 @@ def test_queries_see_every_component(spark, tmp_path):
     flags = entry.queries()["isolation_forest"](spark, str(tmp_path)).toPandas().set_index("vec_id").is_anomaly
     errors = entry.queries()["autoencoder_errors"](spark, str(tmp_path)).toPandas().set_index("vec_id").error
     assert flags[390:].all() and errors[390:].mean() > 2 * errors[:390].mean()
+
+
+def test_rows_are_scored_once_before_they_are_flagged(spark, monkeypatch):
+    calls = spark.sparkContext.accumulator(0)
+
+    def score(x):
+        calls.add(len(x))
+        return x[:, 0]
+
+    monkeypatch.setattr(ml, "anomaly_scores", lambda df, forest: anomaly.scored(df, forest["features"], forest["length"], "score", score))
+    df = spark.range(300).select("id", (F.col("id") % 2).alias("m"), F.timestamp_seconds(F.col("id") * 60).alias("ts"), F.sin("id").alias("x"), F.cos("id").alias("y"))
+    out = ml.anomaly_pipeline(df, "m", "ts", "id", ["x", "y"], {}, trees=5)
+    assert out["scored"].count() == 300 and out["alerts"].count() > 0 and calls.value == 300
