@@ -211,6 +211,17 @@ def test_passages_between_indented_lines_go_whole_and_nothing_else(spark):
     assert got[1] == rows[0][1] and " ".join(got[2].split()) == "Other start and more closing words"
 
 
+def test_passages_are_cut_by_places_in_bytes_without_splitting_texts_again(spark):
+    lines = [f"zeile {x} größe ümlaut日本 {x} é" for x in range(130)]
+    block = "\n".join(lines[100:])
+    rows = [(1, f"Ünlike é日 head\n{block}\n\ntäil of one"), (2, "\n".join(lines[:100]) + f"\n \n\tÖther stärt\n{block}\nclösing wörds 語"), (3, f"日本\n{block}")]
+    df = line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"))
+    got = {r.doc_id: r for r in df.collect()}
+    assert got[1].text == rows[0][1] and got[2].text == rows[1][1].replace(block + "\n", "") and got[3].text == "日本\n" and got[3].removed_chunks == 1
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert "split(" not in plan and "regexp_replace(" not in plan
+
+
 def test_line_dedup_leaves_no_shuffle_files_or_tables_behind(spark, monkeypatch):
     kept, drop = [], common.Scratch.drop
     monkeypatch.setattr(common.Scratch, "drop", lambda self, *tables: (drop(self, *tables), kept.append(len(self.tables)))[0])
