@@ -197,6 +197,52 @@ def test_parts_of_lines_go_from_the_characters_asked_for(spark):
     assert got[9].startswith("p\nq\n")
 
 
+def walked_passages(rows: list[tuple[int, str]], chars: int) -> dict[int, str]:
+    """Texts of one line without all passages of so many characters that an earlier place holds."""
+    first, places = {}, []
+    for doc, text in sorted(rows):
+        words = text.split(" ")
+        for i in range(len(words)):
+            for j in range(i + 1, len(words) + 1):
+                if sum(map(len, words[i:j])) + j - i >= chars:
+                    places.append((doc, i, j, first.setdefault(tuple(words[i:j]), (doc, i))))
+    gone = {(doc, k) for doc, i, j, at in places if at != (doc, i) for k in range(i, j)}
+    return {doc: " ".join(w for k, w in enumerate(text.split(" ")) if (doc, k) not in gone) for doc, text in rows}
+
+
+def test_passages_agree_with_a_walk_over_all_of_them(spark):
+    """Also such as hold no chunk of their own, repeat a few words, or hold what stood alone in an earlier text."""
+    rng = np.random.default_rng(21)
+    prose = lambda n: [("w" * int(rng.integers(1, 4)) + str(x)) for x in rng.integers(0, 20_000, n)]
+    pool = [prose(n) for n in rng.integers(9, 26, 12)]
+    rows = []
+    for doc in range(60):
+        words = prose(5)
+        for _ in range(3):
+            p = pool[rng.integers(0, len(pool))]
+            a, b = sorted(rng.integers(0, len(p) + 1, 2)) if rng.random() < 0.5 else (0, len(p))
+            words += p[a:b] + prose(int(rng.integers(0, 4)))
+        if doc % 10 == 0:
+            words += (["for", "ever", "ago"][: 1 + doc % 3]) * int(rng.integers(30, 60))
+        if doc % 15 == 0:
+            words += ["long" * 12, "x" * 90, "öß" * 20]
+        rows.append((doc, " ".join([*words, f"end{doc}"])))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    for chars in (80, 40):
+        want = walked_passages(rows, chars)
+        assert {r.doc_id: r.text for r in line_dedup.dedup_lines(df, passage_chars=chars).collect()} == want and sum(want[d] != t for d, t in rows) > 30
+
+
+def test_copies_of_many_lines_are_left_out_but_not_what_reaches_beyond_them(spark):
+    rng = np.random.default_rng(22)
+    prose = lambda n: " ".join(f"w{x}" for x in rng.integers(0, 30_000, n))
+    lines = [prose(int(rng.integers(6, 20))) for _ in range(60)]
+    block, after = "\n".join(lines[10:40]), " ".join(lines[40].split(" ")[:4])
+    rows = [(1, "\n".join(lines)), (2, f"{prose(9)}\n{block}\n{after} {prose(20)}"), (3, f"{prose(9)}\n{block}\n{prose(20)}\n{lines[3]} {lines[4]}")]
+    got = {r.doc_id: r.text for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[1] == rows[0][1] and got[2] == rows[1][1].replace(f"{block}\n{after} ", "") and got[3] == rows[2][1].replace(f"{block}\n", "").replace(f"{lines[3]} {lines[4]}", "")
+
+
 def test_strips_of_pieces_and_lines_have_the_same_places(spark):
     rows = ["a zap\n  led by\n\tand  so\n on", " first words\r\n\ttwo and\t", "\x01odd text is\n kept\x01 so it", "", "\n", "  \n ", "end at. \n  x"]
     df = spark.createDataFrame([(t,) for t in rows], "t string")
