@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
@@ -13,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import map_lookup, once, rate, risk_tier, words
-from ..sources.io import Temporary, removed_path, stored, stored_path
+from ..sources.io import Temporary, removed_path, shuffles_removed, stored, stored_path
 
 #: Fixed values of the scoring rule: damping of a negated word, reach of a negation, marks' weight and bound, norm, label limit.
 NEGATED, REACH, MARK, MARKS, NORM, LABEL = -0.75, 3, 0.1, 0.3, 15.0, 0.2
@@ -128,6 +129,8 @@ BLOCK, SEEDS = 1024, 4
 #: Characters of text whose terms are dealt to one task, the share of texts (one in so many) from which a term is common,
 #: and rows of queries' terms that are sent to all executors.
 DEALT, COMMON, BROADCAST_ROWS = 8_000_000, 256, 200_000
+#: Queries that an index deals its rows out in, each a share of them, so that shuffles hold a share on disk at a time.
+SLICES = 4
 #: What sums in another order may differ by.
 MARGIN = 1e-9
 
@@ -170,16 +173,24 @@ def write_search_index(docs: DataFrame, path: str, block: int = BLOCK) -> None:
     terms; documents of norm 0 are left out.
     """
     spark, parts = docs.sparkSession, text_parts(docs)
-    with Temporary() as temporary:
+    with shuffles_removed(spark), Temporary() as temporary:
         tf = temporary.stored(term_frequencies(docs, "doc_id", parts), "search-terms")
         n = docs.count()
         idf = F.log(F.lit(n) / (1 + F.col("df")))
         terms = temporary.stored(tf.groupBy("term").agg(F.count("*").alias("df")).select("term", "df", idf.alias("idf"), F.ceil(F.col("df") / block).cast("int").alias("blocks")), "search-idf")
-        weighed = with_terms(tf, terms, n, parts).select("doc_id", "term", "blocks", (F.col("tf") * F.col("idf")).alias("w")).repartition(parts, "doc_id")
-        normed = weighed.withColumn("norm", F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("doc_id")))).where("norm > 0")
-        posts = normed.select("term", _block(F.col("doc_id"), F.col("blocks")).alias("block"), F.struct("doc_id", (F.col("w") / F.col("norm")).alias("w")).alias("post"))
-        blocks = posts.repartition(parts, "term", "block").groupBy("term", "block").agg(F.collect_list("post").alias("posts"), F.max(F.abs("post.w")).alias("top"))
-        blocks.sortWithinPartitions("term", "block").write.mode("overwrite").parquet(f"{path}/postings")
+        # all rows are dealt out in so many queries, by documents and then by terms, each of which removes its shuffle
+        each = 1 + parts // SLICES
+        normed = []
+        for k in range(SLICES):
+            weighed = with_terms(tf.where(_block(F.col("doc_id"), F.lit(SLICES)) == k), terms, n, each).select("doc_id", "term", "blocks", (F.col("tf") * F.col("idf")).alias("w")).repartition(each, "doc_id")
+            norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("doc_id")))
+            normed.append(temporary.stored(weighed.withColumn("norm", norm).where("norm > 0"), "search-normed"))
+        temporary.drop(tf)
+        posts = reduce(DataFrame.unionByName, normed).select("term", _block(F.col("doc_id"), F.col("blocks")).alias("block"), F.struct("doc_id", (F.col("w") / F.col("norm")).alias("w")).alias("post"))
+        for k in range(SLICES):
+            blocks = posts.where(_block(F.col("term"), F.lit(SLICES)) == k).repartition(each, "term", "block").groupBy("term", "block").agg(F.collect_list("post").alias("posts"), F.max(F.abs("post.w")).alias("top"))
+            blocks.sortWithinPartitions("term", "block").write.mode("append" if k else "overwrite").parquet(f"{path}/postings")
+        temporary.drop(*normed)
         tops = spark.read.parquet(f"{path}/postings").groupBy("term").agg(F.max("top").alias("top"))
         terms.drop("df").join(tops, "term").write.mode("overwrite").parquet(f"{path}/terms")
 
@@ -193,7 +204,7 @@ def search_index(spark: SparkSession, path: str, queries: DataFrame, k: int = 5)
     can't come so high are skipped.
     """
     postings, terms = spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/terms")
-    with Temporary() as temporary:
+    with shuffles_removed(spark), Temporary() as temporary:
         q = term_frequencies(queries.select("query_id", "text"), "query_id", text_parts(queries)).join(terms, "term").withColumn("wq", F.col("tf") * F.col("idf"))
         mine = Window.partitionBy("query_id")
         q = q.withColumn("nq", F.sqrt(F.sum(F.col("wq") * F.col("wq")).over(mine))).where("nq > 0").withColumn("wq", F.col("wq") / F.col("nq"))
@@ -235,7 +246,7 @@ def tfidf_search(docs: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     queries' terms go to all executors its scores are summed where it is; only the best of each task are dealt out by query.
     """
     parts, n = text_parts(docs), docs.count()
-    with Temporary() as temporary:
+    with shuffles_removed(docs.sparkSession), Temporary() as temporary:
         in_docs = temporary.stored(term_frequencies(docs, "doc_id", parts), "search-terms")
         in_queries = temporary.stored(term_frequencies(queries, "query_id", text_parts(queries)), "search-asked")
         asked = in_queries.select("term").distinct().withColumn("asked", F.lit(True))

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -132,6 +133,18 @@ def removed(df: DataFrame) -> None:
         removed_path(df.sparkSession, folder)
 
 
+@contextmanager
+def shuffles_removed(spark: SparkSession) -> Iterator[None]:
+    """Queries that run within remove their shuffle files when they end, not when the driver next collects garbage."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 class Temporary:
     """Stored tables that go when the block ends; what outlives it is stored apart."""
 
@@ -145,6 +158,12 @@ class Temporary:
         self.tables.append(stored(df, name))
         return self.tables[-1]
 
+    def drop(self, *tables: DataFrame) -> None:
+        """Delete tables of this block that nothing reads any more."""
+        for df in tables:
+            self.tables = [t for t in self.tables if t is not df]
+            removed(df)
+
     def __exit__(self, *_) -> None:
         for df in self.tables:
             removed(df)

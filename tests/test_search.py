@@ -74,3 +74,18 @@ def test_an_empty_index_and_no_queries(spark, tmp_path):
     text.write_search_index(docs.where("1 = 0"), str(tmp_path))
     assert text.search_index(spark, str(tmp_path), queries).count() == 0
     assert text.indexed_search(docs, queries.where("1 = 0")).count() == text.tfidf_search(docs, queries.where("1 = 0")).count() == 0
+
+
+def test_an_index_drops_tables_once_read_and_shuffles_a_share_at_a_time(spark, tmp_path, monkeypatch):
+    """What shuffles leave behind goes with each query, and what was read goes before the block ends."""
+    from sparkpulse.sources import io
+
+    name, kept, cleaned, drop, keep = "spark.sql.classic.shuffleDependency.fileCleanup.enabled", [], [], io.Temporary.drop, io.Temporary.stored
+    monkeypatch.setattr(io.Temporary, "stored", lambda self, df, x: (cleaned.append(spark.conf.get(name)), keep(self, df, x))[1])
+    monkeypatch.setattr(io.Temporary, "drop", lambda self, *tables: (drop(self, *tables), kept.append(len(self.tables)))[0])
+    before = spark.conf.get(name)
+    docs = corpus(40, 7)
+    text.write_search_index(spark.createDataFrame(docs, "doc_id long, text string"), str(tmp_path))
+    assert set(cleaned) == {"true"} and spark.conf.get(name) == before and kept[-1] == 1  # only the terms are left
+    held = spark.read.parquet(f"{tmp_path}/postings").select("term", F.inline("posts"))
+    assert held.count() == held.select("term", "doc_id").distinct().count() == sum(len(set(terms_of(x))) for _, x in docs)
